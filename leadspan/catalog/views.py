@@ -406,7 +406,7 @@ def _brace(text: str, needs: tuple[str, ...]) -> str:
     import re
 
     for n in needs:
-        text = re.sub(rf"\b(FROM|JOIN)\s+{n}\b(\s+c\b|\s+l\b)?", lambda m, n=n: f"{m[1]} {{{n}}}{m[2] or ' AS ' + n}", text)
+        text = re.sub(rf"\b(FROM|JOIN)\s+{n}\b(\s+[cl]\b)?", lambda m, n=n: f"{m[1]} {{{n}}}{m[2] or ' AS ' + n}", text)
     return text
 
 
