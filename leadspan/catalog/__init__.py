@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("reports",)
+MODULES = ("reports", "scalars")
 
 
 def load_all():
