@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("reports", "scalars")
+MODULES = ("reports", "scalars", "linkage")
 
 
 def load_all():

@@ -43,12 +43,9 @@ def _(v):
     return v.profiles.select("ordinal", N.norm_name(n).alias("name_key"), N.norm_company(c).alias("company_name_key"), N.person_key(n, c).alias("identity_key"))
 
 
-@query("normalize_name_text", r"""SELECT doc_id, trim(regexp_replace(regexp_replace(lower(strip_accents(regexp_replace(text, '([À-ÖØ-öø-ÿ])', '\1 ', 'g'))), '[^a-z0-9]+', ' ', 'g'), ' +', ' ', 'g')) AS words
-    FROM documents WHERE NOT regexp_matches(text, '[^\x00-\x{00ff}‘’“”–—…•]')""")
+@query("normalize_name_text", r"""SELECT doc_id, trim(regexp_replace(lower(strip_accents(regexp_replace(text, '([À-ÖØ-öø-ÿŒœ])', '\1 ', 'g'))), '[^a-z0-9]+', ' ', 'g')) AS words FROM documents""")
 def _(v):
-    # latin text only, where the check engine's accent stripping gives the same letters; other scripts are tested on a fixture
-    latin = ~F.col("text").rlike("[^\\x00-\\u00ff\\u2018\\u2019\\u201c\\u201d\\u2013\\u2014\\u2026\\u2022]")
-    return v.documents.filter(latin).select("doc_id", N.norm_name(F.col("text")).alias("words"))
+    return v.documents.select("doc_id", N.norm_name(F.col("text")).alias("words"))
 
 
 @query("normalize_url", f"SELECT page_id, {S.norm_url('url')} AS url_key, sha1({S.norm_url('url')}) AS url_hash FROM pages")

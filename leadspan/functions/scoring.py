@@ -134,9 +134,13 @@ def capped_answer_confidence(confidence: Column, evidence_count: Column) -> Colu
     return F.when(evidence_count == 0, F.least(clamped, F.lit(20.0))).when(evidence_count == 1, F.least(clamped, F.lit(60.0))).otherwise(clamped)
 
 
+def _is(name: str):
+    return lambda t: t == F.lit(name)
+
+
 def watch_cost(signal_types: Column) -> Column:
     """Daily credits of one watch: the sum over its signal types."""
     price = F.lit(0)
     for name, credits in CREDITS_PER_SIGNAL.items():
-        price = price + F.size(F.filter(signal_types, lambda t, name=name: t == name)) * credits
+        price = price + F.size(F.filter(signal_types, _is(name))) * credits
     return price
