@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import datetime
 import decimal
+import time
 
 import duckdb
 
 from leadspan.catalog.views import BASE_TABLES
 
 
+LAST: dict[str, float] = {}
+
+
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     for t in BASE_TABLES:
@@ -37,7 +41,9 @@ def rows_of(columns, rows):
 
 def compare(spark_df, con, sql: str) -> list[str]:
     """Differences as text; empty when equal."""
+    start = time.time()
     a_cols, a = rows_of(spark_df.columns, [tuple(r) for r in spark_df.collect()])
+    LAST["spark"] = time.time() - start
     cur = con.execute(sql)
     b_cols, b = rows_of([c[0] for c in cur.description], cur.fetchall())
     if a_cols != b_cols:

@@ -15,40 +15,48 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadspan.functions.similarity import bigram_set
-
 # Stands for a text too short to have a piece; such texts match each other with 1.
-NO_PIECES = "\u0000"
+NO_PIECES = -1
+# Second half of a join key made of one piece only.
+ALONE = -2
+CODE_SPACE = 1 << 21
 
 
 def _pieces(texts: DataFrame) -> DataFrame:
-    return texts.withColumn("pieces", F.when(F.length("text") >= 2, bigram_set(F.col("text"))).otherwise(F.array(F.lit(NO_PIECES))))
+    """Distinct two-letter pieces, each as one exact number (two code points)."""
+    letter = lambda i: F.ascii(F.col("text").substr(i, F.lit(1))).cast("bigint")
+    codes = F.transform(F.sequence(F.lit(1), F.length("text") - 1), lambda i: letter(i) * CODE_SPACE + letter(i + 1))
+    none = F.array(F.lit(NO_PIECES).cast("bigint"))
+    return texts.withColumn("pieces", F.when(F.length("text") >= 2, F.array_distinct(codes)).otherwise(none))
 
 
 def _rarest_first(texts: DataFrame, frequency: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``pieces`` sorted by (frequency, piece) for each distinct text."""
     long = texts.select(*keys, "text", F.explode("pieces").alias("piece"))
     ranked = long.join(frequency, "piece").groupBy(*keys, "text").agg(F.array_sort(F.collect_list(F.struct("n", "piece"))).alias("s"))
-    return ranked.select(*keys, "text", F.transform("s", lambda x: x["piece"]).alias("pieces"))
+    return ranked.select(*keys, "text", F.col("s.piece").alias("pieces"))
+
+
+def _small(threshold: float) -> int:
+    """Sets smaller than this may share fewer than two pieces with a match."""
+    return math.ceil(2 / threshold - 1e-9)
 
 
 def _signatures(side: DataFrame, threshold: float, keys: Sequence[str]) -> DataFrame:
     """One row per join key of a text: pairs of prefix pieces, and single pieces where small sets are involved."""
     n = F.size("pieces")
     need = F.ceil(n * F.lit(threshold / (2 - threshold)) - F.lit(1e-9)).cast("int")
-    # a set this small may share fewer than two pieces with a match
-    small = math.ceil(2 / threshold - 1e-9)
-    reach = math.floor(small * (2 - threshold) / threshold + 1e-9)
-    single = F.slice("pieces", F.lit(1), n - need + 1)
+    reach = math.floor(_small(threshold) * (2 - threshold) / threshold + 1e-9)
+    single = F.transform(F.slice("pieces", F.lit(1), n - need + 1), lambda a: F.struct(a.alias("k1"), F.lit(ALONE).cast("bigint").alias("k2")))
     double = F.slice("pieces", F.lit(1), F.least(n, n - need + 2))
     pairs = F.flatten(
         F.transform(
-            double, lambda a, i: F.transform(F.slice(double, i + 2, F.size(double)), lambda b: F.concat_ws("\u0001", a, b))
+            double, lambda a, i: F.transform(F.slice(double, i + 2, F.size(double)), lambda b: F.struct(a.alias("k1"), b.alias("k2")))
         )
     )
-    none = F.array().cast("array<string>")
-    keyed = F.concat(F.when(n <= reach, single).otherwise(none), F.when(n >= small, pairs).otherwise(none))
-    return side.select(*keys, "text", "pieces", F.explode(keyed).alias("_key"))
+    none = F.array().cast("array<struct<k1:bigint,k2:bigint>>")
+    keyed = F.concat(F.when(n <= reach, single).otherwise(none), F.when(n >= _small(threshold), pairs).otherwise(none))
+    return side.select(*keys, "text", "pieces", F.inline(keyed))
 
 
 def dice_join(left: DataFrame, right: DataFrame, threshold: float, keys: Sequence[str] = ()) -> DataFrame:
@@ -62,21 +70,19 @@ def dice_join(left: DataFrame, right: DataFrame, threshold: float, keys: Sequenc
     frequency = lt.select("pieces").union(rt.select("pieces")).select(F.explode("pieces").alias("piece")).groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
     a = _signatures(_rarest_first(lt, frequency, keys), threshold, keys)
     b = _signatures(_rarest_first(rt, frequency, keys), threshold, keys)
-    a = a.select(*keys, "_key", F.col("text").alias("left_text"), F.col("pieces").alias("_a"))
-    b = b.select(*keys, "_key", F.col("text").alias("right_text"), F.col("pieces").alias("_b"))
+    # the rows are few but each is costly to verify: fix the number of tasks, so they are not merged by their bytes
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    a = a.select(*keys, "k1", "k2", F.col("text").alias("left_text"), F.col("pieces").alias("_a")).repartition(tasks, *keys, "k1", "k2")
+    b = b.select(*keys, "k1", "k2", F.col("text").alias("right_text"), F.col("pieces").alias("_b"))
     na, nb = F.size("_a"), F.size("_b")
-    shared = F.array_intersect("_a", "_b")
-    # _a keeps the global order, so each pair is kept only under the key made of its rarest shared pieces
-    first = F.when(F.least(na, nb) >= math.ceil(2 / threshold - 1e-9), F.concat_ws("\u0001", F.get("_s", F.lit(0)), F.get("_s", F.lit(1)))).otherwise(F.get("_s", F.lit(0)))
     bound = F.lit(threshold / (2 - threshold) - 1e-9)
-    joined = (
-        a.join(b, [*keys, "_key"])
-        .filter((nb >= na * bound) & (na >= nb * bound))
-        .withColumn("_s", shared)
-        .filter(F.col("_key") == first)
-    )
+    joined = a.join(b, [*keys, "k1", "k2"]).filter((nb >= na * bound) & (na >= nb * bound))
+    # _a keeps the global order, so a pair is kept only under the key made of its rarest shared pieces
+    both_large = F.least(na, nb) >= _small(threshold)
+    rarest = (F.get("_s", F.lit(0)) == F.col("k1")) & F.when(both_large, F.get("_s", F.lit(1)) == F.col("k2")).otherwise(F.col("k2") == ALONE)
+    once = joined.withColumn("_s", F.array_intersect("_a", "_b")).filter(rarest)
     score = 2.0 * F.size("_s") / (na + nb)
-    return joined.select(*keys, "left_text", "right_text", score.alias("score")).filter(F.col("score") >= F.lit(threshold))
+    return once.select(*keys, "left_text", "right_text", score.alias("score")).filter(F.col("score") >= F.lit(threshold))
 
 
 def as_text(c: Column) -> Column:
