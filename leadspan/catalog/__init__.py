@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("reports", "scalars", "linkage")
+MODULES = ("reports", "scalars", "linkage", "stores")
 
 
 def load_all():
