@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("reports", "scalars", "linkage", "stores")
+MODULES = ("reports", "scalars", "linkage", "stores", "discovery")
 
 
 def load_all():

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from leadspan.catalog.views import Views, oracle_with
 from leadspan.session import prepare
@@ -13,6 +14,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def now() -> Column:
+    """The fixed time at which registered queries run."""
+    return F.lit("2025-01-01 00:00:00").cast("timestamp")
+
+
 def query(name: str, sql: str | None = None, needs: tuple[str, ...] = ()):
     """Register ``fn(views) -> DataFrame``; ``sql`` is its check, with the named input views put in front."""
 

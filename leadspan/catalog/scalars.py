@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leadspan.catalog import snippets as S
-from leadspan.catalog.registry import query
+from leadspan.catalog.registry import now, query
 from leadspan.functions import conditions as C
 from leadspan.functions import messages as M
 from leadspan.functions import normalize as N
@@ -17,7 +17,6 @@ from leadspan.functions.stats import js_round
 from leadspan.operators import filters as FL
 from leadspan.operators import reports as R
 
-NOW = F.lit("2025-01-01 00:00:00").cast("timestamp")
 BOOL = "CAST({} AS INTEGER)"
 
 
@@ -148,7 +147,7 @@ def _(v):
 def _(v):
     from leadspan.operators.memory import rerank_terms
 
-    terms = rerank_terms(NOW)
+    terms = rerank_terms(now())
     return v.memory_nodes.select("node_id", *[F.round(c, 6).alias(n) for n, c in terms.items()])
 
 
@@ -330,7 +329,7 @@ def _(v):
     conf = G.capped_answer_confidence(F.col("p_size") * 3, F.col("n"))
     return e.select(
         F.col("p_partkey").alias("insight_id"), conf.alias("confidence"), F.when(conf >= 70, "validated").otherwise("hypothesis").alias("level"),
-        F.date_format(F.timestamp_add("DAY", F.lit(90), NOW), "yyyy-MM-dd").alias("expires_on"),
+        F.date_format(F.timestamp_add("DAY", F.lit(90), now()), "yyyy-MM-dd").alias("expires_on"),
     )
 
 
@@ -405,7 +404,7 @@ def _(v):
         "page_id", "url", F.when(F.col("page_id") % 41 == 0, "gated").otherwise(F.element_at(kinds, (F.col("page_id") % 6 + 1).cast("int"))).alias("content_type"),
         F.timestamp_add("HOUR", (F.col("page_id") * 5 % 240).cast("int"), F.lit("2024-12-24 00:00:00").cast("timestamp")).alias("fetched_at"),
     )
-    return FL.fresh_cache(cache, NOW).select("page_id")
+    return FL.fresh_cache(cache, now()).select("page_id")
 
 
 @query("email_eligible", "SELECT lead_id FROM campaign_leads WHERE email IS NOT NULL AND email <> '' AND coalesce(email_status, 'valid') IN ('valid', 'unverified') AND email_campaign_id IS NULL", ("campaign_leads",))

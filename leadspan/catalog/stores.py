@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leadspan.catalog import snippets as S
-from leadspan.catalog.registry import query
+from leadspan.catalog.registry import now, query
 from leadspan.operators import insights as I
 from leadspan.operators import preferences as P
 from leadspan.operators import providers as V
@@ -13,7 +13,6 @@ from leadspan.operators import quality as Q
 from leadspan.operators import reviews as W
 from leadspan.operators.ranking import latest_by
 
-NOW = F.lit("2025-01-01 00:00:00").cast("timestamp")
 
 BIAS_SQL = """bias AS (SELECT insight_id, count(*) AS evidence_count, CAST(sum(sample_size) AS BIGINT) AS sample_size, count(DISTINCT source_id) >= 2 AS balanced,
     CASE WHEN count(*) >= 2 THEN CAST(floor((epoch_us(max(observed_at)) - epoch_us(min(observed_at))) / 8.64e10 + 0.5) AS BIGINT) ELSE 0 END AS span_days FROM evidence GROUP BY 1),
@@ -40,14 +39,14 @@ def _(v):
 @query("intelligence_cycle", f"""WITH {BIAS_SQL}, j AS (SELECT i.insight_id, i.confidence, coalesce(s.evidence_count, 0) AS n, coalesce(s.confidence_score, 0) AS confidence_score, coalesce(s.sample_size >= 30 AND s.balanced AND s.span_days >= 14, false) AS ok FROM insights i LEFT JOIN scored s ON s.insight_id = i.insight_id)
     SELECT insight_id, confidence_score, CASE WHEN confidence = 'hypothesis' AND n >= 2 THEN 'validated' WHEN confidence = 'validated' AND ok THEN 'proven' ELSE confidence END AS confidence FROM j""", ("evidence", "insights"))
 def _(v):
-    return I.intelligence_cycle(v.insights, v.evidence, NOW).select("insight_id", "confidence_score", "confidence")
+    return I.intelligence_cycle(v.insights, v.evidence, now()).select("insight_id", "confidence_score", "confidence")
 
 
 @query("expired_insights", f"SELECT insight_id FROM insights WHERE expires_at < {S.NOW}", ("insights",))
 def _(v):
     from leadspan.functions.scoring import is_expired
 
-    return v.insights.filter(is_expired(F.col("expires_at"), NOW)).select("insight_id")
+    return v.insights.filter(is_expired(F.col("expires_at"), now())).select("insight_id")
 
 
 @query("insights_for_prompt", """WITH segs AS (SELECT DISTINCT tenant_id, segment FROM insights WHERE segment IS NOT NULL),
@@ -62,7 +61,7 @@ def _(v):
     UNION ALL SELECT insight_id + 1000000000, NULL, insight_id FROM insights WHERE insight_id % 10 = 0""", ("insights",))
 def _(v):
     new = v.insights.filter("insight_id % 10 = 0").select((F.col("insight_id") + 1000000000).alias("insight_id"), F.col("insight_id").alias("supersedes"))
-    return I.supersede(v.insights, new, NOW).select("insight_id", F.date_format("expires_at", "yyyy-MM-dd").alias("expires_on"), "supersedes")
+    return I.supersede(v.insights, new, now()).select("insight_id", F.date_format("expires_at", "yyyy-MM-dd").alias("expires_on"), "supersedes")
 
 
 def result_rows(v):
@@ -110,7 +109,7 @@ def _sets(v):
 @query("freshness", f"""WITH {SETS_SQL}, a AS (SELECT result_set_id, CAST(floor((epoch_us({S.NOW}) - epoch_us(created_at)) / 8.64e10) AS BIGINT) AS age_days FROM sets)
     SELECT *, CASE WHEN age_days > 60 THEN 'critical' WHEN age_days > 30 THEN 'warning' END AS severity FROM a""")
 def _(v):
-    return Q.freshness(_sets(v), NOW).drop("created_at")
+    return Q.freshness(_sets(v), now()).drop("created_at")
 
 
 ISSUES_SQL = f"""{COMPLETE_SQL}, {SETS_SQL}, k AS (SELECT result_set_id, {S.company_key('company_name', 'website')} AS key FROM result_rows WHERE NOT is_null_row),
@@ -123,12 +122,12 @@ ISSUES_SQL = f"""{COMPLETE_SQL}, {SETS_SQL}, k AS (SELECT result_set_id, {S.comp
 
 @query("data_quality", f"WITH {ISSUES_SQL} SELECT * FROM issues", ("result_rows",))
 def _(v):
-    return Q.data_quality(result_rows(v), _sets(v), NOW)
+    return Q.data_quality(result_rows(v), _sets(v), now())
 
 
 @query("quality_reviews", f"WITH {ISSUES_SQL} SELECT 'data_quality' AS type, 'Data Quality: ' || check_type || ' — ' || severity AS title, nudge AS description, result_set_id AS source_id, 'high' AS priority, 'pending' AS status FROM issues WHERE severity = 'critical'", ("result_rows",))
 def _(v):
-    return Q.review_rows(Q.data_quality(result_rows(v), _sets(v), NOW))
+    return Q.review_rows(Q.data_quality(result_rows(v), _sets(v), now()))
 
 
 CARD_SQL = """card AS (SELECT provider_id{by}, coalesce(sum(CASE WHEN metric = 'accuracy' THEN value * coalesce(sample_size, 1) END) / nullif(sum(CASE WHEN metric = 'accuracy' THEN coalesce(sample_size, 1) END), 0), 0) AS accuracy,
@@ -211,7 +210,7 @@ def _(v):
 @query("preference_learning", f"""WITH {RULES_SQL} SELECT 'content' AS category, '[copy] ' || description AS insight, 'validated' AS confidence, 'rlhf' AS source, 'preference' AS evidence_type, 'rl-copy' AS source_id, dimension AS metric, spread AS value, (SELECT count(*) FROM swipes) AS sample_size FROM named WHERE strength = 'strong'""", ("swipes",))
 def _(v):
     total = v.swipes.agg(F.count(F.lit(1)).alias("n"))
-    return P.preference_learning(_rules(v), total, "copy", NOW).drop("observed_at")
+    return P.preference_learning(_rules(v), total, "copy", now()).drop("observed_at")
 
 
 @query("like_rate", "SELECT CAST(floor(count(CASE WHEN verdict = 'like' THEN 1 END)::DOUBLE / count(*) * 100 + 0.5) AS BIGINT) AS like_rate, count(*) AS total_samples FROM swipes", ("swipes",))
@@ -224,7 +223,7 @@ def _(v):
 def _(v):
     fb = F.when(F.col("o_orderstatus") == "O", "approved").when(F.col("o_orderstatus") == "P", "rejected").when(F.col("o_orderkey") % 2 == 0, "flagged")
     rows = v.orders.select(F.col("o_orderpriority").alias("result_set_id"), fb.alias("feedback"))
-    return I.feedback_evidence(rows, NOW).select("source_id", "approved", "rejected", "flagged", "sample_size")
+    return I.feedback_evidence(rows, now()).select("source_id", "approved", "rejected", "flagged", "sample_size")
 
 
 @query("review_order", "SELECT review_id, priority, CASE priority WHEN 'urgent' THEN 0 WHEN 'high' THEN 1 WHEN 'normal' THEN 2 ELSE 3 END AS priority_rank FROM reviews WHERE status = 'pending'", ("reviews",))

@@ -134,10 +134,8 @@ def norm_name(c: Column) -> Column:
     maps = _decompositions()
     low = F.lower(text(c))
     marked, longer = maps["marked"], maps["longer"]
-    spelled = F.transform(
-        F.split(low, ""),
-        lambda ch: F.coalesce(F.try_element_at(F.map_from_arrays(F.lit(list(longer)), F.lit(list(longer.values()))), ch), ch),
-    )
+    table = F.str_to_map(F.lit("\x02".join(f"{k}\x01{v}" for k, v in longer.items())), F.lit("\x02"), F.lit("\x01"))
+    spelled = F.transform(F.split(low, ""), lambda ch: F.coalesce(F.try_element_at(table, ch), ch))
     wide = F.when(low.rlike(_char_class(longer)), F.array_join(spelled, "")).otherwise(low)
     wide = F.regexp_replace(wide, "(" + _char_class(marked) + ")", "$1 ")
     simple = {**maps["plain"], **marked}

@@ -55,3 +55,12 @@ def ordinals(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str
     joined = numbered.join(offsets, cond, "left")
     out = [numbered[c] for c in df.columns]
     return joined.select(*out, (F.col("_i") - 1 + F.col("_offset")).cast("bigint").alias(name))
+
+
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns behind a one-row generator.
+
+    Unlike withColumn, later filters on them are not rewritten in terms of the input, so long chains of derived
+    columns do not multiply while the query is planned.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
