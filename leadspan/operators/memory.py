@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leadspan.functions.normalize import approx_tokens, content_hash, tokens
+from leadspan.functions.similarity import cosine, keyword_score
+from leadspan.operators.graph import walk
+from leadspan.operators.ranking import computed, earliest_by, ordinals, top_k
+from leadspan.operators.vectors import similar_clusters
+
 
 def rerank_terms(now: Column) -> dict[str, Column]:
     """Confidence, recency and access terms added to the fused rank score."""
@@ -14,3 +20,177 @@ def rerank_terms(now: Column) -> dict[str, Column]:
         "recency_decay": F.coalesce(F.lit(-0.2) * (F.lit(1.0) - F.exp(-age_days / 90.0)), F.lit(0.0)),
         "access_boost": F.when(F.col("access_count") <= 0, 0.0).otherwise(F.least(F.lit(0.15), F.log2(F.col("access_count") + 1.0) * 0.03)),
     }
+
+
+def confidence_rank() -> Column:
+    return F.when(F.col("confidence") == "proven", 3).when(F.col("confidence") == "validated", 2).otherwise(1)
+
+
+def dense_rank(queries: DataFrame, embeddings: DataFrame, k: int) -> DataFrame:
+    """Top ``k`` nodes per query by cosine. Vectors of another length are skipped.
+
+    Scores are computed where the vectors are; only the best k per query and partition travel on.
+    """
+    q = queries.select("query_id", F.col("vector").alias("_q"), F.size("vector").alias("_dims"))
+    e = embeddings.select("node_id", F.col("vector").alias("_v"), F.size("vector").alias("_dims"))
+    scored = e.join(q, "_dims").select("query_id", "node_id", cosine(F.col("_q"), F.col("_v")).alias("similarity"))
+    return top_k(scored, ["query_id"], [F.col("similarity").desc(), F.col("node_id")], k, "dense_rank")
+
+
+def newest_nodes(nodes: DataFrame, limit: int) -> DataFrame:
+    """The newest active nodes per tenant."""
+    return top_k(nodes.filter("archived_at IS NULL"), ["tenant_id"], [F.col("created_at").desc(), F.col("node_id")], limit).drop("rn")
+
+
+def retrieve(
+    queries: DataFrame, nodes: DataFrame, now: Column, embeddings: DataFrame | None = None, edges: DataFrame | None = None, anchors: DataFrame | None = None,
+    top: int = 12, token_budget: int = 4000, graph_depth: int = 2, candidates: int = 500,
+) -> DataFrame:
+    """Hybrid retrieval for a batch of queries (query_id, tenant_id, text and, with embeddings, vector).
+
+    Candidates are the active nodes around a query's anchors, else the newest ``candidates`` of the tenant. Dense and
+    keyword ranks are fused by 1/(60 + rank), then confidence, recency and access are added; the best ``top`` are kept
+    as long as their tokens fit the budget (the first always is).
+    """
+    active = nodes.filter("archived_at IS NULL")
+    recent = queries.select("query_id", "tenant_id").join(newest_nodes(active, candidates).select("tenant_id", "node_id"), "tenant_id").select("query_id", "node_id")
+    if anchors is not None and edges is not None:
+        near = walk(edges, anchors, graph_depth, incoming=True).join(active.select("node_id"), "node_id", "left_semi").select("query_id", "node_id")
+        near = near.join(queries.select("query_id", "tenant_id"), "query_id").join(active.select("node_id", "tenant_id"), ["node_id", "tenant_id"]).select("query_id", "node_id")
+        chosen = near.union(recent.join(near.select("query_id").distinct(), "query_id", "left_anti"))
+    else:
+        chosen = recent
+    q = queries.select("query_id", F.array_distinct(tokens(F.col("text"))).alias("_qt"), *([F.col("vector").alias("_qv")] if embeddings is not None else []))
+    rows = chosen.join(active, "node_id").join(q, "query_id")
+    rows = computed(rows, keyword=keyword_score(F.col("_qt"), tokens(F.col("content"))), tokens_needed=approx_tokens(F.col("content")))
+    if embeddings is not None:
+        rows = rows.join(embeddings.select("node_id", F.col("vector").alias("_v")), "node_id", "left").withColumn("similarity", cosine(F.col("_qv"), F.col("_v"))).drop("_v", "_qv")
+    else:
+        rows = rows.withColumn("similarity", F.lit(None).cast("double"))
+    slim = rows.select("query_id", "node_id", "keyword", "similarity", "tokens_needed", "created_at", *[c.alias(n) for n, c in rerank_terms(now).items()])
+    slim = slim.withColumn("_newer", -F.unix_micros("created_at"))
+    place = (lambda df, score, name: ordinals(df.withColumn("_s", -F.coalesce(F.col(score), F.lit(-9.0))), ["query_id"], ["_s", "_newer", "node_id"], name).drop("_s")) if anchors is not None else (
+        lambda df, score, name: df.withColumn(name, F.row_number().over(Window.partitionBy("query_id").orderBy(F.col(score).desc_nulls_last(), "_newer", "node_id")) - 1)
+    )
+    ranked = place(place(slim, "keyword", "_k"), "similarity", "_d")
+    keyword_rank = F.when(F.col("keyword") > 0, F.col("_k") + 1)
+    dense = F.when(F.col("similarity").isNotNull(), F.col("_d") + 1)
+    part = lambda r: F.coalesce(1.0 / (60.0 + r), F.lit(0.0))
+    scored = computed(ranked, keyword_rank=keyword_rank, dense_rank=dense)
+    scored = computed(scored, rrf=part(F.col("dense_rank")) + part(F.col("keyword_rank")))
+    scored = computed(scored, score=F.col("rrf") + F.col("confidence_boost") + F.col("recency_decay") + F.col("access_boost"))
+    relevant = scored.filter("dense_rank IS NOT NULL OR keyword_rank IS NOT NULL")
+    best = top_k(relevant, ["query_id"], [F.col("score").desc(), F.col("_newer"), F.col("node_id")], top, "position")
+    return take_budget(best, token_budget).select("query_id", "node_id", "position", "score", "rrf", "keyword_rank", "dense_rank", "tokens_needed")
+
+
+def take_budget(ranked: DataFrame, budget: int) -> DataFrame:
+    """Prefix of each query's list whose tokens fit; the first row is always kept. Lists are already cut to top k."""
+    w = Window.partitionBy("query_id").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
+    return ranked.withColumn("_used", F.sum("tokens_needed").over(w)).filter((F.col("position") == 1) | (F.col("_used") <= budget)).drop("_used")
+
+
+def touch(nodes: DataFrame, returned: DataFrame, now: Column) -> DataFrame:
+    """Next snapshot: one more access and the time of it for every returned node."""
+    hit = returned.select("node_id").distinct().withColumn("_hit", F.lit(True))
+    j = nodes.join(hit, "node_id", "left")
+    return j.withColumn("access_count", F.col("access_count") + F.when(F.col("_hit"), 1).otherwise(0)).withColumn(
+        "last_accessed_at", F.when(F.col("_hit"), now).otherwise(F.col("last_accessed_at"))
+    ).drop("_hit")
+
+
+def missing_embeddings(nodes: DataFrame, embeddings: DataFrame) -> DataFrame:
+    return nodes.filter("archived_at IS NULL").join(embeddings.select("node_id"), "node_id", "left_anti")
+
+
+def cluster_head(members: DataFrame) -> DataFrame:
+    """Head per cluster of active nodes: confidence, then accesses, then the oldest."""
+    order = F.struct(confidence_rank(), F.col("access_count"), -F.unix_micros("created_at"), -F.col("node_id"))
+    return members.groupBy("cluster_id").agg(F.max_by("node_id", order).alias("head_id"), F.count(F.lit(1)).alias("members")).filter("members >= 2")
+
+
+def fold_clusters(nodes: DataFrame, clusters: DataFrame, edges: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) after folding: everyone but the head is archived and superseded by it."""
+    members = nodes.filter("archived_at IS NULL").join(clusters, "node_id")
+    heads = cluster_head(members)
+    losers = members.join(heads, "cluster_id").filter("node_id <> head_id").select("node_id", "head_id")
+    marked = nodes.join(losers.select("node_id", F.lit(True).alias("_lost")), "node_id", "left").withColumn(
+        "archived_at", F.when(F.col("_lost"), now).otherwise(F.col("archived_at"))
+    ).drop("_lost")
+    new = losers.select(
+        F.lit("node").alias("from_type"), F.col("head_id").alias("from_id"), F.lit("node").alias("to_type"), F.col("node_id").alias("to_id"),
+        F.lit("supersedes").alias("relation"), now.alias("created_at"),
+    )
+    return marked, edges.unionByName(new, allowMissingColumns=True)
+
+
+def promote_by_access(nodes: DataFrame, now: Column) -> DataFrame:
+    """Often used nodes move up one level, active ones only."""
+    n, age = F.col("access_count"), (F.unix_micros(now) - F.unix_micros("created_at")) / F.lit(8.64e10)
+    live = F.col("archived_at").isNull()
+    to_proven = live & (F.col("confidence") == "validated") & (n >= 10) & (age >= 14)
+    to_validated = live & (F.col("confidence") == "hypothesis") & (n >= 3)
+    up = nodes.withColumn("_p", F.when(to_proven, 2).when(to_validated, 1).otherwise(0))
+    return (
+        up.withColumn("confidence", F.when(F.col("_p") == 2, "proven").when(F.col("_p") == 1, "validated").otherwise(F.col("confidence")))
+        .withColumn("confidence_score", F.when(F.col("_p") == 2, F.least(F.lit(100), n + 80)).when(F.col("_p") == 1, F.least(F.lit(79), n * 5 + 40)).otherwise(F.col("confidence_score")))
+        .drop("_p")
+    )
+
+
+def flag_contradictions(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Both ends of a contradiction (between active nodes' edges) fall back to hypothesis with half the score."""
+    live = nodes.filter("archived_at IS NULL").select("node_id")
+    c = edges.filter("relation = 'contradicts' AND from_type = 'node' AND to_type = 'node'").join(live.withColumnRenamed("node_id", "from_id"), "from_id", "left_semi")
+    ends = c.select(F.col("from_id").alias("node_id")).union(c.select("to_id")).distinct().join(live, "node_id", "left_semi").withColumn("_hit", F.lit(True))
+    j = nodes.join(ends, "node_id", "left")
+    drop = F.col("_hit") & ((F.col("confidence") != "hypothesis") | (F.col("confidence_score") > 1))
+    return j.withColumn("_drop", F.coalesce(drop, F.lit(False))).withColumn(
+        "confidence_score", F.when(F.col("_drop"), F.floor(F.col("confidence_score") / 2)).otherwise(F.col("confidence_score"))
+    ).withColumn("confidence", F.when(F.col("_drop"), "hypothesis").otherwise(F.col("confidence"))).drop("_hit", "_drop")
+
+
+def archive_stale(nodes: DataFrame, now: Column, days: int = 365) -> DataFrame:
+    stale = F.col("archived_at").isNull() & (F.col("last_accessed_at") < F.timestamp_add("DAY", F.lit(-days), now))
+    return nodes.withColumn("archived_at", F.when(stale, now).otherwise(F.col("archived_at")))
+
+
+def maintain_memory(nodes: DataFrame, embeddings: DataFrame, edges: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """One maintenance pass: fold near-copies, promote, weigh contradictions, archive. A second pass changes nothing
+    but what new accesses or age bring."""
+    clusters = similar_clusters(embeddings)
+    nodes, edges = fold_clusters(nodes, clusters, edges, now)
+    nodes = promote_by_access(nodes, now)
+    nodes = flag_contradictions(nodes, edges)
+    return archive_stale(nodes, now), edges
+
+
+def upsert_nodes(stored: DataFrame, incoming: DataFrame, order: str) -> DataFrame:
+    """Stored nodes plus the first incoming row of every (tenant, content hash) not active yet."""
+    new = incoming.withColumn("source_hash", content_hash(F.col("content")))
+    first = earliest_by(new, ["tenant_id", "source_hash"], F.col(order))
+    known = stored.filter("archived_at IS NULL").select("tenant_id", "source_hash")
+    return stored.unionByName(first.join(known, ["tenant_id", "source_hash"], "left_anti"), allowMissingColumns=True)
+
+
+def index_candidates(nodes: DataFrame, limit: int = 400, max_chars: int | None = None) -> DataFrame:
+    """Newest active nodes of each tenant with their index rank (level, then score)."""
+    rank = confidence_rank() * 100 + F.col("confidence_score")
+    body = F.col("content") if max_chars is None else F.when(F.length("content") > max_chars, F.concat(F.substring("content", 1, max_chars), F.lit("…"))).otherwise(F.col("content"))
+    return newest_nodes(nodes, limit).withColumn("index_rank", rank).withColumn("content", body)
+
+
+def framework_candidates(nodes: DataFrame, limit: int = 200, answers: int = 100) -> DataFrame:
+    """Interview answers first, then by level and score, at most ``limit`` per tenant."""
+    is_answer = F.col("source_type") == "interview_answer"
+    pool = newest_nodes(nodes.filter(is_answer), answers).unionByName(newest_nodes(nodes, limit)).dropDuplicates(["node_id"])
+    order = [F.when(is_answer, 0).otherwise(1), confidence_rank().desc(), F.col("confidence_score").desc(), F.col("node_id")]
+    return top_k(pool, ["tenant_id"], order, limit, "position")
+
+
+def replace_index(entries: DataFrame, candidates: DataFrame) -> DataFrame:
+    """New index rows of the tenants in ``entries``: ids that are no candidates are dropped, then empty entries."""
+    ids = entries.select("tenant_id", "name", F.posexplode("node_ids").alias("_at", "node_id"))
+    valid = ids.join(candidates.select("tenant_id", "node_id"), ["tenant_id", "node_id"], "left_semi")
+    kept = valid.groupBy("tenant_id", "name").agg(F.array_sort(F.collect_list(F.struct("_at", "node_id"))).alias("_v"))
+    return entries.drop("node_ids").join(kept.select("tenant_id", "name", F.col("_v.node_id").alias("node_ids")), ["tenant_id", "name"])
