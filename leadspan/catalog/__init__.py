@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("reports", "scalars", "linkage", "stores", "discovery", "memory")
+MODULES = ("reports", "scalars", "linkage", "stores", "discovery", "memory", "pipelines")
 
 
 def load_all():

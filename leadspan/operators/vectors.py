@@ -30,7 +30,7 @@ def _distances(points: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2 - 2 * points @ pivots.T, 0))
 
 
-def similar_links(vectors: DataFrame, threshold: float = 0.85, max_pivots: int = 256, tile: int = 2000) -> DataFrame:
+def similar_links(vectors: DataFrame, threshold: float = 0.85, max_pivots: int = 1024, tile: int = 2000) -> DataFrame:
     """Links (a, b) whose connected components are those of all pairs with cosine >= threshold.
 
     ``vectors``: node_id, vector (one length). Equal vectors are linked to the first of them and compared once;
@@ -42,7 +42,8 @@ def similar_links(vectors: DataFrame, threshold: float = 0.85, max_pivots: int =
     same = keyed.join(first, ["_h", "vector"]).filter("node_id <> a").select("a", F.col("node_id").alias("b"))
     points = first.select(F.col("a").alias("node_id"), "vector")
     # bounded: at most max_pivots vectors come to the driver
-    chosen = points.orderBy(F.xxhash64("node_id"), "node_id").limit(max_pivots).collect()
+    wanted = min(max_pivots, max(8, math.isqrt(points.count())))
+    chosen = points.orderBy(F.xxhash64("node_id"), "node_id").limit(wanted).collect()
     if not chosen:
         return same
     pivots = _unit(pd.Series([r["vector"] for r in chosen]))
