@@ -107,7 +107,15 @@ def _decompositions() -> dict[str, dict[str, str]]:
 
 
 def _char_class(chars) -> str:
-    return "[" + "".join(f"\\u{ord(c):04x}" for c in chars) + "]"
+    """Regex class of lower-case characters as few ranges: gaps that only hold upper-case letters are closed."""
+    ranges: list[list[int]] = []
+    for code in sorted(map(ord, chars)):
+        gap = range(ranges[-1][1] + 1, code) if ranges else range(0)
+        if ranges and all(chr(g).lower() != chr(g) for g in gap):
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    return "[" + "".join(f"\\u{a:04x}" if a == b else f"\\u{a:04x}-\\u{b:04x}" for a, b in ranges) + "]"
 
 
 @lru_cache(maxsize=1)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadspan.functions.normalize import approx_tokens, content_hash, tokens
-from leadspan.functions.similarity import cosine, keyword_score
+from leadspan.functions.similarity import cosine
 from leadspan.operators.graph import walk
 from leadspan.operators.ranking import computed, earliest_by, ordinals, top_k
 from leadspan.operators.vectors import similar_clusters
@@ -60,11 +60,12 @@ def retrieve(
         chosen = near.union(recent.join(near.select("query_id").distinct(), "query_id", "left_anti"))
     else:
         chosen = recent
-    q = queries.select("query_id", F.array_distinct(tokens(F.col("text"))).alias("_qt"), *([F.col("vector").alias("_qv")] if embeddings is not None else []))
-    rows = chosen.join(active, "node_id").join(q, "query_id")
-    rows = computed(rows, keyword=keyword_score(F.col("_qt"), tokens(F.col("content"))), tokens_needed=approx_tokens(F.col("content")))
+    rows = chosen.join(active, "node_id").join(_keyword_scores(queries, active, chosen), ["query_id", "node_id"], "left").fillna(0.0, ["keyword"])
+    rows = rows.withColumn("tokens_needed", approx_tokens(F.col("content")))
     if embeddings is not None:
-        rows = rows.join(embeddings.select("node_id", F.col("vector").alias("_v")), "node_id", "left").withColumn("similarity", cosine(F.col("_qv"), F.col("_v"))).drop("_v", "_qv")
+        vectors = embeddings.select("node_id", F.col("vector").alias("_v"))
+        rows = rows.join(queries.select("query_id", F.col("vector").alias("_qv")), "query_id").join(vectors, "node_id", "left")
+        rows = rows.withColumn("similarity", cosine(F.col("_qv"), F.col("_v")))
     else:
         rows = rows.withColumn("similarity", F.lit(None).cast("double"))
     slim = rows.select("query_id", "node_id", "keyword", "similarity", "tokens_needed", "created_at", *[c.alias(n) for n, c in rerank_terms(now).items()])
@@ -84,6 +85,19 @@ def retrieve(
     return take_budget(best, token_budget).select("query_id", "node_id", "position", "score", "rrf", "keyword_rank", "dense_rank", "tokens_needed")
 
 
+def _keyword_scores(queries: DataFrame, nodes: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Keyword score of each candidate with at least one hit.
+
+    Every text is split once; its distinct words meet the query words in an equi-join, and hits are counted per pair.
+    """
+    needed = nodes.join(chosen.select("node_id").distinct(), "node_id", "left_semi").select("node_id", "tenant_id", tokens(F.col("content")).alias("_t"))
+    words = needed.select("node_id", "tenant_id", F.size("_t").alias("_n"), F.explode(F.array_distinct("_t")).alias("word"))
+    asked = queries.select("query_id", "tenant_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("word"))
+    hits = words.join(asked, ["tenant_id", "word"]).groupBy("query_id", "node_id", "_n").agg(F.count(F.lit(1)).alias("_h"))
+    score = F.col("_h") / F.greatest(F.lit(1.0), F.log2(F.col("_n") + 2.0))
+    return hits.select("query_id", "node_id", score.alias("keyword"))
+
+
 def take_budget(ranked: DataFrame, budget: int) -> DataFrame:
     """Prefix of each query's list whose tokens fit; the first row is always kept. Lists are already cut to top k."""
     w = Window.partitionBy("query_id").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
