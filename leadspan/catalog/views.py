@@ -6,15 +6,20 @@ two go through a small dialect object. Views keep every row of their tables, so
 
 from __future__ import annotations
 
-from functools import cached_property
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from leadspan.session import spread
+
 BASE_TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
 ).split()
 
+# Tables whose queries do much work per row (texts, regular expressions).
+COSTLY_TABLES = ("documents", "pages", "events")
+
 FIRST_NAMES = (
     "Ada Alan Barbara Carl Claude Dana Dennis Donald Edsger Edith Emmy Frances Grace Hedy Ivan Jean John "
     "Joan Karen Ken Kurt Leslie Linus Lynn Margaret Marie Mary Niklaus Noam Olga Peter Radia Rosa Sofia "
@@ -394,7 +399,8 @@ class Views:
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._made:
             if name in BASE_TABLES:
-                self._made[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+                table = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+                self._made[name] = spread(table) if name in COSTLY_TABLES else table
             else:
                 needs, text = _SPARK[name]
                 self._made[name] = self.spark.sql(_brace(text, needs), **{n: self[n] for n in needs})
@@ -403,8 +409,6 @@ class Views:
 
 def _brace(text: str, needs: tuple[str, ...]) -> str:
     """Refer to the DataFrames passed to spark.sql: FROM orders -> FROM {orders}."""
-    import re
-
     for n in needs:
         text = re.sub(rf"\b(FROM|JOIN)\s+{n}\b(\s+[cl]\b)?", lambda m, n=n: f"{m[1]} {{{n}}}{m[2] or ' AS ' + n}", text)
     return text

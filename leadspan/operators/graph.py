@@ -28,33 +28,23 @@ def walk(edges: DataFrame, anchors: DataFrame, depth: int = 2, relations: Sequen
     return visited.filter("type = 'node'").select("query_id", F.col("id").alias("node_id"))
 
 
-def _follow(pointers: DataFrame, rounds: int | None) -> tuple[DataFrame, DataFrame]:
-    """Pointer doubling: (node, to) pairs that reached an end, and those still moving.
+def _follow(pointers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pointer doubling: (node, to) pairs that reached an end, and those that never will.
 
-    Without ``rounds`` it stops once a round settles nothing: in a chain every depth occurs, so what is left leads
-    into a cycle.
+    It stops once a round settles nothing: in a chain every depth occurs, so what is left leads into a cycle.
     """
-    settled, moving, left = None, pointers, pointers.count()
-    done_rounds = 0
-    while left and (rounds is None or done_rounds < rounds):
-        ahead = moving.select(F.col("node").alias("to"), F.col("to").alias("_next"))
-        both = moving.join(ahead, "to", "left")
-        stepped = cut_lineage(both.select("node", F.coalesce("_next", "to").alias("to"), F.col("_next").isNull().alias("_end")))
-        ended = stepped.filter("_end").select("node", "to")
-        settled = ended if settled is None else settled.union(ended)
-        ends = settled.select(F.col("node").alias("to"), F.col("to").alias("_final"))
-        rest = stepped.filter("NOT _end").select("node", "to")
-        # a pointer that now rests on a settled node takes that node's end
-        joined = cut_lineage(rest.join(ends, "to", "left"))
-        settled = settled.union(joined.filter("_final IS NOT NULL").select("node", F.col("_final").alias("to")))
-        moving = joined.filter("_final IS NULL").select("node", "to")
+    settled, moving, left = pointers.limit(0), pointers, pointers.count()
+    while left:
+        ahead = moving.select(F.col("node").alias("to"), F.col("to").alias("_next"), F.lit(False).alias("_done")).union(settled.select("node", "to", F.lit(True)))
+        stepped = moving.join(ahead, "to", "left").select("node", F.coalesce("_next", "to").alias("to"), F.coalesce("_done", F.lit(True)).alias("_end"))
+        stepped = cut_lineage(stepped)
+        settled = settled.union(stepped.filter("_end").select("node", "to"))
+        moving = stepped.filter("NOT _end").select("node", "to")
         now_left = moving.count()
-        done_rounds += 1
-        if rounds is None and now_left == left:
+        if now_left == left:
             break
         left = now_left
-    empty = pointers.limit(0)
-    return (settled if settled is not None else empty), moving
+    return settled, moving
 
 
 def canonical_head(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -63,28 +53,28 @@ def canonical_head(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         F.max_by("from_id", F.struct("created_at", "edge_id")).alias("to")
     )
     parent = cut_lineage(parent)
-    settled, looping = _follow(parent, None)
+    settled, looping = _follow(parent)
     left = looping.count()
     heads = settled
     if left:
         inside = parent.join(looping.select("node"), "node", "left_semi")
-        _, jumped = _follow_fixed(inside, max(1, left.bit_length()))
+        jumped = _jump(inside, max(1, left.bit_length()))
         on_cycle = jumped.select(F.col("to").alias("node")).distinct()
         tails = cut_lineage(inside.join(on_cycle, "node", "left_anti"))
-        entered, _ = _follow(tails, None)
+        entered, _ = _follow(tails)
         heads = heads.union(entered).union(on_cycle.select("node", F.col("node").alias("to")))
     return nodes.select("node_id").join(heads.select(F.col("node").alias("node_id"), F.col("to").alias("_head")), "node_id", "left").select(
         "node_id", F.coalesce("_head", "node_id").alias("head_id")
     )
 
 
-def _follow_fixed(pointers: DataFrame, rounds: int) -> tuple[None, DataFrame]:
+def _jump(pointers: DataFrame, rounds: int) -> DataFrame:
     """Doubling inside a closed set where every node has a successor; after enough rounds all pointers lie on cycles."""
     moving = pointers
     for _ in range(rounds):
         ahead = moving.select(F.col("node").alias("to"), F.col("to").alias("_next"))
         moving = cut_lineage(moving.join(ahead, "to").select("node", F.col("_next").alias("to")))
-    return None, moving
+    return moving
 
 
 def connected_components(pairs: DataFrame) -> DataFrame:
