@@ -227,24 +227,29 @@ def with_step(content: DataFrame, steps: DataFrame) -> DataFrame:
     ).withColumn("channel", F.coalesce("channel", F.lit("unknown")))
 
 
+CONTENT_COUNTS = ["total_leads", "qualified", "sent", "opened", "replied", "converted", "bounced"]
+
+
 def content_metrics(content: DataFrame, steps: DataFrame) -> DataFrame:
-    """Eight counts per campaign overall, by step, by channel and by variant in one pass (grouping sets)."""
-    rows = with_step(content, steps).withColumn("variant", F.coalesce("variant", F.lit("default")))
-    counted = rows.groupingSets(
-        [["campaign_id"], ["campaign_id", "step_key"], ["campaign_id", "channel"], ["campaign_id", "variant"]],
-        "campaign_id", "step_key", "channel", "variant",
-    ).agg(
-        F.count(F.lit(1)).alias("total_leads"), count_if(F.col("status") != "failed").alias("qualified"),
-        F.count(F.lit(1)).alias("content_generated"), F.count("sent_at").alias("sent"), F.count("opened_at").alias("opened"),
+    """Eight counts per campaign overall, by step, by channel and by variant.
+
+    The events are counted once on (campaign, step, variant); steps and the four groupings only meet those counts.
+    """
+    once = content.groupBy("campaign_id", "step_no", F.coalesce("variant", F.lit("default")).alias("variant")).agg(
+        F.count(F.lit(1)).alias("total_leads"), count_if(F.col("status") != "failed").alias("qualified"), F.count("sent_at").alias("sent"), F.count("opened_at").alias("opened"),
         F.count("replied_at").alias("replied"), F.count("converted_at").alias("converted"), F.count("bounced_at").alias("bounced"),
     )
+    summed = with_step(once, steps).groupingSets(
+        [["campaign_id"], ["campaign_id", "step_key"], ["campaign_id", "channel"], ["campaign_id", "variant"]],
+        "campaign_id", "step_key", "channel", "variant",
+    ).agg(*[F.sum(c).alias(c) for c in CONTENT_COUNTS])
     grouping = (
         F.when(F.col("step_key").isNotNull(), "step").when(F.col("channel").isNotNull(), "channel")
         .when(F.col("variant").isNotNull(), "variant").otherwise("overall")
     )
-    return counted.select(
+    return summed.select(
         "campaign_id", grouping.alias("grouping"), F.coalesce("step_key", "channel", "variant", F.lit("all")).alias("group_key"),
-        "total_leads", "qualified", "content_generated", "sent", "opened", "replied", "converted", "bounced",
+        "total_leads", "qualified", F.col("total_leads").alias("content_generated"), "sent", "opened", "replied", "converted", "bounced",
     )
 
 
