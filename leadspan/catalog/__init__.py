@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("reports", "scalars", "linkage", "stores", "discovery", "memory", "pipelines", "files")
+MODULES = ("reports", "scalars", "linkage", "stores", "discovery", "memory", "whole_runs", "files")
 
 
 def load_all():

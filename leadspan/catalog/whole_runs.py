@@ -9,7 +9,7 @@ from leadspan.catalog import reports as RP
 from leadspan.catalog.registry import query
 from leadspan.catalog.scalars import FUND, SCORED_SQL
 from leadspan.functions import scoring as G
-from leadspan.plans import mining, pipeline, qualify, reporting, tracking
+from leadspan.plans import mining, qualify, reporting, steps, tracking
 
 RULES = qualify.Rules(headline=["ceo", "vp", "head of", "product", "director", "engineer"], exclusions=["gauss", "recruit"], disqualifiers=["umbrella"], dedup=LK.CONFIG)
 
@@ -108,10 +108,10 @@ def _(v):
     return _mined(v)["delivered"].select("mined_id", "rr_id", "name", "email")
 
 
-@query("run_pipeline", """SELECT campaign_id, count(*) AS leads, max(score) AS best FROM (SELECT campaign_id, qualification_score AS score FROM campaign_leads WHERE qualification_score >= 40 AND email IS NOT NULL) x GROUP BY 1""", ("campaign_leads",))
+@query("declared_steps", """SELECT campaign_id, count(*) AS leads, max(score) AS best FROM (SELECT campaign_id, qualification_score AS score FROM campaign_leads WHERE qualification_score >= 40 AND email IS NOT NULL) x GROUP BY 1""", ("campaign_leads",))
 def _(v):
-    steps = [
-        pipeline.PipelineStep("pick", lambda df: df, condition="qualification_score >= 40 AND email exists", fields={"qualification_score": "score"}, target=["campaign_id"]),
-        pipeline.PipelineStep("count", lambda df: df.groupBy("campaign_id").agg(F.count(F.lit(1)).alias("leads"), F.max("score").alias("best")), source="pick"),
+    declared = [
+        steps.RunStep("pick", lambda df: df, condition="qualification_score >= 40 AND email exists", fields={"qualification_score": "score"}, target=["campaign_id"]),
+        steps.RunStep("count", lambda df: df.groupBy("campaign_id").agg(F.count(F.lit(1)).alias("leads"), F.max("score").alias("best")), source="pick"),
     ]
-    return pipeline.run_pipeline(v.campaign_leads, steps)["count"]
+    return steps.run_steps(v.campaign_leads, declared)["count"]

@@ -12,7 +12,7 @@ from leadspan.operators.filters import map_fields
 
 
 @dataclass(frozen=True)
-class PipelineStep:
+class RunStep:
     name: str
     run: Callable[[DataFrame], DataFrame]
     source: str | None = None
@@ -22,7 +22,7 @@ class PipelineStep:
     literals: Mapping[str, object] = field(default_factory=dict)
 
 
-def run_pipeline(start: DataFrame, steps: Sequence[PipelineStep]) -> dict[str, DataFrame]:
+def run_steps(start: DataFrame, steps: Sequence[RunStep]) -> dict[str, DataFrame]:
     """Results by step name. Nothing runs here: the steps compose one lazy plan, which Spark optimises as a whole."""
     results: dict[str, DataFrame] = {"start": start}
     last = "start"
