@@ -1,5 +1,61 @@
-"""Corpus preparation in stages; each stage's rows are written as Parquet and read again by the next."""
+"""Corpus preparation: quality rules, near-duplicates, benchmark passages, source weights, token shards.
+
+Each stage is a function of (spark, docs, sf_dir); its rows are written as Parquet and read again as the next one's docs.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from leadspan.llm import decontaminate, mixing, rules, simhash, wavelet
+from leadspan.llm.texts import documents, ready, scratch
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no quality rule rejects."""
+    ready(spark)
+    return rules.filter_quality(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash group: the one with the smallest id."""
+    ready(spark)
+    return simhash.keep_one(docs)
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without an overlap with the benchmark."""
+    return decontaminate.drop_contaminated(docs, documents(spark, sf_dir, "benchmark"))
+
+
+def source_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    ready(spark)
+    return mixing.mix(docs)
+
+
+def token_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Place, length and checksum of every document, read back from the token shards."""
+    ready(spark)
+    return wavelet.encode_documents(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("SimHash near-dedup", near_duplicates),
+    ("benchmark decontamination", benchmark_passages),
+    ("mixing sources", source_weights),
+    ("token shards", token_shards),
+]
+
+# Fingerprints, the cube method and token ids have no SQL form; tests/llm compares run() with a brute-force version.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    folder = scratch(spark, "pipeline")
+    for i, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
+        docs = spark.read.parquet(f"{folder}/{i}")
+    return docs

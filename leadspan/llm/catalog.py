@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leadspan.llm import mixing, rules, simhash, wavelet
+import corpus_pipeline
+from leadspan.llm import decontaminate, mixing, rules, simhash, wavelet
 from leadspan.llm.texts import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +24,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.measures(documents(spark, sf_dir))
 
 
+@query
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
 @query
 def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.encode_documents(documents(spark, sf_dir))
@@ -36,3 +42,8 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

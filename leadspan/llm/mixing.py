@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadspan.llm.texts import word_count
+from leadspan.llm.texts import packed, word_count
 from leadspan.operators.ranking import ordinals
 from leadspan.session import cut_lineage
 
@@ -172,12 +172,12 @@ def copies(docs: DataFrame, size: Column | None = None, id_column: str = "doc_id
 
 def mix(docs: DataFrame, id_column: str = "doc_id", source_column: str = "source", text_column: str = "text", **options) -> DataFrame:
     """The mixed corpus: each row of ``docs`` as often as it is taken, with its own columns."""
-    sized = docs.withColumn("_size", word_count(F.col(text_column)))
-    taken = copies(sized, F.col("_size"), id_column, source_column, **options).filter("copies > 0")
+    size = word_count(F.col(text_column))
+    taken = copies(docs, size, id_column, source_column, **options).filter("copies > 0").withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
     taken = taken.select(F.col("source").alias("_s"), F.col("doc_id").alias("_d"), F.col("size").alias("_z"), F.col("copies").cast("int").alias("_copies"))
-    same = F.col(source_column).cast("string").eqNullSafe(F.col("_s")) & F.col(id_column).cast("bigint").eqNullSafe(F.col("_d")) & (F.col("_size") == F.col("_z"))
-    repeated = sized.join(taken, same).withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = packed(docs, F.col(source_column).cast("string").alias("_source"), F.coalesce(F.col(id_column).cast("bigint"), F.lit(NO_ID)).alias("_id"), size.alias("_size"))
+    joined = rows.join(taken, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_id") == F.col("_d")) & (F.col("_size") == F.col("_z")))
+    return joined.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
 
 
 def taken_words(docs: DataFrame, id_column: str = "doc_id", source_column: str = "source", text_column: str = "text", **options) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leadspan.llm.texts import identity, words_of
+from leadspan.llm.texts import identity, packed, words_of
 from leadspan.operators.graph import connected_components
 from leadspan.session import cut_lineage
 
@@ -159,10 +159,6 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     groups = grouped(fingerprints(docs, id_column, text_column), bits)
     kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("_id", "component_id").agg(F.min("_content").alias("_content"), F.collect_set("_content").alias("_all"))
     kept = kept.select("_id", F.explode(F.when(F.col("component_id").isNull(), F.col("_all")).otherwise(F.array("_content"))).alias("_content")).distinct()
-    named = docs.select("*", *identity(id_column, text_column)).join(kept, ["_id", "_content"])
-    return _first_of(named, ["_id", "_content"]).select(*[F.col(f"`{c}`") for c in docs.columns])
-
-
-def _first_of(df: DataFrame, keys: list[str]) -> DataFrame:
-    numbered = df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(1))))
-    return numbered.filter("_n = 1")
+    named = packed(docs, *identity(id_column, text_column)).join(kept, ["_id", "_content"])
+    once = named.withColumn("_n", F.row_number().over(Window.partitionBy("_id", "_content").orderBy(F.lit(1)))).filter("_n = 1")
+    return once.select("_row.*")

@@ -47,6 +47,11 @@ def identity(id_column: str = "doc_id", text_column: str = "text") -> list[Colum
     ]
 
 
+def packed(docs: DataFrame, *more: Column) -> DataFrame:
+    """Whole rows in one column ``_row`` beside derived ones, so that no column of ``docs`` can clash with these."""
+    return docs.select(F.struct("*").alias("_row"), *more)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder in the shared place the cluster names."""
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
