@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadspan.llm.texts import identity, packed
+from leadspan.llm.texts import bit_map, identity, in_bit_map, packed
 from leadspan.session import cut_lineage
 
 # Found by search: no smaller set of masks with six positions in a span of 10 or less has the property above.
@@ -31,7 +31,6 @@ WINDOW = 13
 SIMILARITY = 0.8
 OUTER = ".,;:!?\"'()[]{}«»“”‘’…-–—*#&%$|<>"
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], dtype=np.uint64)
-MAP_BITS = 26  # of the bit map: 8 MB at most, whatever the size of the benchmark; a denser map only lets more windows through
 
 
 def token_hashes(text: str | None) -> np.ndarray:
@@ -90,21 +89,6 @@ def _seeds(items: DataFrame) -> DataFrame:
     return cut_lineage(items.mapInPandas(seeds, "seed bigint, item bigint, item_at int"))
 
 
-def _bit_map(seeds: DataFrame) -> np.ndarray:
-    """One bit per seed's leading bits; at most 2 ** (MAP_BITS - 6) words come to the driver."""
-    place = F.shiftrightunsigned("seed", 64 - MAP_BITS)
-    words = seeds.select(F.shiftright(place, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), place.bitwiseAND(63).cast("int")).alias("bit"))
-    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
-    bits = np.zeros(1 << (MAP_BITS - 6), dtype=np.uint64)
-    bits[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
-    return bits
-
-
-def _hit(bits: np.ndarray, seeds: np.ndarray) -> np.ndarray:
-    place = seeds >> np.uint64(64 - MAP_BITS)
-    return (bits[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
-
-
 REGION = "_id bigint, _content bigint, region int, start bigint, tokens array<bigint>, core string, core_at int, hit_at array<int>, hit_seed array<bigint>"
 
 
@@ -119,7 +103,7 @@ def _regions(docs: DataFrame, bits: np.ndarray) -> DataFrame:
                 if len(tokens) < SPAN:
                     continue
                 seeds = [seed_hashes(tokens, m) for m in range(len(MASKS))]
-                hits = [_hit(shared.value, s) for s in seeds]
+                hits = [in_bit_map(shared.value, s) for s in seeds]
                 at = np.flatnonzero(np.logical_or.reduce(hits))
                 for number, run in enumerate(np.split(at, np.flatnonzero(np.diff(at) > WINDOW) + 1) if len(at) else []):
                     low, high = max(0, run[0] - WINDOW), min(len(tokens), run[-1] + SPAN + WINDOW)
@@ -141,7 +125,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", te
     items = _items(benchmark, item_column, item_text_column)
     seeds = _seeds(items)
     rows = docs.select(*identity(id_column, text_column), F.col(text_column).alias("text"))
-    found = _regions(rows, _bit_map(seeds))
+    found = _regions(rows, bit_map(seeds, "seed"))
     cores = found.groupBy("core").agg(F.first(F.arrays_zip("hit_at", "hit_seed")).alias("hits"))
     diagonals = cores.select("core", F.inline("hits")).join(seeds, F.col("hit_seed") == F.col("seed")).select("core", "item", (F.col("hit_at") - F.col("item_at")).alias("diagonal")).distinct()
     pairs = found.select("_id", "_content", "start", "tokens", "core", "core_at").join(diagonals, "core").join(items.withColumnRenamed("tokens", "item_tokens"), "item")

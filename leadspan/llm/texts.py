@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +53,25 @@ def packed(docs: DataFrame, *more: Column) -> DataFrame:
     return docs.select(F.struct("*").alias("_row"), *more)
 
 
+MAP_BITS = 26  # of a bit map: 8 MB, whatever is put in; a denser map only lets more through to the exact join behind it
+
+
+def bit_map(hashes: DataFrame, column: str) -> np.ndarray:
+    """One bit for the leading bits of each 64-bit hash; at most 2 ** (MAP_BITS - 6) words come to the driver."""
+    place = F.shiftrightunsigned(column, 64 - MAP_BITS)
+    words = hashes.select(F.shiftright(place, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), place.bitwiseAND(63).cast("int")).alias("bit"))
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    bits = np.zeros(1 << (MAP_BITS - 6), dtype=np.uint64)
+    bits[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
+    return bits
+
+
+def in_bit_map(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which unsigned hashes may have been put in."""
+    place = hashes >> np.uint64(64 - MAP_BITS)
+    return (bits[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder in the shared place the cluster names."""
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
