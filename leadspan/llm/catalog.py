@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from leadspan.llm import decontaminate, lines, mixing, rules, secrets, simhash, toxicity, urls, wavelet
+from leadspan.llm import chat, decontaminate, lines, mixing, rules, secrets, simhash, toxicity, urls, wavelet
 from leadspan.llm.texts import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
 
 
+@query
+def op5_chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.canonical(documents(spark, sf_dir, "conversations"))
+
+
 @query
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
