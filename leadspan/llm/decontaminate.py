@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadspan.llm.texts import bit_map, identity, in_bit_map, packed
+from leadspan.llm.texts import bit_map, given_id, identity, in_bit_map, packed
 from leadspan.session import cut_lineage
 
 # Found by search: no smaller set of masks with six positions in a span of 10 or less has the property above.
@@ -147,7 +147,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **columns) -> DataFrame:
     found = matches(docs, benchmark, **columns)
     order = F.struct("equal", "length", -F.col("doc_start"), -F.col("item_start"))
     best = found.groupBy("_id", "item").agg(F.max_by(F.struct("doc_start", "item_start", "length", "equal"), order).alias("best"))
-    return best.select(F.nullif(F.col("_id"), F.lit(-(2**63))).alias("doc_id"), F.col("item").alias("item_id"), "best.*")
+    return best.select(given_id("_id").alias("doc_id"), F.col("item").alias("item_id"), "best.*")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", **columns) -> DataFrame:

@@ -1,8 +1,8 @@
 """Removal of repeated passages by content-defined chunks of lines.
 
-A rolling hash over the hashes of the last two lines ends a chunk wherever its value is divisible by ``PERIOD``, so
-boundaries depend on the lines around them only and an inserted line moves no other boundary. A line of ``PASSAGE_WORDS``
-or more words is a passage by itself: there is a boundary before and after it.
+A rolling hash over the hashes of the last two lines ends a chunk of two or more lines wherever its value is divisible by
+``PERIOD``, so boundaries depend on the lines around them and those after an inserted line fall into step again. A line of
+``PASSAGE_WORDS`` or more words is a passage by itself: there is a boundary before and after it.
 
 Chunks of several lines with ``CHUNK_WORDS`` or more words, and passages, are candidates. Their hashes are counted over
 all documents; chunks with a repeated hash are compared byte by byte and all but the first, in order of doc_id and
@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadspan.llm.texts import bit_map, identity, in_bit_map
+from leadspan.llm.texts import bit_map, given_id, identity, in_bit_map
 from leadspan.session import cut_lineage
 
 PERIOD = 2
@@ -31,7 +31,7 @@ WHOLE = 2**64 - 1
 
 def chunks(text: str) -> list[tuple[int, int, int]]:
     """(start, end, words) of each chunk in code points; ends include the line break, so that chunks make up the text."""
-    out, start, at, before, words = [], 0, 0, 0, 0
+    out, start, at, before, words, held = [], 0, 0, 0, 0, 0
     lines = text.split("\n")
     for i, line in enumerate(lines):
         size = len(line) + (i < len(lines) - 1)
@@ -41,12 +41,13 @@ def chunks(text: str) -> list[tuple[int, int, int]]:
         passage = count >= PASSAGE_WORDS
         if passage and at > start:
             out.append((start, at, words))
-            start, words = at, 0
+            start, words, held = at, 0, 0
         at += size
         words += count
-        if passage or (rolled ^ rolled >> 32) % PERIOD == 0:
+        held += 1
+        if at > start and (passage or held > 1 and (rolled ^ rolled >> 32) % PERIOD == 0):
             out.append((start, at, words))
-            start, words = at, 0
+            start, words, held = at, 0, 0
         before = own
     if at > start:
         out.append((start, at, words))
@@ -106,7 +107,7 @@ def remove_repeated(docs: DataFrame, id_column: str = "doc_id", text_column: str
     results; other columns are not read; an empty table gives no rows.
     """
     gone = repeated(docs, id_column, text_column).distinct().groupBy("_id", "_content").agg(F.sort_array(F.collect_list("start")).alias("starts"))
-    rows = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text"), *identity(id_column, text_column))
+    rows = docs.select(F.col(text_column).alias("text"), *identity(id_column, text_column))
 
     def rebuild(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -117,8 +118,9 @@ def remove_repeated(docs: DataFrame, id_column: str = "doc_id", text_column: str
                 spans = ",".join(f"{a}:{b}" for a, b, _ in parts if a in drop)
                 out.append((len(parts), len(drop), sum(n for a, _, n in parts if a in drop), spans, kept))
             table = pd.DataFrame(out, columns=["n_chunks", "removed_chunks", "removed_words", "removed", "text"])
-            table.insert(0, "doc_id", batch["doc_id"].to_numpy())
+            table.insert(0, "doc_id", batch["_id"].to_numpy())
             yield table
 
-    joined = rows.join(gone, ["_id", "_content"], "left").select("doc_id", "text", "starts")
-    return joined.mapInPandas(rebuild, "doc_id bigint, n_chunks bigint, removed_chunks bigint, removed_words bigint, removed string, text string")
+    joined = rows.join(gone, ["_id", "_content"], "left").select("_id", "text", "starts")
+    rebuilt = joined.mapInPandas(rebuild, "doc_id bigint, n_chunks bigint, removed_chunks bigint, removed_words bigint, removed string, text string")
+    return rebuilt.withColumn("doc_id", given_id("doc_id"))

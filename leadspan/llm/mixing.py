@@ -9,7 +9,7 @@ reach 0 or 1. With two constraints (documents, words) three open documents alway
 every move settles at least one of them; a block of any size ends with at most two open documents, and since large
 documents are pushed first, with small ones. Blocks run in
 parallel, the few open documents of all blocks are gathered into new blocks, and so on until one block per source is
-left. Its last two documents are the landing problem: of their four outcomes the one nearest to the balanced totals.
+left. Its last documents are the landing problem: of all their outcomes the one nearest to the balanced totals.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadspan.llm.texts import packed, word_count
+from leadspan.llm.texts import NO_ID, given_id, known_id, packed, word_count
 from leadspan.operators.ranking import ordinals
 from leadspan.session import cut_lineage
 
@@ -30,6 +30,8 @@ WEIGHTS = (1.0, 2.0, 3.0)
 MOST_REPEATS = 3.0
 BLOCK_UNITS = 4096  # documents that one task settles at a time, on average
 SETTLED = 1e-9
+LANDING = 12  # smallest open documents of a source that the landing decides over, with what the flight leaves
+WORDS_FIRST = 4.0
 AT_ONCE = 128  # open documents that the flight moves together
 
 
@@ -81,18 +83,30 @@ def flight(sizes: Sequence[float], chances: Sequence[float], draws: Callable[[in
 
 
 def landing(sizes: Sequence[float], chances: Sequence[float], counts: Sequence[float]) -> np.ndarray:
-    """Settles the last open entries: of all their outcomes the one nearest to the balanced totals of words, then documents, then the likeliest."""
+    """Settles the last open entries: of all their outcomes the one nearest to the balanced totals of words and documents.
+
+    An error of a mean document's words weighs ``WORDS_FIRST`` times an error of a document.
+    """
     p = np.array(chances, dtype=float)
     free = np.flatnonzero((p > 0) & (p < 1))
     if not len(free):
         return p
     size, count, chance = np.asarray(sizes, dtype=float)[free], np.asarray(counts, dtype=float)[free], p[free]
-    outcomes = np.array([[m >> k & 1 for k in range(len(free))] for m in range(2 ** len(free))], dtype=float)
+    outcomes = (np.arange(2 ** len(free))[:, None] >> np.arange(len(free)) & 1).astype(float)
     words, documents = np.abs((outcomes - chance) @ size), np.abs((outcomes - chance) @ count)
-    p[free] = outcomes[np.lexsort((-(outcomes @ chance), documents, words))[0]]
+    p[free] = outcomes[np.argmin(WORDS_FIRST * words / max(1.0, size.mean()) + documents)]
     return p
 
 
+def settle_last(sizes: np.ndarray, chances: np.ndarray, draws: Callable[[int], float], counts: np.ndarray) -> np.ndarray:
+    """The last block of a source, in descending size: its smallest open entries wait for the landing, the flight moves the others."""
+    held = np.flatnonzero((chances > SETTLED) & (chances < 1 - SETTLED))[-LANDING:]
+    p = np.array(chances, dtype=float)
+    flown = np.setdiff1d(np.arange(len(p)), held)
+    p[flown] = flight(sizes[flown], p[flown], draws, counts[flown])
+    return landing(sizes, p, counts)
+
+
 def source_targets(units: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.0, most_repeats: float = MOST_REPEATS) -> DataFrame:
     """(source, source_size, target): all sizes times ``share``, split by weight; a target above ``most_repeats`` times its
     source's size stops there and the excess is shared again by weight, until none is above.
@@ -127,15 +141,13 @@ def _settle(units: DataFrame, block: Column, seed: int, last: bool) -> DataFrame
         rows = rows.assign(_words=rows["size"] * rows["n"]).sort_values(["_words", "_draw", "_id", "size"], ascending=[False, True, True, True])
         name = (rows["source"].iloc[0], int(rows["_block"].iloc[0]), len(rows), int(rows["_draw"].iloc[0]))
         counts, sizes = rows["n"].to_numpy(float), rows["size"].to_numpy(float) * rows["n"].to_numpy(float)
-        moved = flight(sizes, rows["chance"], lambda i: unit_draw(seed, *name, i), counts)
-        rows["chance"] = landing(sizes, moved, counts) if last else moved
+        rows["chance"] = (settle_last if last else flight)(sizes, rows["chance"].to_numpy(float), lambda i: unit_draw(seed, *name, i), counts)
         return rows[[f.split()[0] for f in UNIT.split(", ")]]
 
     return units.withColumn("_block", block).groupBy("source", "_block").applyInPandas(run, UNIT)
 
 
 UNIT = "source string, _id bigint, size bigint, n bigint, _draw bigint, chance double"
-NO_ID = -(2**63)  # stands for a null id
 
 
 def copies(docs: DataFrame, size: Column | None = None, id_column: str = "doc_id", source_column: str = "source", weights: Sequence[float] = WEIGHTS, share: float = 1.0, most_repeats: float = MOST_REPEATS, seed: int = 0, block_units: int = BLOCK_UNITS) -> DataFrame:
@@ -144,7 +156,7 @@ def copies(docs: DataFrame, size: Column | None = None, id_column: str = "doc_id
     Null texts have size 0; documents of size 0 are balanced by number only. An empty table gives no rows.
     """
     size = word_count(F.col("text")) if size is None else size
-    named = docs.select(F.col(source_column).cast("string").alias("source"), F.coalesce(F.col(id_column).cast("bigint"), F.lit(NO_ID)).alias("_id"), size.cast("bigint").alias("size"))
+    named = docs.select(F.col(source_column).cast("string").alias("source"), known_id(id_column).alias("_id"), size.cast("bigint").alias("size"))
     units = cut_lineage(named.groupBy("source", "_id", "size").agg(F.count(F.lit(1)).alias("n")))
     targets = cut_lineage(source_targets(units, weights, share, most_repeats))
     mean = F.when(F.col("source_size") > 0, F.least(F.lit(most_repeats), F.col("target") / F.col("source_size"))).otherwise(F.lit(0.0))
@@ -166,7 +178,7 @@ def copies(docs: DataFrame, size: Column | None = None, id_column: str = "doc_id
     more = once_more.select(F.col("source").alias("_s"), F.col("_id").alias("_d"), F.col("size").alias("_z"), F.lit(1).alias("_more"))
     same = F.col("source").eqNullSafe(F.col("_s")) & (F.col("_id") == F.col("_d")) & (F.col("size") == F.col("_z"))
     return placed.join(more, same, "left").select(
-        "source", F.nullif(F.col("_id"), F.lit(NO_ID)).alias("doc_id"), "size", "source_size", "target", (F.col("_whole") + F.coalesce("_more", F.lit(0))).alias("copies"), "n"
+        "source", given_id("_id").alias("doc_id"), "size", "source_size", "target", (F.col("_whole") + F.coalesce("_more", F.lit(0))).alias("copies"), "n"
     )
 
 
@@ -175,7 +187,7 @@ def mix(docs: DataFrame, id_column: str = "doc_id", source_column: str = "source
     size = word_count(F.col(text_column))
     taken = copies(docs, size, id_column, source_column, **options).filter("copies > 0").withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
     taken = taken.select(F.col("source").alias("_s"), F.col("doc_id").alias("_d"), F.col("size").alias("_z"), F.col("copies").cast("int").alias("_copies"))
-    rows = packed(docs, F.col(source_column).cast("string").alias("_source"), F.coalesce(F.col(id_column).cast("bigint"), F.lit(NO_ID)).alias("_id"), size.alias("_size"))
+    rows = packed(docs, F.col(source_column).cast("string").alias("_source"), known_id(id_column).alias("_id"), size.alias("_size"))
     joined = rows.join(taken, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_id") == F.col("_d")) & (F.col("_size") == F.col("_z")))
     return joined.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leadspan.llm.texts import SPACES, words_of
+from leadspan.llm.texts import SPACES, given_id, known_id, words_of
 
 SYMBOLS = "#*$%&|<>"
 LETTERS_UPPER = 0.4  # share of upper-case letters above which a text is shouted
@@ -187,9 +187,9 @@ def measures(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
                 failed = any(r.rejects(t) for r in BASE_RULES)
                 kept = not failed and not any(r.rejects(t) for r in rest)
                 out.append((key, t.n_words, t.word_chars, t.n_symbols, t.n_dup_lines, t.n_repeat_words, failed, kept))
-            yield pd.DataFrame(out, columns=columns).astype({"doc_id": batch["doc_id"].dtype})
+            yield pd.DataFrame(out, columns=columns)
 
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     kinds = ["bigint"] * 6 + ["boolean"] * 2
-    source = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text"))
-    return source.mapInPandas(count, ", ".join(f"{c} {k}" for c, k in zip(columns, kinds)))
+    source = docs.select(known_id(id_column).alias("doc_id"), F.col(text_column).alias("text"))
+    return source.mapInPandas(count, ", ".join(f"{c} {k}" for c, k in zip(columns, kinds))).withColumn("doc_id", given_id("doc_id"))

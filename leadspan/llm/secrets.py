@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leadspan.llm.texts import given_id, known_id
+
 # Fixed patterns of the scan: kind, pattern, group that is measured, least number of characters.
 BASE = (
     ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE), 2, 6),
@@ -117,8 +119,8 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
                 digests.append(hashlib.sha256(joined(base).encode()).hexdigest())
             yield pd.DataFrame({"doc_id": batch["doc_id"], "spans": spans, "base_sha256": digests})
 
-    rows = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text"))
-    return rows.mapInPandas(run, f"doc_id bigint, spans {SPANS}, base_sha256 string")
+    rows = docs.select(known_id(id_column).alias("doc_id"), F.col(text_column).alias("text"))
+    return rows.mapInPandas(run, f"doc_id bigint, spans {SPANS}, base_sha256 string").withColumn("doc_id", given_id("doc_id"))
 
 
 def digest(docs: DataFrame, **options) -> DataFrame:

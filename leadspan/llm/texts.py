@@ -40,10 +40,21 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
+NO_ID = -(2**63)  # stands for a null id inside tasks, where a null would turn the others into floats
+
+
+def known_id(column: str) -> Column:
+    return F.coalesce(F.col(column).cast("bigint"), F.lit(NO_ID))
+
+
+def given_id(column: str) -> Column:
+    return F.nullif(F.col(column), F.lit(NO_ID))
+
+
 def identity(id_column: str = "doc_id", text_column: str = "text") -> list[Column]:
     """Two non-null columns naming a row by id and content, for joins back to rows whose id may be null or repeated."""
     return [
-        F.coalesce(F.col(id_column).cast("bigint"), F.lit(-(2**63))).alias("_id"),
+        known_id(id_column).alias("_id"),
         F.xxhash64(F.col(text_column), F.col(id_column).isNull()).alias("_content"),
     ]
 

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadspan.llm.texts import scratch
+from leadspan.llm.texts import given_id, known_id, scratch
 
 LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿœ"
 CODES = {c: i + 1 for i, c in enumerate(LETTERS)}  # 0: anything else, a word's edge
@@ -294,9 +294,9 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
             found = [m.score(strongest_of(map(word_evidence, reader.words(t)))) for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "score": found})
 
-    rows = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), held_out(id_column).alias("held_out"), F.col(text_column).alias("text"))
+    rows = docs.select(known_id(id_column).alias("doc_id"), held_out(id_column).alias("held_out"), F.col(text_column).alias("text"))
     scored = rows.mapInPandas(run, "doc_id bigint, held_out boolean, score double")
-    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return scored.select(given_id("doc_id").alias("doc_id"), "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, **columns) -> DataFrame:
