@@ -62,7 +62,8 @@ def count_trigrams(texts: list[str]) -> np.ndarray:
     for c, code in CODES.items():
         table[ord(c)] = code
     codes = table[np.minimum(chars, 0x17F)] * (chars < 0x180)
-    codes = codes[np.concatenate([[True], (codes[1:] > 0) | (codes[:-1] > 0)])]  # one edge between words is enough
+    kept = np.concatenate([[True], (codes[1:] > 0) | (codes[:-1] > 0)])  # one edge between words is enough
+    codes = np.concatenate([[0], codes[kept]])
     first = np.where(codes[1:-1] > 0, codes[:-2], 0)  # what stands before an edge does not matter to the next word
     return np.bincount((first * K + codes[1:-1]) * K + codes[2:], minlength=K**3)
 
