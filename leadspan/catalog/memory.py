@@ -149,7 +149,7 @@ def _(v):
 
 
 QUERY_ROWS = "q AS (SELECT item_id AS query_id, 't' || (item_id % 3) AS tenant_id, text AS qtext FROM benchmark)"
-RETRIEVE = f"""{QUERY_ROWS}, cand AS (SELECT * FROM memory_nodes QUALIFY row_number() OVER (PARTITION BY tenant_id ORDER BY created_at DESC, node_id) <= 500),
+RETRIEVE = f"""{QUERY_ROWS}, cand AS (SELECT * FROM memory_nodes),
     t AS (SELECT node_id, {S.tokens('content')} AS tk FROM cand), qt AS (SELECT query_id, tenant_id, list_distinct({S.tokens('qtext')}) AS qk FROM q),
     s AS (SELECT qt.query_id, c.*, CASE WHEN len(t.tk) = 0 OR len(qk) = 0 THEN 0.0 ELSE len(list_distinct(list_intersect(qk, t.tk))) / greatest(1, log2(len(t.tk) + 2)) END AS kw FROM qt JOIN cand c ON c.tenant_id = qt.tenant_id JOIN t ON t.node_id = c.node_id),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY kw DESC, created_at DESC, node_id) AS kr FROM s),
@@ -196,21 +196,20 @@ def _(v):
     return M.upsert_nodes(stored, inc, "node_id").select("node_id", "source_hash")
 
 
-@query("index_candidates", """SELECT node_id, CASE confidence WHEN 'proven' THEN 300 WHEN 'validated' THEN 200 ELSE 100 END + confidence_score AS index_rank FROM memory_nodes QUALIFY row_number() OVER (PARTITION BY tenant_id ORDER BY created_at DESC, node_id) <= 400""", ("memory_nodes",))
+@query("index_candidates", """SELECT node_id, CASE confidence WHEN 'proven' THEN 300 WHEN 'validated' THEN 200 ELSE 100 END + confidence_score AS index_rank FROM memory_nodes""", ("memory_nodes",))
 def _(v):
     return M.index_candidates(nodes(v)).select("node_id", "index_rank")
 
 
-@query("framework_candidates", """WITH n AS (SELECT *, source_type = 'src1' AS ans FROM memory_nodes), p AS (SELECT * FROM n WHERE ans QUALIFY row_number() OVER (PARTITION BY tenant_id ORDER BY created_at DESC, node_id) <= 100), o AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY tenant_id ORDER BY created_at DESC, node_id) <= 200),
-    u AS (SELECT * FROM p UNION SELECT * FROM o), r AS (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY CASE WHEN ans THEN 0 ELSE 1 END, CASE confidence WHEN 'proven' THEN 3 WHEN 'validated' THEN 2 ELSE 1 END DESC, confidence_score DESC, node_id) AS position FROM u) SELECT node_id, position FROM r WHERE position <= 200""", ("memory_nodes",))
+@query("framework_candidates", """WITH n AS (SELECT *, source_type = 'src1' AS ans FROM memory_nodes), r AS (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY CASE WHEN ans THEN 0 ELSE 1 END, CASE confidence WHEN 'proven' THEN 3 WHEN 'validated' THEN 2 ELSE 1 END DESC, confidence_score DESC, node_id) AS position FROM n) SELECT node_id, position FROM r""", ("memory_nodes",))
 def _(v):
     named = nodes(v).withColumn("source_type", F.when(F.col("source_type") == "src1", "interview_answer").otherwise(F.col("source_type")))
     return M.framework_candidates(named).select("node_id", "position")
 
 
-@query("replace_index", """WITH c AS (SELECT tenant_id, node_id FROM memory_nodes QUALIFY row_number() OVER (PARTITION BY tenant_id ORDER BY created_at DESC, node_id) <= 400), e AS (SELECT 't' || (p_partkey % 3) AS tenant_id, 'entry' || p_partkey AS name, unnest([p_partkey % 700, p_partkey * 3 % 700, 900000]) AS node_id FROM part)
+@query("replace_index", """WITH c AS (SELECT tenant_id, node_id FROM memory_nodes), e AS (SELECT 't' || (p_partkey % 3) AS tenant_id, 'entry' || p_partkey AS name, unnest([p_partkey % 700, p_partkey * 3 % 700, 900000]) AS node_id FROM part)
     SELECT e.tenant_id, e.name, count(*) AS ids FROM e JOIN c ON c.tenant_id = e.tenant_id AND c.node_id = e.node_id GROUP BY 1, 2""", ("memory_nodes",))
 def _(v):
     k = F.col("p_partkey")
     entries = v.part.select(F.concat(F.lit("t"), k % 3).alias("tenant_id"), F.concat(F.lit("entry"), k).alias("name"), F.array(k % 700, k * 3 % 700, F.lit(900000).cast("bigint")).alias("node_ids"))
-    return M.replace_index(entries, M.newest_nodes(nodes(v), 400)).select("tenant_id", "name", F.size("node_ids").cast("bigint").alias("ids"))
+    return M.replace_index(entries, M.newest_nodes(nodes(v))).select("tenant_id", "name", F.size("node_ids").cast("bigint").alias("ids"))

@@ -37,19 +37,21 @@ def dense_rank(queries: DataFrame, embeddings: DataFrame, k: int) -> DataFrame:
     return top_k(scored, ["query_id"], [F.col("similarity").desc(), F.col("node_id")], k, "dense_rank")
 
 
-def newest_nodes(nodes: DataFrame, limit: int) -> DataFrame:
-    """The newest active nodes per tenant."""
+def newest_nodes(nodes: DataFrame, limit: int | None = None) -> DataFrame:
+    """The active nodes, or the newest ``limit`` of each tenant."""
+    if limit is None:
+        return nodes.filter("archived_at IS NULL")
     return top_k(nodes.filter("archived_at IS NULL"), ["tenant_id"], [F.col("created_at").desc(), F.col("node_id")], limit).drop("rn")
 
 
 def retrieve(
     queries: DataFrame, nodes: DataFrame, now: Column, embeddings: DataFrame | None = None, edges: DataFrame | None = None, anchors: DataFrame | None = None,
-    top: int = 12, token_budget: int = 4000, graph_depth: int = 2, candidates: int = 500,
+    top: int = 12, token_budget: int = 4000, graph_depth: int = 2, candidates: int | None = None,
 ) -> DataFrame:
     """Hybrid retrieval for a batch of queries (query_id, tenant_id, text and, with embeddings, vector).
 
-    Candidates are the active nodes around a query's anchors, else the newest ``candidates`` of the tenant. Dense and
-    keyword ranks are fused by 1/(60 + rank), then confidence, recency and access are added; the best ``top`` are kept
+    Candidates are the active nodes around a query's anchors, else all active nodes of the tenant (or its newest
+    ``candidates``). Dense and keyword ranks are fused by 1/(60 + rank), then confidence, recency and access are added; the best ``top`` are kept
     as long as their tokens fit the budget (the first always is).
     """
     active = nodes.filter("archived_at IS NULL")
@@ -60,7 +62,12 @@ def retrieve(
         chosen = near.union(recent.join(near.select("query_id").distinct(), "query_id", "left_anti"))
     else:
         chosen = recent
-    rows = chosen.join(active, "node_id").join(_keyword_scores(queries, active, chosen), ["query_id", "node_id"], "left").fillna(0.0, ["keyword"])
+    keyword = _keyword_scores(queries, active, chosen)
+    if embeddings is None:  # without vectors only nodes with a hit can be returned
+        hits = keyword if candidates is None and anchors is None else keyword.join(chosen, ["query_id", "node_id"], "left_semi")
+        rows = hits.join(active, "node_id")
+    else:
+        rows = chosen.join(active, "node_id").join(keyword, ["query_id", "node_id"], "left").fillna(0.0, ["keyword"])
     rows = rows.withColumn("tokens_needed", approx_tokens(F.col("content")))
     if embeddings is not None:
         vectors = embeddings.select("node_id", F.col("vector").alias("_v"))
@@ -187,19 +194,26 @@ def upsert_nodes(stored: DataFrame, incoming: DataFrame, order: str) -> DataFram
     return stored.unionByName(first.join(known, ["tenant_id", "source_hash"], "left_anti"), allowMissingColumns=True)
 
 
-def index_candidates(nodes: DataFrame, limit: int = 400, max_chars: int | None = None) -> DataFrame:
-    """Newest active nodes of each tenant with their index rank (level, then score)."""
+def index_candidates(nodes: DataFrame, limit: int | None = None, max_chars: int | None = None) -> DataFrame:
+    """Active nodes of each tenant with their index rank (level, then score), the best ``limit`` if given."""
     rank = confidence_rank() * 100 + F.col("confidence_score")
     body = F.col("content") if max_chars is None else F.when(F.length("content") > max_chars, F.concat(F.substring("content", 1, max_chars), F.lit("…"))).otherwise(F.col("content"))
-    return newest_nodes(nodes, limit).withColumn("index_rank", rank).withColumn("content", body)
+    ranked = nodes.filter("archived_at IS NULL").withColumn("index_rank", rank).withColumn("content", body)
+    if limit is None:
+        return ranked
+    return top_k(ranked, ["tenant_id"], [F.col("index_rank").desc(), F.col("created_at").desc(), F.col("node_id")], limit).drop("rn")
 
 
-def framework_candidates(nodes: DataFrame, limit: int = 200, answers: int = 100) -> DataFrame:
-    """Interview answers first, then by level and score, at most ``limit`` per tenant."""
+def framework_candidates(nodes: DataFrame, limit: int | None = None) -> DataFrame:
+    """Active nodes of each tenant with their position: interview answers first, then by level and score; the first ``limit`` if given."""
     is_answer = F.col("source_type") == "interview_answer"
-    pool = newest_nodes(nodes.filter(is_answer), answers).unionByName(newest_nodes(nodes, limit)).dropDuplicates(["node_id"])
+    active = nodes.filter("archived_at IS NULL")
     order = [F.when(is_answer, 0).otherwise(1), confidence_rank().desc(), F.col("confidence_score").desc(), F.col("node_id")]
-    return top_k(pool, ["tenant_id"], order, limit, "position")
+    if limit is not None:
+        return top_k(active, ["tenant_id"], order, limit, "position")
+    placed = active.withColumns({"_answer": F.when(is_answer, 0).otherwise(1), "_level": -confidence_rank(), "_score": -F.col("confidence_score")})
+    numbered = ordinals(placed, ["tenant_id"], ["_answer", "_level", "_score", "node_id"], "_at")
+    return numbered.withColumn("position", F.col("_at") + 1).drop("_answer", "_level", "_score", "_at")
 
 
 def replace_index(entries: DataFrame, candidates: DataFrame) -> DataFrame:

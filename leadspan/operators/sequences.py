@@ -12,7 +12,7 @@ from leadspan.functions.conditions import channel_states, step_condition
 from leadspan.functions.messages import broken_rules, render
 from leadspan.functions.normalize import text
 from leadspan.functions.schedule import days_since
-from leadspan.operators.admission import DAILY_LIMITS, limit_of
+from leadspan.operators.admission import DAILY_LIMITS, DEFAULT_LIMIT, limit_of
 from leadspan.operators.ranking import computed, ordinals, top_k
 
 
@@ -78,7 +78,7 @@ def plan_sequence(leads: DataFrame, steps: Sequence[Step], now: Column, order: s
     )
     p = computed(p, _status=status)
     wanting = p.filter(F.col("_status").startswith("want:")).select("tenant_id", "lead_id", "_status", *([order] if order != "lead_id" else []))
-    first = top_k(wanting, ["tenant_id", "_status"], [F.col(order)], max(limits.values()))
+    first = top_k(wanting, ["tenant_id", "_status"], [F.col(order)], max([*limits.values(), DEFAULT_LIMIT]))
     granted = first.filter(F.col("rn") <= limit_of(F.substring("_status", 6, 40), limits)).select("lead_id")
     j = p.join(granted.withColumn("_ok", F.lit(True)), "lead_id", "left")
     asked = F.col("_status").startswith("want:")

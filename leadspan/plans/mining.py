@@ -12,23 +12,27 @@ from leadspan.operators.ranking import earliest_by
 
 def taken_pages(found: DataFrame, fresh: DataFrame, waiting: int, target: int) -> DataFrame:
     """(query_no, page) read before the target was met. Keeping a row never depends on later rows, so the new people of
-    every page can be counted first and the cut made afterwards. One row per page, at most page budget per query."""
+    every page can be counted first and the cut made afterwards. Page order comes from query totals, then pages within a query."""
     pages = found.groupBy("query_no", "page").agg(F.count(F.lit(1)).alias("fetched"))
     new = fresh.groupBy("query_no", "page").agg(F.count(F.lit(1)).alias("fresh"))
-    before = Window.orderBy("query_no", "page").rowsBetween(Window.unboundedPreceding, -1)
     p = pages.join(new, ["query_no", "page"], "left").fillna(0, ["fresh"])
-    return p.withColumn("_before", F.coalesce(F.sum("fresh").over(before), F.lit(0))).filter(F.col("_before") + waiting < target).drop("_before")
+    inside = Window.partitionBy("query_no").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.orderBy("query_no").rowsBetween(Window.unboundedPreceding, -1)  # one row per query of the run
+    totals = p.groupBy("query_no").agg(F.sum("fresh").alias("_total")).select("query_no", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_earlier"))
+    placed = p.withColumn("_inside", F.coalesce(F.sum("fresh").over(inside), F.lit(0))).join(totals, "query_no")
+    return placed.filter(F.col("_earlier") + F.col("_inside") + waiting < target).select(*p.columns)
 
 
 def mine(
     profiles: DataFrame, ledger: DataFrame, contacts: DataFrame, companies: DataFrame, cursors: DataFrame, now: Column,
-    target: int = 75, page_size: int = 100, page_budget: int = 500,
+    target: int = 75, page_size: int = 100, page_budget: int | None = None,
 ) -> dict[str, DataFrame]:
     """``profiles``: the results of each query in order (query_no, query_hash, position from 0, ordinal, ...).
 
-    Returns the next ledger, the delivered leads, the companies, the cursors and the pages read.
+    ``page_budget`` limits the results read of one query, off by default. Returns the next ledger, the delivered leads, the companies, the cursors and the pages read.
     """
-    paged = profiles.filter(F.col("position") < page_budget).withColumn("page", F.floor(F.col("position") / page_size))
+    within = profiles if page_budget is None else profiles.filter(F.col("position") < page_budget)
+    paged = within.withColumn("page", F.floor(F.col("position") / page_size))
     fresh = filter_new(paged, ledger)
     waiting = ledger.filter("status = 'seen'").count()  # one number
     pages = taken_pages(paged, fresh, waiting, target)

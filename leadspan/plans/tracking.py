@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from leadspan.functions.messages import broken_rules, render
 from leadspan.functions.normalize import text
 from leadspan.functions.schedule import delay_elapsed, send_window, should_activate
-from leadspan.operators.admission import DAILY_LIMITS, connect_budget
+from leadspan.operators.admission import DAILY_LIMITS, DEFAULT_LIMIT, connect_budget, limit_of
 from leadspan.operators.filters import stale_status
 from leadspan.operators.matching import accepted, apply_email_status, blocked, replies
 from leadspan.operators.ranking import computed, top_k
@@ -66,9 +66,8 @@ def track(
     rows = computed(rows, _may=F.when(F.col("_want").isNotNull(), may))
     channel = F.when(F.col("_may") == "connect", "linkedin.connect").otherwise("linkedin.dm")
     asks = rows.filter(F.col("_may").isin("dm1", "dm2", "connect")).select("tenant_id", "lead_id", channel.alias("provider"), F.when(F.col("_may") == "dm2", 1).otherwise(0).alias("_second"))
-    first = top_k(asks, ["tenant_id", "provider"], [F.col("_second"), F.col("lead_id")], max(limits.values()))
-    cap = F.when(F.col("provider") == "linkedin.connect", limits["linkedin.connect"]).otherwise(limits["linkedin.dm"])
-    granted = first.filter(F.col("rn") <= cap).select("lead_id", F.lit(True).alias("_granted"))
+    first = top_k(asks, ["tenant_id", "provider"], [F.col("_second"), F.col("lead_id")], max([*limits.values(), DEFAULT_LIMIT]))
+    granted = first.filter(F.col("rn") <= limit_of(F.col("provider"), limits)).select("lead_id", F.lit(True).alias("_granted"))
     rows = rows.join(granted, "lead_id", "left")
     asked = F.col("_may").isin("dm1", "dm2", "connect")
     action = F.when(asked & F.col("_granted").isNull(), "rate_limited").otherwise(F.col("_may"))

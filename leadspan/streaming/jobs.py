@@ -84,9 +84,12 @@ def signals_stream(stream: DataFrame, watches: DataFrame, state: str, checkpoint
     return _start(stream, step, checkpoint)
 
 
-def dedup_signals_stream(stream: DataFrame, delay: str = "1 day") -> DataFrame:
-    """At most one signal per tenant, entity, type and UTC day, with state dropped once the day is past the delay."""
-    day = stream.withColumn("signal_day", F.date_trunc("day", "detected_at")).withWatermark("signal_day", delay)
+def dedup_signals_stream(stream: DataFrame) -> DataFrame:
+    """At most one signal per tenant, entity, type and UTC day, however late it comes.
+
+    One small key per signal kept stays in the state store (on disk with the RocksDB provider); no watermark drops any.
+    """
+    day = stream.withColumn("signal_day", F.date_trunc("day", "detected_at"))
     return day.dropDuplicates(["tenant_id", "entity_id", "signal_type", "signal_day"])
 
 

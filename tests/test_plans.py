@@ -146,3 +146,21 @@ def test_upsert_is_a_no_op_the_second_time(spark):
     assert sorted(r.node_id for r in one.collect()) == [1, 3]
     assert M.upsert_nodes(one, incoming, "node_id").count() == 2
     assert incoming.select(content_hash(F.col("content"))).distinct().count() == 1
+
+
+def test_daily_caps_hold_for_providers_without_a_limit(spark):
+    from leadspan.catalog.discovery import PLAN_STEPS
+    from leadspan.catalog.views import Views
+    from leadspan.operators.admission import DEFAULT_LIMIT
+    from leadspan.operators.sequences import plan_sequence
+    from tests.conftest import SF
+
+    few = Views(spark, SF).campaign_leads.limit(200)
+    many = few.crossJoin(spark.range(4)).withColumn("lead_id", F.col("lead_id") * 4 + F.col("id")).withColumn("tenant_id", F.lit("t")).withColumn("email", F.lit("a@b.example")).withColumn("started_at", F.col("created_at")).drop("id")
+
+    def granted(limits):
+        rows = plan_sequence(many, PLAN_STEPS, F.lit("2001-01-01").cast("timestamp"), limits=limits).groupBy("channel", "status").count().collect()
+        return {(r.channel, r.status): r["count"] for r in rows}
+    free, capped = granted({"linkedin.connect": 10**6, "linkedin.dm": 10**6, "email.send": 10**6}), granted({"linkedin.connect": 30})
+    asked = free.get(("email", "queued_email"), 0)
+    assert capped.get(("email", "queued_email"), 0) == min(asked, DEFAULT_LIMIT)

@@ -67,6 +67,17 @@ def test_one_signal_a_day(spark, tmp_path):
     assert spark.table("days").count() == s.withColumn("signal_day", F.to_date("detected_at")).select(*keys).distinct().count() == spark.table("days").select(*keys).distinct().count()
 
 
+def test_late_signals_count(spark, tmp_path):
+    schema = "tenant_id string, entity_id long, signal_type string, detected_at timestamp"
+    days = ["2024-01-20 10:00:00", "2024-01-21 10:00:00", "2024-01-01 09:00:00", "2024-01-21 23:00:00"]
+    for d in days:  # one file after the other, the oldest day comes late
+        spark.createDataFrame([("t", 1, "funding", d)], "tenant_id string, entity_id long, signal_type string, d string").selectExpr(
+            "tenant_id", "entity_id", "signal_type", "CAST(d AS timestamp) AS detected_at").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    jobs.dedup_signals_stream(stream).writeStream.format("memory").queryName("late").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start().awaitTermination()
+    assert spark.table("late").count() == 3
+
+
 def test_source_sync_only_adds(spark, tmp_path):
     schema = "path string, text string"
     path, state = str(tmp_path / "in"), str(tmp_path / "state")
