@@ -19,7 +19,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadspan.llm.texts import given_id, known_id
@@ -125,6 +125,8 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
 
 def digest(docs: DataFrame, **options) -> DataFrame:
     """``scan`` with counts of the base kinds and all spans as one string."""
-    number = [F.size(F.filter("spans", lambda s, k=kind: s["kind"] == k)).cast("bigint").alias(f"n_{kind}") for kind, *_ in BASE]
+    def number(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
     text = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    return scan(docs, **options).select("doc_id", *number, "base_sha256", text.alias("spans"), F.size(F.filter("spans", lambda s: s["kind"] == "random")).cast("bigint").alias("n_random"))
+    return scan(docs, **options).select("doc_id", *[number(k) for k, *_ in BASE], "base_sha256", text.alias("spans"), number("random"))
