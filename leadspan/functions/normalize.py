@@ -221,12 +221,17 @@ def activity_id(url: Column) -> Column:
     return F.when(plain != "", plain).when(ugc != "", F.concat(F.lit("urn:li:ugcPost:"), ugc))
 
 
+def utf16_units(c: Column) -> Column:
+    """Length of a text in UTF-16 units: characters above U+FFFF count twice."""
+    return F.octet_length(F.encode(text(c), "UTF-16BE")) / 2
+
+
 def approx_tokens(c: Column) -> Column:
-    return F.ceil(F.length(text(c)) * F.lit(0.28))
+    return F.ceil(utf16_units(c) * F.lit(0.28))
 
 
 def quarter_tokens(c: Column) -> Column:
-    return F.ceil(F.length(text(c)) / F.lit(4.0))
+    return F.ceil(utf16_units(c) / F.lit(4.0))
 
 
 def tokens(c: Column) -> Column:

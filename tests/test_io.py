@@ -1,14 +1,19 @@
 """Files in and out."""
 
+import hashlib
 import json
+import math
+import re
 
 from pyspark.sql import functions as F
 
-from leadspan.operators.chunks import chunk_text, size_in_tokens
+from leadspan.functions.normalize import approx_tokens, quarter_tokens
+from leadspan.operators.chunks import SPACE_CHARS, chunk_documents
 from leadspan.sinks import exports as X
 from leadspan.sources import files as SF
 from leadspan.sources.feeds import parse_feeds
 from leadspan.sources.html import html_to_markdown
+from tests.conftest import SF as DATA
 
 
 def test_csv_import(spark, tmp_path):
@@ -98,13 +103,60 @@ def test_html_cap_is_only_on_request(spark):
     assert len(whole) == 60000 and cut.endswith("[Content truncated at 50,000 characters]")
 
 
-def test_chunks():
-    assert chunk_text("") == [] and chunk_text("  \n ") == []
+def tokens_in(s):
+    return math.ceil(len(s.encode("utf-16-le")) // 2 * 0.28)
+
+
+def plain_chunks(text, low, high):
+    """Chunks from the rules: the end of each is searched for from its beginning."""
+    lines = []
+    for line in (text or "").replace("\r\n", "\n").split("\n"):
+        if tokens_in(line) <= high:
+            lines.append(line)
+            continue
+        parts = re.findall(f"[{SPACE_CHARS}]+|[^{SPACE_CHARS}]+", line)
+        while parts:
+            n = 1
+            while n < len(parts) and tokens_in("".join(parts[: n + 1])) <= high:
+                n += 1
+            lines.append("".join(parts[:n]))
+            parts = parts[n:]
+            if parts and not parts[0].strip(SPACE_CHARS):
+                parts = parts[1:]
+    heads = [re.fullmatch(f"(#{{1,6}})[{SPACE_CHARS}]+([^\n\r\u2028\u2029]*)", x) for x in lines]
+    out, begin = [], 0
+    while begin < len(lines):
+        sizes = [tokens_in(x) + 1 for x in lines[begin:]]
+        ends = [i for i in range(1, len(sizes)) if sum(sizes[:i]) >= high or (heads[begin + i] and len(heads[begin + i][1]) <= 2 and sum(sizes[:i]) >= low)]
+        end = begin + (ends[0] if ends else len(sizes))
+        path = []
+        for h in filter(None, heads[:end]):
+            path = [*path, *[None] * 6][: len(h[1]) - 1] + [h[2].strip(SPACE_CHARS)]
+        body = "\n".join(lines[begin:end]).strip(SPACE_CHARS)
+        if body:
+            out.append((len(out), body, path, hashlib.sha256(re.sub(f"[{SPACE_CHARS}]+", " ", body).strip().encode()).hexdigest(), begin, end - 1, sum(sizes[: end - begin])))
+        begin = end
+    return out
+
+
+def test_chunks(spark):
     body = "word " * 400  # 560 tokens
-    text = f"# One\n{body}\n## Two\nshort\n### Three\ntail"
-    first, second = chunk_text(text)
-    assert first[2] == ["One"] and first[4:6] == (0, 1) and second[1] == "## Two\nshort\n### Three\ntail" and second[2] == ["One", "Two", "Three"] and second[4:6] == (2, 5)
-    assert [c[2] for c in chunk_text("# A\nx\n## B\ny")] == [["A", "B"]]
-    long = chunk_text("word " * 2000)
-    assert len(long) > 2 and all(size_in_tokens(c[1]) <= 800 for c in long) and " ".join(c[1] for c in long).split() == ["word"] * 2000
-    assert chunk_text("### deep")[0][2] == [None, None, "deep"]
+    texts = [
+        "", "  \n ", None, f"# One\n{body}\n## Two\nshort\n### Three\ntail", "# A\nx\n## B\ny", "word " * 2000, "### deep", "#no heading\n####### seven\n#\tTab\r\nx", "\n" * 2000 + "# late",
+        "😀 " * 3000, "x" * 5000 + " y " + "z" * 4000, f"{body}\n\n# H\n{body}\n{body}\n## I\n### J\n# K", "   " * 1200 + "a",
+    ]
+    texts += [r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").limit(40).collect()]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for low, high in ((500, 800), (20, 60)):
+        got = {}
+        for r in chunk_documents(rows, "i", "t", low, high).collect():
+            got.setdefault(r.i, []).append(tuple(r)[1:])
+        for i, t in enumerate(texts):
+            assert sorted(got.get(i, [])) == plain_chunks(t, low, high), (i, low)
+    first, second = plain_chunks(texts[3], 500, 800)
+    assert first[2] == ["One"] and first[4:6] == (0, 1) and second[1] == "## Two\nshort\n### Three\ntail" and second[2] == ["One", "Two", "Three"]
+
+
+def test_characters_beyond_the_basic_plane_count_twice(spark):
+    row = spark.createDataFrame([("😀" * 100,)], "t string").select(approx_tokens(F.col("t")), quarter_tokens(F.col("t"))).first()
+    assert tuple(row) == (57, 50)
