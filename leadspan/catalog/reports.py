@@ -16,7 +16,7 @@ def r1(n: str, d: str) -> str:
 STAGES_SQL = ", ".join(f"({i}, '{s}')" for i, s in enumerate(R.FUNNEL_STAGES))
 
 
-@query("funnel_by_campaign", f"""
+FUNNEL_SQL = f"""
     WITH stages(stage_index, stage) AS (VALUES {STAGES_SQL}),
     ranked AS (SELECT l.campaign_id, s.stage_index AS pos FROM campaign_leads l LEFT JOIN stages s ON s.stage = l.lifecycle_status),
     totals AS (SELECT campaign_id, count(*) AS total_leads FROM ranked GROUP BY 1),
@@ -26,7 +26,10 @@ STAGES_SQL = ", ".join(f"({i}, '{s}')" for i, s in enumerate(R.FUNNEL_STAGES))
     lagged AS (SELECT *, lag(stage_count, 1, total_leads) OVER (PARTITION BY campaign_id ORDER BY stage_index) AS prev,
         last_value(stage_count) OVER (PARTITION BY campaign_id ORDER BY stage_index ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS won FROM counts)
     SELECT campaign_id, total_leads, {r1('won', 'total_leads')} AS overall_conversion_rate, stage_index, stage, stage_count,
-      {r1('prev - stage_count', 'prev')} AS dropoff_rate FROM lagged""", ("campaign_leads",))
+      {r1('prev - stage_count', 'prev')} AS dropoff_rate FROM lagged"""
+
+
+@query("funnel_by_campaign", FUNNEL_SQL, ("campaign_leads",))
 def _(v):
     return R.funnel(v.campaign_leads)
 
@@ -98,31 +101,40 @@ def _(v):
     return R.score_buckets(v.campaign_leads)
 
 
-@query("score_correlation", """
+CORRELATION_SQL = """
     SELECT campaign_id, CASE WHEN count(qualification_score) >= 3 THEN floor(corr(CAST(qualification_score AS DOUBLE),
         CASE WHEN replied_at IS NOT NULL THEN 1.0 WHEN connected_at IS NOT NULL THEN 0.5 ELSE 0.0 END) * 100 + 0.5) / 100 END AS pearson
-    FROM campaign_leads GROUP BY campaign_id""", ("campaign_leads",))
+    FROM campaign_leads GROUP BY campaign_id"""
+
+
+@query("score_correlation", CORRELATION_SQL, ("campaign_leads",))
 def _(v):
     return R.score_correlation(v.campaign_leads)
 
 
-@query("weekly_trend", f"""
+TREND_SQL = f"""
     SELECT campaign_id, strftime(date_trunc('week', connect_sent_at), '%Y-%m-%d') AS week_start, count(*) AS sends, count(connected_at) AS accepts,
       count(replied_at) AS replies, {r1('count(connected_at)', 'count(*)')} AS accept_rate, {r1('count(replied_at)', 'count(*)')} AS reply_rate
-    FROM campaign_leads WHERE connect_sent_at IS NOT NULL GROUP BY 1, 2""", ("campaign_leads",))
+    FROM campaign_leads WHERE connect_sent_at IS NOT NULL GROUP BY 1, 2"""
+
+
+@query("weekly_trend", TREND_SQL, ("campaign_leads",))
 def _(v):
     return R.weekly_trend(v.campaign_leads)
 
 
 # 1.1 instead of 1.5 so that the given tables have winners; the default is tested on a fixture
-@query("winner_declaration", f"""
+WINNER_SQL = f"""
     WITH stats AS ({VARIANT_STATS_SQL}),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY campaign_id ORDER BY reply_rate DESC, variant_id) AS rn FROM stats WHERE dms_sent >= 15),
     both_arms AS (SELECT a.campaign_id, a.name AS winner, a.reply_rate AS best, b.reply_rate AS second FROM ranked a JOIN ranked b
         ON a.campaign_id = b.campaign_id AND a.rn = 1 AND b.rn = 2)
     SELECT campaign_id, winner, CASE WHEN second = 0 THEN 100 ELSE CAST(floor((best / second - 1) * 100 + 0.5) AS BIGINT) END AS margin_percent,
       best AS best_reply_rate, second AS runner_up_reply_rate
-    FROM both_arms WHERE CASE WHEN second = 0 THEN best > 0 ELSE best / second >= 1.1 END""", NEEDS_LV)
+    FROM both_arms WHERE CASE WHEN second = 0 THEN best > 0 ELSE best / second >= 1.1 END"""
+
+
+@query("winner_declaration", WINNER_SQL, NEEDS_LV)
 def _(v):
     return R.declare_winner(R.variant_stats(v.campaign_leads, v.campaign_variants), multiplier=1.1)
 
@@ -228,30 +240,39 @@ def _(v):
 MONTH_ROWS = f"SELECT c.campaign_id AS cid, c.title, l.* FROM campaigns c LEFT JOIN campaign_leads l ON l.campaign_id = c.campaign_id WHERE {ACTIVE_SQL}".replace("created_at", "c.created_at").replace("updated_at", "c.updated_at").replace("status =", "c.status =")
 
 
-@query("monthly_overview", f"""
+OVERVIEW_SQL = f"""
     SELECT '{MONTH}' AS month, count(DISTINCT cid) AS total_campaigns, count(lead_id) AS total_leads, count(connect_sent_at) AS total_connections,
       count(connected_at) AS total_accepted, count(dm1_sent_at) AS total_dms, count(replied_at) AS total_replies,
       count(CASE WHEN lifecycle_status = 'Demo_Booked' THEN 1 END) AS total_demos, {r1('count(connected_at)', 'count(connect_sent_at)')} AS accept_rate,
       {r1('count(replied_at)', 'count(dm1_sent_at)')} AS reply_rate, {r1("count(CASE WHEN lifecycle_status = 'Demo_Booked' THEN 1 END)", 'count(lead_id)')} AS conversion_rate
-    FROM ({MONTH_ROWS.format(m=MONTH)}) x""", ("campaigns", "campaign_leads"))
+    FROM ({MONTH_ROWS.format(m=MONTH)}) x"""
+
+
+@query("monthly_overview", OVERVIEW_SQL, ("campaigns", "campaign_leads"))
 def _(v):
     return R.monthly_overview(v.campaigns, v.campaign_leads, MONTH)
 
 
-@query("campaign_comparison", f"""
+COMPARISON_SQL = f"""
     SELECT cid AS campaign_id, title, count(lead_id) AS leads, {r1('count(connected_at)', 'count(connect_sent_at)')} AS accept_rate,
       {r1('count(replied_at)', 'count(dm1_sent_at)')} AS reply_rate, count(CASE WHEN lifecycle_status = 'Demo_Booked' THEN 1 END) AS demos
-    FROM ({MONTH_ROWS.format(m=MONTH)}) x GROUP BY cid, title""", ("campaigns", "campaign_leads"))
+    FROM ({MONTH_ROWS.format(m=MONTH)}) x GROUP BY cid, title"""
+
+
+@query("campaign_comparison", COMPARISON_SQL, ("campaigns", "campaign_leads"))
 def _(v):
     return R.campaign_comparison(v.campaigns, v.campaign_leads, MONTH)
 
 
-@query("month_over_month", f"""
+CHANGE_SQL = f"""
     WITH cur AS ({MONTH_ROWS.format(m=MONTH)}), prev AS ({MONTH_ROWS.format(m='1996-05')}),
     a AS (SELECT {r1('count(connected_at)', 'count(connect_sent_at)')} AS acc, {r1('count(replied_at)', 'count(dm1_sent_at)')} AS rep, count(lead_id) AS n FROM cur),
     b AS (SELECT count(connected_at)::DOUBLE / nullif(count(connect_sent_at), 0) * 100 AS acc, count(replied_at)::DOUBLE / nullif(count(dm1_sent_at), 0) * 100 AS rep, count(lead_id) AS n, count(cid) AS c FROM prev)
     SELECT '{MONTH}' AS month, floor((a.acc - coalesce(b.acc, 0)) * 10 + 0.5) / 10 AS accept_rate_delta, floor((a.rep - coalesce(b.rep, 0)) * 10 + 0.5) / 10 AS reply_rate_delta, a.n - b.n AS leads_delta
-    FROM a, b WHERE b.c > 0""", ("campaigns", "campaign_leads"))
+    FROM a, b WHERE b.c > 0"""
+
+
+@query("month_over_month", CHANGE_SQL, ("campaigns", "campaign_leads"))
 def _(v):
     return R.month_over_month(v.campaigns, v.campaign_leads, MONTH)
 

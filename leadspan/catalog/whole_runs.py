@@ -45,30 +45,57 @@ def _(v):
 
 
 def _section(name: str, label: str, sql: str) -> str:
-    return f"SELECT '{name}' AS section, campaign_id, {label} AS label, lead_count, accept_rate, reply_rate FROM ({sql}) s_{name}"
+    return f"SELECT '{name}' AS section, campaign_id, {label} AS label, lead_count, accept_rate, reply_rate, NULL::DOUBLE AS value FROM ({sql}) s_{name}"
 
 
 SECTIONS = " UNION ALL ".join([
-    f"SELECT 'variants' AS section, campaign_id, name AS label, leads_assigned AS lead_count, accept_rate, reply_rate FROM ({RP.VARIANT_STATS_SQL}) s_v",
+    f"SELECT 'variants' AS section, campaign_id, name AS label, leads_assigned AS lead_count, accept_rate, reply_rate, NULL::DOUBLE AS value FROM ({RP.VARIANT_STATS_SQL}) s_v",
     _section("tags", "tag", RP.breakdown_sql("tag", "SELECT campaign_id, connected_at, replied_at, unnest(tags) AS tag FROM campaign_leads")),
     _section("sources", "source", RP.breakdown_sql("source", "SELECT campaign_id, connected_at, replied_at, coalesce(source, 'unknown') AS source FROM campaign_leads")),
     _section("segments", "segment", RP.breakdown_sql("segment", f"SELECT campaign_id, connected_at, replied_at, {RP.SEGMENT_SQL.format(h='headline')} AS segment FROM campaign_leads")),
-    f"""SELECT 'score_buckets', g.campaign_id, r.score_range, count(l.lead_id), {RP.r1('count(l.connected_at)', 'count(l.lead_id)')}, {RP.r1('count(l.replied_at)', 'count(l.lead_id)')}
+    f"""SELECT 'score_buckets', g.campaign_id, r.score_range, count(l.lead_id), {RP.r1('count(l.connected_at)', 'count(l.lead_id)')}, {RP.r1('count(l.replied_at)', 'count(l.lead_id)')}, NULL
       FROM (SELECT DISTINCT campaign_id FROM campaign_leads) g CROSS JOIN (VALUES {RP.RANGES_SQL}) r(score_range, lo, hi) LEFT JOIN campaign_leads l ON l.campaign_id = g.campaign_id AND coalesce(l.qualification_score, 0) BETWEEN r.lo AND r.hi GROUP BY g.campaign_id, r.score_range""",
+    _section("trends", "week_start", f"SELECT campaign_id, week_start, sends AS lead_count, accept_rate, reply_rate FROM ({RP.TREND_SQL}) s_w"),
+    f"SELECT 'funnel', campaign_id, stage, stage_count, NULL, NULL, dropoff_rate FROM ({RP.FUNNEL_SQL}) s_f",
+    f"SELECT DISTINCT 'funnel', campaign_id, 'overall', total_leads, NULL::DOUBLE, NULL::DOUBLE, overall_conversion_rate FROM ({RP.FUNNEL_SQL}) s_o",
+    f"SELECT 'score_correlation', campaign_id, 'pearson', NULL, NULL, NULL, pearson FROM ({RP.CORRELATION_SQL}) s_c",
+    f"SELECT 'winner', campaign_id, winner, NULL, NULL, best_reply_rate, margin_percent FROM ({RP.WINNER_SQL}) s_b",
 ])
 
 
 @query("campaign_report", SECTIONS, RP.NEEDS_LV)
 def _(v):
-    return reporting.campaign_report_rows(v.campaign_leads, v.campaign_variants)
+    return reporting.campaign_report_rows(v.campaign_leads, v.campaign_variants, winner_multiplier=1.1)
 
 
-@query("monthly_top_tags", f"""SELECT '{RP.MONTH}' AS month, tag, count(*) AS lead_count, {RP.r1('count(connected_at)', 'count(*)')} AS accept_rate, {RP.r1('count(replied_at)', 'count(*)')} AS reply_rate
-    FROM (SELECT l.connected_at, l.replied_at, unnest(l.tags) AS tag FROM campaign_leads l WHERE campaign_id IN (SELECT campaign_id FROM campaigns WHERE {RP.ACTIVE_SQL.format(m=RP.MONTH)})) x GROUP BY tag ORDER BY lead_count DESC, tag LIMIT 15""", ("campaigns", "campaign_leads"))
+TOP_TAGS_SQL = f"""SELECT '{RP.MONTH}' AS month, tag, count(*) AS lead_count, {RP.r1('count(connected_at)', 'count(*)')} AS accept_rate, {RP.r1('count(replied_at)', 'count(*)')} AS reply_rate
+    FROM (SELECT l.connected_at, l.replied_at, unnest(l.tags) AS tag FROM campaign_leads l WHERE campaign_id IN (SELECT campaign_id FROM campaigns WHERE {RP.ACTIVE_SQL.format(m=RP.MONTH)})) x GROUP BY tag ORDER BY lead_count DESC, tag LIMIT 15"""
+
+
+@query("monthly_top_tags", TOP_TAGS_SQL, ("campaigns", "campaign_leads"))
 def _(v):
     return reporting.month_tags(v.campaigns, v.campaign_leads, RP.MONTH)
 
 
+def _long(section: str, label: str, metrics: str, sql: str) -> str:
+    names = metrics.split()
+    pairs = ", ".join(f"{{'m': '{n}', 'v': CAST({n} AS DOUBLE)}}" for n in names)
+    return f"SELECT section, label, p.m AS metric, p.v AS value FROM (SELECT '{section}' AS section, CAST({label} AS VARCHAR) AS label, unnest([{pairs}]) AS p FROM ({sql}) s_{section}) x_{section}"
+
+
+MONTH_SQL = " UNION ALL ".join([
+    _long("overview", "'all'", "total_campaigns total_leads total_connections total_accepted total_dms total_replies total_demos accept_rate reply_rate conversion_rate", RP.OVERVIEW_SQL),
+    _long("comparison", "campaign_id", "leads accept_rate reply_rate demos", RP.COMPARISON_SQL),
+    _long("tags", "tag", "lead_count accept_rate reply_rate", TOP_TAGS_SQL),
+    _long("month_over_month", "'all'", "accept_rate_delta reply_rate_delta leads_delta", RP.CHANGE_SQL),
+])
+
+
+@query("monthly_report", MONTH_SQL, ("campaigns", "campaign_leads"))
+def _(v):
+    return reporting.monthly_report_rows(v.campaigns, v.campaign_leads, RP.MONTH)
+
+
 def _tracked(v):
     at = F.lit("1997-06-16 15:30:00").cast("timestamp")
     arms = v.campaign_variants.select(
