@@ -164,12 +164,15 @@ def _(v):
     return e.groupBy("source_id", "metric").agg(F.count(F.lit(1)).alias("evidence_rows"))
 
 
-@query("resolve_profiles", """
+RESOLVE_SQL = """
     WITH leads AS (SELECT contact_id, company, first_name || ' ' || last_name AS name FROM contacts), cand AS (SELECT ord AS candidate_no, company, first_name || ' ' || last_name AS cname, CASE WHEN ord % 10 = 0 THEN '' ELSE 'https://x/' || ord END AS url FROM suppression),
     p AS (SELECT l.*, c.candidate_no, c.url, lower(l.name) AS x, lower(c.cname) AS y, string_split(lower(l.name), ' ') AS px, string_split(lower(c.cname), ' ') AS py FROM leads l JOIN cand c ON c.company = l.company),
     sc AS (SELECT *, CASE WHEN x = y THEN 1.0 WHEN len(px) >= 2 AND len(list_filter(px, lambda a: len(list_filter(py, lambda q: contains(q, a) OR contains(a, q))) = 0)) = 0 THEN 0.9 WHEN px[1] = py[1] AND px[-1] = py[-1] THEN 0.85 ELSE 0.0 END AS score FROM p),
     b AS (SELECT * FROM sc WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY contact_id ORDER BY score DESC, candidate_no) = 1)
-    SELECT l.contact_id, coalesce(b.url, '') AS linkedin_url, CASE WHEN coalesce(b.url, '') = '' THEN 'not_found' WHEN b.score >= 0.9 THEN 'medium' ELSE 'low' END AS confidence FROM leads l LEFT JOIN b ON b.contact_id = l.contact_id""", NEEDS)
+    SELECT l.contact_id, coalesce(b.url, '') AS linkedin_url, CASE WHEN coalesce(b.url, '') = '' THEN 'not_found' WHEN b.score >= 0.9 THEN 'medium' ELSE 'low' END AS confidence FROM leads l LEFT JOIN b ON b.contact_id = l.contact_id"""
+
+
+@query("resolve_profiles", RESOLVE_SQL, NEEDS)
 def _(v):
     return _resolved(v).select("contact_id", "linkedin_url", "confidence")
 
@@ -181,7 +184,8 @@ def _resolved(v):
     return J.resolve_profiles(leads, cand)
 
 
-@query("resolution_stats")
+@query("resolution_stats", f"""SELECT count(*) AS total, count(*) FILTER (confidence <> 'not_found') AS found, count(*) FILTER (confidence = 'high') AS high_confidence, count(*) FILTER (confidence = 'medium') AS medium_confidence,
+    count(*) FILTER (confidence = 'low') AS low_confidence, count(*) FILTER (confidence = 'not_found') AS not_found, 0 AS method_web_search, count(*) FILTER (confidence <> 'not_found') AS method_directory FROM ({RESOLVE_SQL}) r""", NEEDS)
 def _(v):
     return J.resolution_stats(_resolved(v))
 
