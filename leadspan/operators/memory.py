@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,15 +28,53 @@ def confidence_rank() -> Column:
     return F.when(F.col("confidence") == "proven", 3).when(F.col("confidence") == "validated", 2).otherwise(1)
 
 
-def dense_rank(queries: DataFrame, embeddings: DataFrame, k: int) -> DataFrame:
-    """Top ``k`` nodes per query by cosine. Vectors of another length are skipped.
+QUERY_BLOCK = 1024  # query vectors that travel to all tasks at a time
 
-    Scores are computed where the vectors are; only the best k per query and partition travel on.
+
+def dense_rank(queries: DataFrame, embeddings: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+    """Top ``k`` nodes per query by cosine (12 decimals, ties to the smaller node). Vectors of another length are skipped.
+
+    Queries are taken in blocks of bounded size against all vectors; of each batch of vectors only the best k per query
+    leave the task.
     """
-    q = queries.select("query_id", F.col("vector").alias("_q"), F.size("vector").alias("_dims"))
-    e = embeddings.select("node_id", F.col("vector").alias("_v"), F.size("vector").alias("_dims"))
-    scored = e.join(q, "_dims").select("query_id", "node_id", cosine(F.col("_q"), F.col("_v")).alias("similarity"))
-    return top_k(scored, ["query_id"], [F.col("similarity").desc(), F.col("node_id")], k, "dense_rank")
+    kinds = dict(queries.dtypes)["query_id"], dict(embeddings.dtypes)["node_id"]
+    numbered = ordinals(queries.select("query_id", "vector"), [], ["query_id"], "_at")
+    out = None
+    for first in range(0, max(1, numbered.count()), block):
+        rows = numbered.filter(F.col("_at").between(first, first + block - 1)).select("query_id", "vector").collect()
+        shared = queries.sparkSession.sparkContext.broadcast([(r["query_id"], np.asarray(r["vector"], dtype=float)) for r in rows])
+        best = embeddings.select("node_id", "vector").mapInPandas(_best_of(shared, k), f"query_id {kinds[0]}, node_id {kinds[1]}, similarity double")
+        out = best if out is None else out.union(best)
+    return top_k(out, ["query_id"], [F.col("similarity").desc(), F.col("node_id")], k, "dense_rank")
+
+
+def _best_of(shared, k: int):
+    """Per batch of vectors and query the k most similar, and those that tie with the last of them."""
+
+    def unit(m: np.ndarray) -> np.ndarray:
+        length = np.linalg.norm(m, axis=1, keepdims=True)
+        return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
+
+    def best(batches):
+        asked: dict[int, tuple[list, list]] = {}
+        for key, vector in shared.value:
+            asked.setdefault(len(vector), ([], []))[0].append(key)
+            asked[len(vector)][1].append(vector)
+        wanted = {n: (keys, unit(np.array(rows))) for n, (keys, rows) in asked.items() if n}
+        for batch in batches:
+            sizes, found = batch["vector"].map(len).to_numpy(), []
+            for n, (keys, q) in wanted.items():
+                nodes = batch["node_id"].to_numpy()[sizes == n]
+                if not len(nodes):
+                    continue
+                scores = np.round(q @ unit(np.array(batch["vector"][sizes == n].tolist(), dtype=float)).T, 12)
+                least = np.partition(scores, -min(k, len(nodes)), axis=1)[:, -min(k, len(nodes))]
+                row, col = np.nonzero(scores >= least[:, None])
+                found.append(pd.DataFrame({"query_id": [keys[i] for i in row], "node_id": nodes[col], "similarity": scores[row, col]}))
+            if found:
+                yield pd.concat(found)
+
+    return best
 
 
 def newest_nodes(nodes: DataFrame, limit: int | None = None) -> DataFrame:

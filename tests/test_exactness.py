@@ -178,3 +178,26 @@ def test_canonical_head_with_cycles_and_forks(spark):
     df = spark.createDataFrame(edges, "edge_id long, from_type string, from_id long, to_type string, to_id long, relation string, created string").withColumn("created_at", F.col("created").cast("timestamp"))
     got = {r.node_id: r.head_id for r in canonical_head(df, spark.range(60).withColumnRenamed("id", "node_id")).collect()}
     assert got == {n: head(n) for n in range(60)}
+
+
+def test_dense_rank_in_blocks_equals_all_pairs(spark):
+    import numpy as np
+
+    from leadspan.operators.memory import dense_rank
+
+    rng = np.random.default_rng(1)
+    nodes = [(i, rng.integers(-2, 3, 4 if i % 7 else 3).astype(float).tolist()) for i in range(120)]
+    asked = [(q, rng.integers(-2, 3, 4).astype(float).tolist()) for q in range(8)]
+
+    def cosine(a, b):
+        size = np.linalg.norm(a) * np.linalg.norm(b)
+        return round(float(np.dot(a, b) / size), 9) if size else 0.0
+
+    want = []
+    for q, a in asked:
+        scored = sorted((-cosine(a, b), n) for n, b in nodes if len(b) == 4)[:5]
+        want += [(q, n, rank + 1) for rank, (_, n) in enumerate(scored)]
+    e = spark.createDataFrame(nodes, "node_id long, vector array<double>").repartition(4)
+    qs = spark.createDataFrame(asked, "query_id long, vector array<double>")
+    for block in (3, 1024):
+        assert sorted((r.query_id, r.node_id, r["dense_rank"]) for r in dense_rank(qs, e, 5, block).collect()) == want
