@@ -224,7 +224,8 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     known = labels.filter(F.col(label_column).isNotNull() & F.col(id_column).isNotNull()).groupBy(F.col(id_column).alias("_id")).agg(F.max(F.col(label_column).cast("int")).alias("toxic"))
     texts = docs.filter(~held_out(id_column)).select(F.col(id_column).alias("_id"), F.col(text_column).alias("text"))
     folder = scratch(spark, "toxicity-training")
-    texts.join(known, "_id").select("_id", "text", "toxic").write.parquet(folder)
+    # both sides grow with the corpus, so the plan is the same at every size
+    texts.join(known.hint("merge"), "_id").select("_id", "text", "toxic").write.parquet(folder)
     rows = spark.read.parquet(folder)
     sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
@@ -281,18 +282,27 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
-        reader, known = Reader(m.trigrams), {}
-
-        def word_evidence(word: str) -> float:
-            value = known.get(word)
-            if value is None:
-                value = max(m.evidence(f) for f in features(word))
-                if len(known) < REMEMBERED:
-                    known[word] = value
-            return value
+        restorer, known = Restorer(m.trigrams), {}
+
+        def telling(words: Iterable[str]) -> dict[str, float]:
+            """Words that say something, most say nothing."""
+            return {w: value for w in words if (value := max(m.evidence(f) for f in features(w))) > 0}
+
+        def evidence(text: str | None) -> float:
+            lower, found = (text or "").lower(), {}
+            for token in set(lower.split()):
+                some = known.get(token)
+                if some is None:
+                    some = telling(restorer.words(token))
+                    if len(known) < REMEMBERED:
+                        known[token] = some
+                if some:
+                    found.update(some)
+            found.update(telling(restorer.spaced(lower)))
+            return strongest_of(found.values())
 
         for batch in batches:
-            found = [m.score(strongest_of(map(word_evidence, reader.words(t)))) for t in batch["text"]]
+            found = [m.score(evidence(t)) for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "score": found})
 
     rows = docs.select(known_id(id_column).alias("doc_id"), held_out(id_column).alias("held_out"), F.col(text_column).alias("text"))
