@@ -199,5 +199,6 @@ def test_dense_rank_in_blocks_equals_all_pairs(spark):
         want += [(q, n, rank + 1) for rank, (_, n) in enumerate(scored)]
     e = spark.createDataFrame(nodes, "node_id long, vector array<double>").repartition(4)
     qs = spark.createDataFrame(asked, "query_id long, vector array<double>")
+    want.sort()
     for block in (3, 1024):
         assert sorted((r.query_id, r.node_id, r["dense_rank"]) for r in dense_rank(qs, e, 5, block).collect()) == want
