@@ -102,20 +102,21 @@ def retrieve(
         chosen = near.union(recent.join(near.select("query_id").distinct(), "query_id", "left_anti"))
     else:
         chosen = recent
-    keyword = _keyword_scores(queries, active, chosen)
+    keyword = _keyword_scores(queries, active, None if candidates is None and anchors is None else chosen)
+    # terms and sizes are worked out once per node, texts do not travel with the pairs
+    slim_nodes = active.select("node_id", "created_at", approx_tokens(F.col("content")).alias("tokens_needed"), *[c.alias(n) for n, c in rerank_terms(now).items()])
     if embeddings is None:  # without vectors only nodes with a hit can be returned
         hits = keyword if candidates is None and anchors is None else keyword.join(chosen, ["query_id", "node_id"], "left_semi")
-        rows = hits.join(active, "node_id")
+        rows = hits.join(slim_nodes, "node_id")
     else:
-        rows = chosen.join(active, "node_id").join(keyword, ["query_id", "node_id"], "left").fillna(0.0, ["keyword"])
-    rows = rows.withColumn("tokens_needed", approx_tokens(F.col("content")))
+        rows = chosen.join(slim_nodes, "node_id").join(keyword, ["query_id", "node_id"], "left").fillna(0.0, ["keyword"])
     if embeddings is not None:
         vectors = embeddings.select("node_id", F.col("vector").alias("_v"))
         rows = rows.join(queries.select("query_id", F.col("vector").alias("_qv")), "query_id").join(vectors, "node_id", "left")
         rows = rows.withColumn("similarity", cosine(F.col("_qv"), F.col("_v")))
     else:
         rows = rows.withColumn("similarity", F.lit(None).cast("double"))
-    slim = rows.select("query_id", "node_id", "keyword", "similarity", "tokens_needed", "created_at", *[c.alias(n) for n, c in rerank_terms(now).items()])
+    slim = rows.select("query_id", "node_id", "keyword", "similarity", "tokens_needed", "created_at", *rerank_terms(now))
     slim = slim.withColumn("_newer", -F.unix_micros("created_at"))
     place = (lambda df, score, name: ordinals(df.withColumn("_s", -F.coalesce(F.col(score), F.lit(-9.0))), ["query_id"], ["_s", "_newer", "node_id"], name).drop("_s")) if anchors is not None else (
         lambda df, score, name: df.withColumn(name, F.row_number().over(Window.partitionBy("query_id").orderBy(F.col(score).desc_nulls_last(), "_newer", "node_id")) - 1)
@@ -132,12 +133,13 @@ def retrieve(
     return take_budget(best, token_budget).select("query_id", "node_id", "position", "score", "rrf", "keyword_rank", "dense_rank", "tokens_needed")
 
 
-def _keyword_scores(queries: DataFrame, nodes: DataFrame, chosen: DataFrame) -> DataFrame:
+def _keyword_scores(queries: DataFrame, nodes: DataFrame, chosen: DataFrame | None) -> DataFrame:
     """Keyword score of each candidate with at least one hit.
 
     Every text is split once; its distinct words meet the query words in an equi-join, and hits are counted per pair.
     """
-    needed = nodes.join(chosen.select("node_id").distinct(), "node_id", "left_semi").select("node_id", "tenant_id", tokens(F.col("content")).alias("_t"))
+    needed = nodes if chosen is None else nodes.join(chosen.select("node_id").distinct(), "node_id", "left_semi")
+    needed = needed.select("node_id", "tenant_id", tokens(F.col("content")).alias("_t"))
     words = needed.select("node_id", "tenant_id", F.size("_t").alias("_n"), F.explode(F.array_distinct("_t")).alias("word"))
     asked = queries.select("query_id", "tenant_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("word"))
     hits = words.join(asked, ["tenant_id", "word"]).groupBy("query_id", "node_id", "_n").agg(F.count(F.lit(1)).alias("_h"))
