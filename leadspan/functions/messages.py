@@ -27,16 +27,8 @@ GREETING = rf"(?i)^(hi|hey|dear|good morning|good afternoon|good evening){_EDGE_
 SIGNAL_WORD = rf"(?i){_EDGE_BEFORE}signals?{_EDGE_AFTER}"
 SPACED_DASH = rf"[{WIDE_SPACE}][-–—]{{1,2}}[{WIDE_SPACE}]"
 SITE_NAME = rf"(?i){_EDGE_BEFORE}([A-Za-z][A-Za-z0-9-]*)\.(com|io|ai|co|app|dev|so|xyz|net|org){_EDGE_AFTER}"
-RULE_NAMES = {
-    "no-signal": 'No "signal" word',
-    "no-start-with-i": 'Never start with "I"',
-    "no-disclaimers": "No disclaimers",
-    "no-dash-punctuation": "No dashes as punctuation",
-    "no-connect-filler": 'No "nice/great to connect" filler',
-    "start-with-hello": 'Start greeting with "Hello"',
-    "no-company-tld": "No company TLD (LinkedIn auto-linkify)",
-    "specific-cta": "CTA must be specific/actionable",
-}
+# Rule ids in the order they are reported.
+RULE_NAMES = ["no-signal", "no-start-with-i", "no-disclaimers", "no-dash-punctuation", "no-connect-filler", "start-with-hello", "no-company-tld", "specific-cta"]
 
 
 def _any(phrases: list[str]) -> str:

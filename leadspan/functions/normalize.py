@@ -19,7 +19,8 @@ PERSONAL_DOMAINS = [
     "icloud.com", "me.com", "mail.com", "protonmail.com", "proton.me", "zoho.com", "gmx.com", "gmx.de", "web.de", "yandex.com",
     "qq.com", "163.com", "orange.fr", "free.fr", "sfr.fr", "laposte.net", "wanadoo.fr",
 ]
-GUESSABLE_TLDS = "com io co net org ai dev app tech xyz us uk de fr es it nl be ch at ca au".split()
+# Endings that are cut from a domain to guess a company's name.
+GUESSABLE_TLDS = ["com", "io", "co", "net", "org", "ai", "dev", "app", "tech", "xyz", "us", "uk", "de", "fr", "es", "it", "nl", "be", "ch", "at", "ca", "au"]
 
 
 def text(c: Column) -> Column:
