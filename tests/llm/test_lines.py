@@ -1,3 +1,5 @@
+import random
+
 from leadspan.llm import lines
 from leadspan.llm.catalog import QUERIES
 from tests.conftest import SF
@@ -56,3 +58,43 @@ def test_chunks_make_up_the_text():
     for text in ("", "\n", "a\n\nb", "x " * 70 + "\n" + "y\n" * 50, "no break"):
         parts = lines.chunks(text)
         assert "".join(text[a:b] for a, b, _ in parts) == text and sum(n for *_, n in parts) == len(text.split())
+
+
+def whole(docs):
+    """Texts without every line that lies in a run of lines equal to an earlier one: all pairs of runs are compared."""
+    out, before = {}, set()
+    for i, t in sorted(set(docs)):
+        parts, gone = t.split("\n"), set()
+        for a in range(len(parts)):
+            for b in range(a + 1, len(parts) + 1):
+                n = len(" ".join(parts[a:b]).split())
+                if n >= (lines.CHUNK_WORDS if b - a > 1 else lines.PASSAGE_WORDS):
+                    run = tuple(parts[a:b])
+                    if run in before:
+                        gone.update(range(a, b))
+                    before.add(run)
+        out[i] = "".join(p + "\n" * (k < len(parts) - 1) for k, p in enumerate(parts) if k not in gone)
+    return out
+
+
+def test_every_repeated_run_of_lines_goes(spark):
+    rng = random.Random(1)
+    some = [" ".join(f"w{rng.randrange(4)}" for _ in range(n)) for n in (0, 1, 3, 5, 9, 12, 19, 20, 30, 50)]
+    docs = [(i, "\n".join(rng.choice(some) for _ in range(rng.randrange(1, 14)))) for i in range(150)]
+    rows = lines.remove_repeated(spark.createDataFrame(rows_of(docs), COLUMNS)).collect()
+    assert {r.doc_id: r.text for r in rows} == whole(docs)
+
+
+def test_planted_passages_are_found_whole(spark):
+    """Lines x words a line, two documents, unequal surroundings of unequal length."""
+    rng, docs, want = random.Random(2), [], {}
+    fresh = lambda n: " ".join(f"u{rng.getrandbits(40)}" for _ in range(n))
+    for count, words in ((2, 10), (2, 30), (3, 20), (5, 12), (200, 5), (100, 4)):
+        for _ in range(20):
+            passage = "\n".join(fresh(words) for _ in range(count))
+            for copy in range(2):
+                before, after = ("".join(fresh(8) + "\n" for _ in range(rng.randrange(1, 6))) for _ in range(2))
+                docs.append((len(docs), f"{before}{passage}\n{after}"))
+                want[len(docs) - 1] = before + after if copy else docs[-1][1]
+    rows = lines.remove_repeated(spark.createDataFrame(rows_of(docs), COLUMNS)).collect()
+    assert {r.doc_id: r.text for r in rows} == want
