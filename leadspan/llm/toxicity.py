@@ -13,19 +13,19 @@ training documents, each without its own counts.
 
 from __future__ import annotations
 
-import heapq
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadspan.llm.texts import given_id, known_id, scratch
+from leadspan.llm.texts import MAP_BITS, bit_map, given_id, identity, scratch
 
 LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿœ"
 CODES = {c: i + 1 for i, c in enumerate(LETTERS)}  # 0: anything else, a word's edge
@@ -48,7 +48,8 @@ SPACED = re.compile(r"(?<!\S)\S(?:[ ._-]\S){2,}(?!\S)")
 LONGEST_TOKEN = 48  # longer ones are no words; they are left as written
 REMEMBERED = 300_000  # tokens per worker
 
-LEAST_SHARE = 0.005  # of toxic documents that a feature must occur in: bounds the table of features whatever the corpus
+LEAST = 2  # toxic documents that a feature must occur in, whatever the corpus
+HELD_ROWS = 500_000  # that a task holds before it hands them on
 STEMS = (4, 5, 6, 7)
 STEM_WORDS = 3  # frequent words that have to share a stem
 STRONGEST = 3  # words that the score adds up
@@ -139,30 +140,32 @@ def features(word: str) -> list[str]:
     return [word, *[word[:n] + "*" for n in STEMS if len(word) > n]]
 
 
+class Counts:
+    """feature, a, b: toxic and clean training documents that have a feature, as a Spark table; equal if its rows are."""
+
+    def __init__(self, table: DataFrame) -> None:
+        self.table = table
+
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, Counts) and self.table.exceptAll(other.table).isEmpty() and other.table.exceptAll(self.table).isEmpty()
+
+
 class Model(NamedTuple):
-    """Counts of toxic and clean training documents by feature, the numbers of both, and the logistic curve."""
+    """Counts by feature (None without both kinds of label), toxic and clean training documents, and the logistic curve."""
 
     trigrams: np.ndarray
-    counts: dict[str, tuple[int, int]]
+    counts: Counts | None
     toxic: int
     clean: int
     slope: float
     offset: float
 
-    def evidence(self, feature: str, without: int | None = None) -> float:
-        """``without``: the label of a document whose own counts are left out."""
-        if feature not in self.counts:
-            return 0.0
-        a, b = self.counts[feature]
-        a, b, na, nb = a - (without == 1), b - (without == 0), self.toxic - (without == 1), self.clean - (without == 0)
-        return max(0.0, math.log((a + 0.5) / (na + 1)) - math.log((b + 0.5) / (nb + 1)) - math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)))
-
-    def score(self, evidence: float) -> float:
-        return 1 / (1 + math.exp(-max(-50.0, min(50.0, self.offset + self.slope * evidence))))
 
-
-def strongest_of(evidence: Iterable[float]) -> float:
-    return sum(heapq.nlargest(STRONGEST, evidence))
+def evidence(toxic: int, clean: int, without: Column | None = None) -> Column:
+    """Of a feature with the counts ``a`` and ``b``. ``without``: the label of a document whose own counts are left out."""
+    one, zero = (F.coalesce(without == v, F.lit(False)).cast("int") if without is not None else F.lit(0) for v in (1, 0))
+    a, b = F.col("a") - one + 0.5, F.col("b") - zero + 0.5
+    return F.log(a / (toxic - one + 1)) - F.log(b / (clean - zero + 1)) - F.sqrt(1 / a + 1 / b)
 
 
 class Reader:
@@ -184,27 +187,110 @@ class Reader:
         return out
 
 
-def _tally(rows: DataFrame, trigrams, keep) -> DataFrame:
-    """(feature, toxic, n): documents that have each feature; with ``keep`` only of those features, summed within a task."""
+def _hash(feature: str) -> int:
+    """As Spark's xxhash64."""
+    return xxhash.xxh64_intdigest(feature.encode("utf-8", "surrogatepass"), 42)
+
+
+class Chooser(Reader):
+    """Documents as features, with a bit map only those whose hash may be in it."""
+
+    def __init__(self, model: np.ndarray, bits: np.ndarray | None = None) -> None:
+        super().__init__(model)
+        self.bits, self.chosen = bits, {}
+
+    def _may(self, feature: str) -> bool:
+        place = _hash(feature) >> (64 - MAP_BITS)
+        return bool(int(self.bits[place >> 6]) >> (place & 63) & 1)
+
+    def _choose(self, words: list[str]) -> list[tuple[str, str]]:
+        return [(w, f) for w in words for f in features(w) if self.bits is None or self._may(f)]
+
+    def pairs(self, text: str | None) -> set[tuple[str, str]]:
+        """(word, feature) of a document."""
+        lower, out = (text or "").lower(), set()
+        for token in set(lower.split()):
+            some = self.chosen.get(token)
+            if some is None:
+                some = self._choose(self.restorer.words(token))
+                if len(self.chosen) < REMEMBERED:
+                    self.chosen[token] = some
+            out.update(some)
+        out.update(self._choose(self.restorer.spaced(lower)))
+        return out
+
+
+def _tally(rows: DataFrame, trigrams, bits=None) -> DataFrame:
+    """(feature, a, b): toxic and clean documents that have each feature; with ``bits`` only of features that may be in it."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader, wanted = Reader(trigrams.value), keep and keep.value
-        total: Counter = Counter()
+        reader, total = Chooser(trigrams.value, bits and bits.value), Counter()
 
         def table() -> pd.DataFrame:
-            return pd.DataFrame([(f, y, n) for (f, y), n in total.items()], columns=["feature", "toxic", "n"])
+            return pd.DataFrame([(f, n * y, n * (1 - y)) for (f, y), n in total.items()], columns=["feature", "a", "b"])
 
         for batch in batches:
             for text, toxic in zip(batch["text"], batch["toxic"]):
-                found = {f for w in reader.words(text) for f in features(w)}
-                total.update((f, toxic) for f in (found if wanted is None else found & wanted))
-            if wanted is None:
-                yield table()
-                total.clear()
+                total.update((f, int(toxic)) for f in {f for _, f in reader.pairs(text)})
+                if len(total) > HELD_ROWS:
+                    yield table()
+                    total.clear()
         if total:
             yield table()
 
-    return rows.mapInPandas(count, "feature string, toxic int, n bigint").groupBy("feature", "toxic").agg(F.sum("n").alias("n"))
+    return rows.mapInPandas(count, "feature string, a bigint, b bigint").groupBy("feature").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+
+
+def _frequent(tally: DataFrame) -> DataFrame:
+    """Features of ``LEAST`` toxic documents or more; stems are those shared by ``STEM_WORDS`` such words."""
+    often = tally.filter(F.col("a") >= LEAST).select("feature")
+    words = often.filter(~F.col("feature").endswith("*"))
+    stems = F.explode(F.array_compact(F.array(*[F.when(F.length("feature") > n, F.concat(F.substring("feature", 1, n), F.lit("*"))) for n in STEMS])))
+    shared = words.select(stems.alias("feature")).groupBy("feature").count().filter(F.col("count") >= STEM_WORDS)
+    return words.union(often.filter(F.col("feature").endswith("*")).join(shared, "feature", "left_semi"))
+
+
+def _stored(table: DataFrame, name: str) -> DataFrame:
+    folder = scratch(table.sparkSession, name)
+    table.write.parquet(folder)
+    return table.sparkSession.read.parquet(folder)
+
+
+def strengths(rows: DataFrame, model: Model, *kept: str, label: str | None = None) -> DataFrame:
+    """``kept`` and x, the summed evidence of each row's strongest words; rows have _id, _content, text.
+
+    ``label``: of documents whose own counts are left out. A bit map of the features with evidence holds back words that
+    say nothing; what passes meets the counts in a join.
+    """
+    spark = rows.sparkSession
+    keys = rows.select(*dict.fromkeys(("_id", "_content", *kept)))
+    if model.counts is None:
+        return keys.select(*kept, F.lit(0.0).alias("x"))
+    trigrams, bits = (spark.sparkContext.broadcast(v) for v in (model.trigrams, bit_map(model.counts.table.select(F.xxhash64("feature").alias("hash")), "hash")))
+
+    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reader = Chooser(trigrams.value, bits.value)
+
+        def table(found: list[tuple]) -> pd.DataFrame:
+            return pd.DataFrame(found, columns=["_id", "_content", "_label", "word", "feature"])
+
+        for batch in batches:
+            found = []
+            for key, content, own, text in zip(batch["_id"], batch["_content"], batch["_label"], batch["text"]):
+                number: dict[str, int] = {}
+                found += [(key, content, own, number.setdefault(w, len(number)), f) for w, f in sorted(reader.pairs(text))]
+                if len(found) > HELD_ROWS:
+                    yield table(found)
+                    found = []
+            yield table(found)
+
+    texts = rows.select("_id", "_content", (F.col(label).cast("int") if label else F.lit(-1)).alias("_label"), "text")
+    chosen = texts.mapInPandas(choose, "_id bigint, _content bigint, _label int, word int, feature string")
+    value = evidence(model.toxic, model.clean, F.col("_label") if label else None)
+    told = chosen.join(model.counts.table, "feature").select("_id", "_content", "word", value.alias("e")).filter("e > 0").repartition("_id", "_content")
+    best = told.groupBy("_id", "_content", "word").agg(F.max("e").alias("e")).groupBy("_id", "_content").agg(F.slice(F.sort_array(F.collect_list("e"), False), 1, STRONGEST).alias("e"))
+    total = best.select("_id", "_content", F.aggregate("e", F.lit(0.0), lambda x, y: x + y).alias("x"))
+    return keys.join(total, ["_id", "_content"], "left").select(*kept, F.coalesce("x", F.lit(0.0)).alias("x"))
 
 
 def held_out(id_column: str = "doc_id"):
@@ -222,42 +308,27 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     trigrams = character_model(docs, text_column)
     shared = spark.sparkContext.broadcast(trigrams)
     known = labels.filter(F.col(label_column).isNotNull() & F.col(id_column).isNotNull()).groupBy(F.col(id_column).alias("_id")).agg(F.max(F.col(label_column).cast("int")).alias("toxic"))
-    texts = docs.filter(~held_out(id_column)).select(F.col(id_column).alias("_id"), F.col(text_column).alias("text"))
+    texts = docs.filter(~held_out(id_column)).select(*identity(id_column, text_column), F.col(text_column).alias("text"))
     folder = scratch(spark, "toxicity-training")
     # both sides grow with the corpus, so the plan is the same at every size
-    texts.join(known.hint("merge"), "_id").select("_id", "text", "toxic").write.parquet(folder)
+    texts.join(known.hint("merge"), "_id").select("_id", "_content", "text", "toxic").write.parquet(folder)
     rows = spark.read.parquet(folder)
     sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:
         prior = (toxic + 0.5) / (toxic + clean + 1) if toxic + clean else 0.05
-        return Model(trigrams, {}, toxic, clean, 0.0, math.log(prior / (1 - prior)))
-    least = max(2, math.ceil(LEAST_SHARE * toxic))
-    # a toxic document has so many features, so at most 1 / LEAST_SHARE times that pass
-    frequent = [r["feature"] for r in _tally(rows.filter("toxic = 1"), shared, None).filter(F.col("n") >= least).select("feature").collect()]
-    shared_by = Counter(stem for f in frequent if not f.endswith("*") for stem in features(f)[1:])
-    frequent = [f for f in frequent if not f.endswith("*") or shared_by[f] >= STEM_WORDS]
-    found: dict[str, list[int]] = {f: [0, 0] for f in frequent}
-    for r in _tally(rows, shared, spark.sparkContext.broadcast(frozenset(frequent))).toLocalIterator():
-        found[r["feature"]][0 if r["toxic"] else 1] = r["n"]
-    model = Model(trigrams, {}, toxic, clean, 0.0, 0.0)
-    model = model._replace(counts={f: (a, b) for f, (a, b) in found.items() if model._replace(counts={f: (a, b)}).evidence(f) > 0})
+        return Model(trigrams, None, toxic, clean, 0.0, math.log(prior / (1 - prior)))
+    frequent = _stored(_frequent(_stored(_tally(rows.filter("toxic = 1"), shared), "toxicity-tally")), "toxicity-features")
+    bits = spark.sparkContext.broadcast(bit_map(frequent.select(F.xxhash64("feature").alias("hash")), "hash"))
+    counts = _tally(rows, shared, bits).join(frequent, "feature", "left_semi").filter(evidence(toxic, clean) > 0)
+    model = Model(trigrams, Counts(_stored(counts, "toxicity-counts")), toxic, clean, 0.0, 0.0)
     slope, offset = _fit(rows, model)
     return model._replace(slope=slope, offset=offset)
 
 
 def _fit(rows: DataFrame, model: Model) -> tuple[float, float]:
-    shared = rows.sparkSession.sparkContext.broadcast(model)
     every = max(1, (model.toxic + model.clean) // FIT_ROWS)
-
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
-        reader = Reader(m.trigrams)
-        for batch in batches:
-            found = [strongest_of(max(m.evidence(f, y) for f in features(w)) for w in reader.words(t)) for t, y in zip(batch["text"], batch["toxic"])]
-            yield pd.DataFrame({"x": found, "y": batch["toxic"]})
-
-    sample = rows.filter(F.pmod(F.xxhash64("_id"), F.lit(every)) == 0).mapInPandas(sums, "x double, y int")
+    sample = strengths(rows.filter(F.pmod(F.xxhash64("_id"), F.lit(every)) == 0), model, "toxic", label="toxic").withColumnRenamed("toxic", "y")
     binned = sample.groupBy(F.round("x", 2).alias("x"), "y").count().toPandas()  # a few thousand rows at most
     x, y, n = binned["x"].to_numpy(float), binned["y"].to_numpy(float), binned["count"].to_numpy(float)
     design, beta = np.stack([x, np.ones(len(x))], axis=1), np.zeros(2)
@@ -278,36 +349,10 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
     Null and empty texts have no evidence and get the curve's lowest score; repeated rows score alike; other columns are
     not read; an empty table gives no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
-        restorer, known = Restorer(m.trigrams), {}
-
-        def telling(words: Iterable[str]) -> dict[str, float]:
-            """Words that say something, most say nothing."""
-            return {w: value for w in words if (value := max(m.evidence(f) for f in features(w))) > 0}
-
-        def evidence(text: str | None) -> float:
-            lower, found = (text or "").lower(), {}
-            for token in set(lower.split()):
-                some = known.get(token)
-                if some is None:
-                    some = telling(restorer.words(token))
-                    if len(known) < REMEMBERED:
-                        known[token] = some
-                if some:
-                    found.update(some)
-            found.update(telling(restorer.spaced(lower)))
-            return strongest_of(found.values())
-
-        for batch in batches:
-            found = [m.score(evidence(t)) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "score": found})
-
-    rows = docs.select(known_id(id_column).alias("doc_id"), held_out(id_column).alias("held_out"), F.col(text_column).alias("text"))
-    scored = rows.mapInPandas(run, "doc_id bigint, held_out boolean, score double")
-    return scored.select(given_id("doc_id").alias("doc_id"), "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    rows = docs.select(*identity(id_column, text_column), held_out(id_column).alias("held_out"), F.col(text_column).alias("text"))
+    power = F.greatest(F.lit(-50.0), F.least(F.lit(50.0), F.lit(model.offset) + F.lit(model.slope) * F.col("x")))
+    scored = strengths(rows, model, "_id", "held_out").withColumn("score", 1 / (1 + F.exp(-power)))
+    return scored.select(given_id("_id").alias("doc_id"), "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, **columns) -> DataFrame:

@@ -90,3 +90,15 @@ def test_odd_rows(spark, odd, empty, model):
     assert {r.predicted for r in t.toxicity(odd, labels).collect()} <= {0, 1}
     assert {r.predicted for r in t.toxicity(odd, labels.limit(0)).collect()} == {0}
     assert t.toxicity(empty, labels).collect() == []
+
+
+def test_a_rare_toxic_word_counts_in_a_large_corpus(spark):
+    """Two toxic documents are evidence, whether there are 10 or 1,000 toxic ones."""
+    for size in (10, 1000):
+        docs = [(i, f"common text number with vile{'x' if i % 2 else 'y'}") for i in range(size)] + [(i, "common text number with nothing") for i in range(size, 3 * size)]
+        rare = [i for i in range(size) if zlib.crc32(str(i).encode()) % 5][:2]
+        docs = [(i, "common text number with grobian" if i in rare else text) for i, text in docs] + [(10**6, "text with grobian")]
+        table = spark.createDataFrame(docs, "doc_id bigint, text string")
+        labels = spark.createDataFrame([(i, int(i < size)) for i, _ in docs[:-1]], "doc_id bigint, toxic int")
+        scores = {r.doc_id: r.score for r in t.toxicity(table, labels).filter(f"doc_id = 1000000 OR doc_id = {size}").collect()}
+        assert scores[10**6] > scores[size]
