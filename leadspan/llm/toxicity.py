@@ -42,10 +42,9 @@ SWAP, REPEAT, SEPARATE, KEEP_SPACE, DROP_EDGE, DROP, AS_IS = -1.0, -1.0, -0.5, -
 
 OUTER = ".,;:?\"'()[]{}«»“”‘’…–—"
 TRAIL = re.compile(r"([*%&$#!|<>~=-])\1*$")
-RUN = re.compile(r"(.)\1\1")
-LONG_RUN = re.compile(r"(.)\1\1+")
+LONG_RUN = re.compile(r"(.)\1+")
 SPACED = re.compile(r"(?<!\S)\S(?:[ ._-]\S){2,}(?!\S)")
-LONGEST_TOKEN = 48  # longer ones are no words; they are left as written
+MEANT = set(CODES) | set(LOOKS)
 REMEMBERED = 300_000  # tokens per worker
 
 LEAST = 2  # toxic documents that a feature must occur in, whatever the corpus
@@ -96,43 +95,47 @@ class Restorer:
 
     def decode(self, token: str) -> str:
         """The likeliest reading of a lower-case token; a space in it marks where a separator was kept."""
-        states = {(0, 0): (0.0, "")}
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}  # readings as (rest, last letter)
         last = len(token) - 1
-        stretched = {i for m in LONG_RUN.finditer(token) for i in range(m.start() + 1, m.end())}
         for i, ch in enumerate(token):
             if ch in CODES:
                 options = [(ch, 0.0)]
             else:
                 options = [(s, SWAP) for s in LOOKS.get(ch, "")] + [(" " if ch == " " else ch, AS_IS if ch != " " else KEEP_SPACE)]
                 options.append(("", SEPARATE if ch in SEPARATORS else DROP_EDGE if i in (0, last) and not ch.isalnum() else DROP))
-            if i in stretched:
+            if i and ch == token[i - 1]:
                 options.append(("", REPEAT))
-            following: dict[tuple[int, int], tuple[float, str]] = {}
+            following: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (score, path) in states.items():
                 for out, cost in options:
                     if out:
                         code = CODES.get(out, 0)
-                        state, value, reading = (b if code else 0, code), score + cost + self.model[a][b][code], path + out
+                        state, value = (b if code else 0, code), score + cost + self.model[a][b][code]
                     else:
-                        state, value, reading = (a, b), score + cost, path
+                        state, value = (a, b), score + cost
                     if state not in following or value > following[state][0]:
-                        following[state] = (value, reading)
+                        following[state] = (value, (path, out) if out else path)
             states = following
-        return max((score + self.model[a][b][0], path) for (a, b), (score, path) in states.items())[1]
+        path = max(((score + self.model[a][b][0], path) for (a, b), (score, path) in states.items()), key=lambda r: r[0])[1]
+        letters = []
+        while path is not None:
+            path, out = path
+            letters.append(out)
+        return "".join(reversed(letters))
 
     def words(self, token: str) -> list[str]:
         """Restored words of one lower-case token."""
         core = token.strip(OUTER)
         plain = TRAIL.sub("", core)
-        if plain.isalpha() and not RUN.search(plain):
+        if plain.isalpha() and not LONG_RUN.search(plain):
             return [plain] if plain == core or plain + "!" != core else [plain, *self.decode(core).split()]
-        if not 2 <= len(core) <= LONGEST_TOKEN or sum(map(str.isalpha, core)) < 1:
+        if len(core) < 2 or MEANT.isdisjoint(core):
             return [plain] if plain else []
-        return list(dict.fromkeys([plain, *self.decode(core).split()]))
+        return [w for w in dict.fromkeys([plain, *self.decode(core).split()]) if w]
 
     def spaced(self, text: str) -> list[str]:
         """Words spelt with a separator after each character."""
-        return [w for m in SPACED.finditer(text) for w in self.decode(m[0][: 4 * LONGEST_TOKEN]).split()] if SPACED.search(text) else []
+        return [w for m in SPACED.finditer(text) for w in self.decode(m[0]).split()] if SPACED.search(text) else []
 
 
 def features(word: str) -> list[str]:

@@ -102,3 +102,9 @@ def test_a_rare_toxic_word_counts_in_a_large_corpus(spark):
         labels = spark.createDataFrame([(i, int(i < size)) for i, _ in docs[:-1]], "doc_id bigint, toxic int")
         scores = {r.doc_id: r.score for r in t.toxicity(table, labels).filter(f"doc_id = 1000000 OR doc_id = {size}").collect()}
         assert scores[10**6] > scores[size]
+
+
+@pytest.mark.parametrize("written, word", [("y o u " + "a " * 120 + "s t u p i d", "stupid"), ("s" + "t" * 60 + "upid", "stupid"), ("s" + "-" * 60 + "tupid", "stupid"), ("ssttuuppiidd", "stupid"), ("@$$", "as")])
+def test_whole_runs_and_tokens_are_decoded(model, written, word):
+    found = t.Reader(model.trigrams).words(f"and {written} was")
+    assert any(w.endswith(word) for w in found - {written})
