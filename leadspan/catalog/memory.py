@@ -148,6 +148,13 @@ def _(v):
     return M.dense_rank(q, v.memory_embeddings, 10).select("query_id", "node_id", "dense_rank", F.round("similarity", 5).alias("similarity"))
 
 
+@query("dense_rank_all", """WITH q AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query_id, node_id, list_cosine_similarity(CAST(qv AS DOUBLE[]), CAST(vector AS DOUBLE[])) AS sim FROM q, memory_embeddings)
+    SELECT query_id, node_id, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, node_id) AS dense_rank, round(sim, 5) AS similarity FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, node_id) <= 10""", ("memory_embeddings",))
+def _(v):
+    q = v.embeddings.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return M.dense_rank(q, v.memory_embeddings, 10).select("query_id", "node_id", "dense_rank", F.round("similarity", 5).alias("similarity"))
+
+
 QUERY_ROWS = "q AS (SELECT item_id AS query_id, 't' || (item_id % 3) AS tenant_id, text AS qtext FROM benchmark)"
 RETRIEVE = f"""{QUERY_ROWS}, cand AS (SELECT * FROM memory_nodes),
     t AS (SELECT node_id, {S.tokens('content')} AS tk FROM cand), qt AS (SELECT query_id, tenant_id, list_distinct({S.tokens('qtext')}) AS qk FROM q),
