@@ -41,6 +41,15 @@ DIGEST_LENGTHS = {32, 40, 48, 56, 64, 96, 128}
 HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 UUID = re.compile(r"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}")
 PIECES = re.compile(r"[A-Z]?[a-z]{3,}|[A-Z]{3,}|[0-9]+")
+# What shows that a run beside a dot or an at sign is part of an address or a file name.
+ENDS = "com|org|net|edu|gov|info|io|dev|app|co|ai|eu|de|fr|es|it|uk|us|nl|ch|at|pl|ru|jp|cn|br|au|ca|in"
+SUFFIXES = "html?|php|aspx?|jsp|js|ts|css|json|xml|ya?ml|csv|tsv|txt|md|pdf|docx?|xlsx?|pptx?|png|jpe?g|gif|svg|webp|ico|mp[34]|wav|avi|mov|zip|gz|tgz|bz2|xz|tar|jar|exe|dll|so|bin|py|rb|go|rs|java|c|h|cpp|sh|sql|log|parquet|pem|crt|key"
+URL = re.compile(r"(?:[a-z]://|(?<!\S)www\.)[^?#\s]*$", re.IGNORECASE)  # what follows is in the host or the path
+URL_END = re.compile(r"[?#\s]")
+MAIL = re.compile(r"@[A-Za-z0-9-]+\.[A-Za-z]")
+SUFFIX = re.compile(rf"\.(?:{ENDS}|{SUFFIXES})(?![A-Za-z0-9+/_=-])", re.IGNORECASE)
+HOST_END = re.compile(rf"(?:{ENDS})/")
+HOST = re.compile(r"[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}(?![A-Za-z0-9+_=])")
 
 
 def default_vocabulary() -> str:
@@ -69,23 +78,42 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def known_identifier(run: str, before: str, after: str) -> bool:
+def wordy(run: str) -> bool:
+    """Whether most letters and digits stand in words or numbers."""
+    return sum(map(len, PIECES.findall(run))) >= 0.7 * sum(map(str.isalnum, run))
+
+
+def address(run: str, text: str, start: int, in_url: bool) -> bool:
+    """Whether the run of ``text`` at ``start`` is part of a url, host, mail address or file name."""
+    end, before = start + len(run), text[max(0, start - 1) : start]
+    after = text[end : end + 2]
+    beside = before in ("@", ".") or after[:1] == "@" or after[:1] == "." and after[1:2].isalnum()
+    if not beside and not run.startswith("//") and run.count("/") <= 3:
+        return False
+    if run.startswith("//") or in_url or wordy(run):
+        return True
+    return beside and bool(MAIL.match(text, end) or SUFFIX.match(text, end) or before == "." and HOST_END.match(run) or before == "@" and HOST.match(text, start))
+
+
+def known_identifier(run: str, text: str, start: int, in_url: bool) -> bool:
     """Digests, UUIDs, numbers, parts of urls, mail addresses and file names, and names joined from words."""
     if HEX.fullmatch(run) and len(run) in DIGEST_LENGTHS or UUID.fullmatch(run) or 4 * sum(map(str.isdigit, run)) >= 3 * sum(map(str.isalnum, run)):
         return True
-    if before[-1:] in ("@", ".") or after[:1] == "@" or after[:1] == "." and after[1:2].isalnum() or run.startswith("//") or run.count("/") > 3:
+    if address(run, text, start, in_url):
         return True
     return sum(map(len, PIECES.findall(run))) >= 0.8 * len(run) and len(PIECES.findall(run)) <= len(run) // 5
 
 
 def random_spans(text: str, taken: list[tuple[str, int, int]], path: str, chars_per_token: float = CHARS_PER_TOKEN) -> list[tuple[str, int, int]]:
-    found = []
+    found, at, in_url = [], 0, False
     for m in CANDIDATE.finditer(text):
         run = m[0]
+        in_url = bool(URL.search(text, max(0, at - 2), m.start())) or in_url and not URL_END.search(text, at, m.start())
+        at = m.start()
         classes = [bool(re.search(c, run)) for c in ("[a-z]", "[A-Z]", "[0-9]", "[+/_=-]")]
         if sum(classes) < LEAST_CLASSES or not (classes[2] or classes[0] and classes[1]):
             continue
-        if any(a < m.end() and m.start() < b for _, a, b in taken) or known_identifier(run, text[max(0, m.start() - 1) : m.start()], text[m.end() : m.end() + 2]):
+        if any(a < m.end() and m.start() < b for _, a, b in taken) or known_identifier(run, text, m.start(), in_url):
             continue
         if len(run) < chars_per_token * len(vocabulary(path).encode_ordinary(run)):
             found.append(("random", m.start(), m.end()))

@@ -1,4 +1,7 @@
+import base64
 import hashlib
+import json
+import random
 import re
 
 import pytest
@@ -72,3 +75,19 @@ def test_random_strings_are_found_and_identifiers_left():
     for s in ("getUserAccountByEmailAddress", "some_long_identifier_name_2024", "b6bdf7b5-ed00-447b-9a63-bf0bcd18b214", "2024-01-01T10-00-00-000000", "====================", "thingththaninger-ofthereatha", "0123456789-0123456789", "https://example.com/aX9bQ27cD4eF6gH8iJ0kL", "aX9bQ27cD4eF6gH8iJ0kL@example.com"):
         assert found(f"see {s} please") == []
     assert found("token=f7RRrdhNOhCTw5yfAqXOKcHBVhAESSz0") == []
+
+
+def test_runs_beside_dots_and_long_base64_are_looked_at():
+    rng = random.Random(4)
+    path = secrets.default_vocabulary()
+    found = lambda t: [t[a:b] for _, a, b in secrets.random_spans(t, secrets.base_spans(t), path)]
+    some = lambda n: base64.b64encode(rng.randbytes(n)).decode().rstrip("=")
+    part = lambda o: base64.urlsafe_b64encode(json.dumps(o, separators=(",", ":")).encode()).decode().rstrip("=")
+    jwt = [part({"alg": "HS256", "typ": "JWT"}), part({"sub": "1234567890", "name": "John Doe", "iat": 1516239022}), base64.urlsafe_b64encode(rng.randbytes(32)).decode().rstrip("=")]
+    assert found(f"see {'.'.join(jwt)} here") == jwt
+    for _ in range(20):
+        long = some(300)
+        assert found(f"see {long} here") == [long] and (long.count("/") > 3 or len(long) == 400)
+        assert found(f"v1.{long}.x9") == [long]
+    for s in ("www.example.com/aX9bQ27cD4eF6gH8iJ0kL", "example.com/aX9bQ27cD4eF6gH8iJ0kL", "aX9bQ27cD4eF6gH8iJ0kL.tar.gz", "aX9bQ27cD4eF6gH8iJ0kL.png", "src/main/java/com/example/Widget2/Main", "a.long_module_name2.other_long_name3.x"):
+        assert found(f"see {s} please") == []
