@@ -2,7 +2,7 @@
 
 Its pre-tokenizer never lets a piece span white space, so a text's ids are the ids of its words one after the other, and
 a word's ids can be remembered. Words of lower-case Latin letters with at most one final stop or comma go straight to
-the BPE model; all others go through the whole tokenizer.
+the BPE model; all others go through the whole tokenizer, and so do whole texts that hold an added token's literal.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ class WordEncoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.known: dict[str, bytes] = {"": b""}
         as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
@@ -56,6 +56,8 @@ class WordEncoder:
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian integers of ``dtype``."""
         text = text or ""
+        if any(t in lower for lower in [text.lower()] for t in self.added):
+            return self._whole(text)
         try:
             text.encode("latin-1")
             text = text.lower()  # for these characters what the tokenizer does itself

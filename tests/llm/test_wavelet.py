@@ -62,3 +62,9 @@ def test_matrix(n, width):
     assert m.count(1 << width) == 0
     with pytest.raises(IndexError):
         m.locate((1 << width) - 1, m.count((1 << width) - 1))
+
+
+@pytest.mark.parametrize("text", ["a b<|endoftext|>c d", "<|startoftext|>", "x  <|endoftext|>  Y", "<|ENDOFTEXT|> é 😀", "plain words\n<|startoftext|> and\nmore"])
+def test_added_tokens_are_read_as_the_tokenizer_does(text):
+    want = Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(encoder(PATH).encode(text), dtype="<u2").tolist() == want
