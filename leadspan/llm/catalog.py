@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from leadspan.llm import chat, decontaminate, lines, manifest, mixing, repair, rules, secrets, simhash, toxicity, urls, wavelet
+from leadspan.llm import chat, decontaminate, grid_join, lines, manifest, mixing, repair, rules, secrets, simhash, toxicity, urls, wavelet
 from leadspan.llm.texts import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,6 +77,11 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair_damaged(documents(spark, sf_dir, "conversations"))
 
 
+@query
+def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid_join.near_duplicates(documents(spark, sf_dir, "embeddings"))
+
+
 @query
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.tampered_audit(documents(spark, sf_dir))
