@@ -201,18 +201,19 @@ def linked(distinct: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame
     ordinals(cut, [], ["size", "cells", "key"], "node").drop("cells").write.parquet(f"{folder}/placed")
     placed = distinct.sparkSession.read.parquet(f"{folder}/placed")
     _tiles(placed, width, axes, dtype).write.parquet(f"{folder}/tiles")
-    tiles = distinct.sparkSession.read.parquet(f"{folder}/tiles")
-    pairs = _tile_pairs(tiles.select("size", "tile", "lo", "hi"), directions, eps)
+    # the tiles play three parts in one plan, each read by itself
+    boxes, owned, met = (distinct.sparkSession.read.parquet(f"{folder}/tiles") for _ in range(3))
+    pairs = _tile_pairs(boxes.select("size", "tile", "lo", "hi"), directions, eps)
     # either tile of a pair may be the one that a task keeps: turns even out their numbers
     even = (F.col("a") + F.col("b")) % 2 == 0
-    tasks = pairs.select("size", F.when(even, F.col("a")).otherwise(F.col("b")).alias("own"), F.when(even, F.col("b")).otherwise(F.col("a")).alias("tile"))
+    tasks = pairs.select(F.col("size").alias("size"), F.when(even, F.col("a")).otherwise(F.col("b")).alias("own"), F.when(even, F.col("b")).otherwise(F.col("a")).alias("tile"))
     tasks = tasks.withColumn("segment", F.floor(F.col("tile") / SEGMENT_TILES))
     content = ["ids", "weights", "data"]
-    others = tasks.join(tiles.select("size", "tile", *content), ["size", "tile"])
-    owners = tasks.select("size", "own", "segment").distinct().join(tiles.select("size", F.col("tile").alias("own"), *content), ["size", "own"])
+    others = tasks.join(met.select("size", "tile", *content), ["size", "tile"])
+    owners = tasks.groupBy("size", "own", "segment").agg(F.first("own").alias("tile")).join(owned.select("size", "tile", *content), ["size", "tile"])
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        own = Tile(left.rename(columns={"own": "tile"}).iloc[0], axes, dtype)
+        own = Tile(left.iloc[0], axes, dtype)
         counts, links = [], []
         for row in right.itertuples(index=False):
             other = own if row.tile == own.at else Tile(row, axes, dtype)
@@ -230,8 +231,8 @@ def linked(distinct: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame
         a, b = links[0] if links else (none, none)
         return pd.DataFrame({"a": np.concatenate([nodes, a]), "b": pd.array([*[None] * len(nodes), *b], dtype="Int64"), "n": pd.array([*n, *[None] * len(b)], dtype="Int64")})
 
-    keys = ["size", "own", "segment"]
-    results = cut_lineage(owners.groupBy(*keys).cogroup(others.groupBy(*keys)).applyInPandas(compare, "a long, b long, n long"))
+    sides = [df.select(F.struct("size", "own", "segment").alias("task"), "tile", *content) for df in (owners, others)]
+    results = cut_lineage(sides[0].groupBy("task").cogroup(sides[1].groupBy("task")).applyInPandas(compare, "a long, b long, n long"))
     counted = results.filter("n IS NOT NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     return placed.select("node", "key"), counted, results.filter("b IS NOT NULL").select("a", "b").distinct()
 

@@ -276,7 +276,7 @@ def proofs(manifest: Manifest, part_leaves: int = PART_LEAVES) -> DataFrame:
 
 
 def audit(manifest: Manifest, part_leaves: int = PART_LEAVES) -> DataFrame:
-    """One row per leaf: _id, tree, leaf, proof_sha256 (hash of all siblings in order) and folded_root, which follows from the
+    """One row per leaf: _id, leaf, subroot, proof_sha256 (hash of all siblings in order) and folded_root, which follows from the
     leaf's claim (where it has one, else the leaf) and the siblings."""
     n_sources = manifest.n_sources
 
@@ -292,10 +292,10 @@ def audit(manifest: Manifest, part_leaves: int = PART_LEAVES) -> DataFrame:
                 rest[key] = "".join(map("".join, siblings[1:]))
             proof = hashed([*(siblings[0] if siblings else ()), rest[key]])
             digest = row.digests[i] if row.claims[i] is None else row.claims[i]
-            rows.append((row.tree, row.ids[i], row.digests[i], proof, trees.fold(row.tree, row.leaves, 0, at, digest)))
-        return pd.DataFrame(rows, columns=["tree", "_id", "leaf", "proof_sha256", "folded_root"])
+            rows.append((row.ids[i], row.digests[i], trees.nodes[TOP, 0, row.tree], proof, trees.fold(row.tree, row.leaves, 0, at, digest)))
+        return pd.DataFrame(rows, columns=["_id", "leaf", "subroot", "proof_sha256", "folded_root"])
 
-    return _partitions(manifest, part_leaves).applyInPandas(check, "tree long, _id long, leaf string, proof_sha256 string, folded_root string")
+    return _partitions(manifest, part_leaves).applyInPandas(check, "_id long, leaf string, subroot string, proof_sha256 string, folded_root string")
 
 
 def tampered_audit(docs: DataFrame, part_leaves: int = PART_LEAVES) -> DataFrame:
@@ -306,5 +306,5 @@ def tampered_audit(docs: DataFrame, part_leaves: int = PART_LEAVES) -> DataFrame
     leaves = docs.select(known_id("doc_id").alias("_id"), "source", leaf_digest(given).alias("leaf"), F.when(forged, changed).alias("claim"))
     manifest = build(leaves, part_leaves)
     root = F.lit(manifest.root).cast("string")
-    found = audit(manifest, part_leaves).join(manifest.sources.select("tree", "source", "subroot"), "tree")
-    return found.select(given_id("_id").alias("doc_id"), "leaf", "subroot", root.alias("root"), "proof_sha256", "folded_root", (F.col("folded_root") == root).alias("verified"), "source")
+    found = audit(manifest, part_leaves)
+    return found.select(given_id("_id").alias("doc_id"), "leaf", "subroot", root.alias("root"), "proof_sha256", "folded_root", (F.col("folded_root") == root).alias("verified"))
