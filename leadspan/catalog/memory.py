@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from leadspan.catalog import snippets as S
 from leadspan.catalog.registry import now, query
+from leadspan.operators import entities as E
 from leadspan.operators import graph as G
 from leadspan.operators import memory as M
 from leadspan.operators import vectors as VX
@@ -220,3 +221,24 @@ def _(v):
     k = F.col("p_partkey")
     entries = v.part.select(F.concat(F.lit("t"), k % 3).alias("tenant_id"), F.concat(F.lit("entry"), k).alias("name"), F.array(k % 700, k * 3 % 700, F.lit(900000).cast("bigint")).alias("node_ids"))
     return M.replace_index(entries, M.newest_nodes(nodes(v))).select("tenant_id", "name", F.size("node_ids").cast("bigint").alias("ids"))
+
+
+ENTITIES = """WITH RECURSIVE inc AS (SELECT *, row_number() OVER (PARTITION BY tenant_id, type ORDER BY seq) AS step, list_filter(coalesce(aliases, []), lambda a: a <> name) AS al FROM mentions),
+    g AS (SELECT tenant_id, type FROM entities UNION SELECT tenant_id, type FROM mentions),
+    first AS (SELECT g.tenant_id, g.type, list({'id': entity_id, 'name': name, 'al': list_filter(coalesce(aliases, []), lambda a: a <> name), 'p': properties} ORDER BY entity_id) FILTER (entity_id IS NOT NULL) AS es FROM g LEFT JOIN entities e ON e.tenant_id = g.tenant_id AND e.type = g.type GROUP BY 1, 2),
+    r AS (SELECT tenant_id, type, CAST(0 AS BIGINT) AS step, coalesce(es, []) AS es, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS BIGINT) AS into_id, false AS inserted FROM first
+      UNION ALL SELECT tenant_id, type, step + 1, CASE WHEN hit > 0 THEN list_transform(es, lambda e, k: CASE WHEN k = hit THEN {'id': e.id, 'name': e.name, 'al': list_distinct(list_concat(e.al, list_filter(list_append(al, name), lambda a: a <> e.name))), 'p': e.p} ELSE e END)
+          ELSE list_append(es, {'id': entity_id, 'name': name, 'al': al, 'p': properties}) END, seq, CASE WHEN hit > 0 THEN es[hit].id ELSE entity_id END, hit = 0
+        FROM (SELECT r.tenant_id, r.type, r.step, r.es, i.seq, i.name, i.al, i.entity_id, i.properties, coalesce(list_position(list_transform(r.es, lambda e: e.name = i.name OR list_contains(e.al, i.name) OR list_has_any(e.al, i.al)), true), 0) AS hit
+              FROM r JOIN inc i ON i.tenant_id = r.tenant_id AND i.type = r.type AND i.step = r.step + 1))"""
+
+
+@query("upsert_entities", f"""{ENTITIES}, last AS (SELECT tenant_id, type, unnest(es) AS e FROM r QUALIFY step = max(step) OVER (PARTITION BY tenant_id, type))
+    SELECT e.id AS entity_id, tenant_id, type, e.name AS name, array_to_string(list_sort(list_distinct(e.al)), '|') AS aliases, e.p AS properties FROM last""", ("entities", "mentions"))
+def _(v):
+    return E.upsert_entities(v.entities, v.mentions)[0].withColumn("aliases", F.array_join("aliases", "|"))
+
+
+@query("resolve_mentions", f"{ENTITIES} SELECT seq, tenant_id, type, into_id AS entity_id, inserted FROM r WHERE step > 0", ("entities", "mentions"))
+def _(v):
+    return E.upsert_entities(v.entities, v.mentions)[1]

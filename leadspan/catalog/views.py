@@ -310,6 +310,17 @@ def view_defs(d: Dialect) -> dict[str, tuple[tuple[str, ...], str]]:
           n_chars
         FROM documents""")
 
+    v["entities"] = (("supplier",), f"""
+        SELECT s_suppkey AS entity_id, concat('t', s_nationkey % 3) AS tenant_id, {d.pick(['Company', 'Person', 'Segment'], 's_suppkey % 3')} AS type,
+          concat('name ', s_suppkey % 701) AS name,
+          CASE WHEN s_suppkey % 6 <> 0 THEN {d.array("concat('alias ', s_suppkey % 353)", "concat('short ', s_suppkey * 7 % 997)")} END AS aliases, concat('stored ', s_suppkey) AS properties
+        FROM supplier""")
+    v["mentions"] = (("customer",), f"""
+        SELECT c_custkey AS seq, 10000000 + c_custkey AS entity_id, concat('t', c_nationkey % 3) AS tenant_id, {d.pick(['Company', 'Person', 'Segment'], 'c_custkey % 3')} AS type,
+          CASE WHEN c_custkey % 4 = 0 THEN concat('short ', c_custkey % 2003) WHEN c_custkey % 4 = 1 THEN concat('alias ', c_custkey % 1409) ELSE concat('name ', c_custkey % 1201) END AS name,
+          CASE WHEN c_custkey % 5 = 0 THEN NULL WHEN c_custkey % 5 = 1 THEN {d.array("concat('alias ', c_custkey * 13 % 1409)", "concat('short ', c_custkey * 11 % 2003)", "concat('alias ', (c_custkey * 13 + 3) % 1409)")}
+               ELSE {d.array("concat('short ', c_custkey * 17 % 2003)")} END AS aliases, concat('mention ', c_custkey) AS properties
+        FROM customer""")
     v["memory_embeddings"] = (("embeddings",), f"""
         SELECT vec_id AS node_id, embedding AS vector, label FROM embeddings
         UNION ALL
