@@ -5,6 +5,9 @@ above. Put the pieces of every text in one global order, rarest first. Two texts
 then share, among the first |A| - o + k pieces of A and the like for B, the k rarest pieces they have in common.
 Joining on groups of k pieces drawn from those prefixes therefore loses no pair. Common pieces (a company a
 third of all rows work for) sort last and hardly ever enter a prefix, so hot values do not become hot join keys.
+
+Pairs that meet are told apart before any set is compared: by the place of the key in both orders (what comes after it bounds
+the overlap) and by bit maps of the sets, which differ in at most |A| + |B| - 2 |A n B| places.
 """
 
 from __future__ import annotations
@@ -15,26 +18,42 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leadspan.operators.ranking import computed
+
 # Stands for a text too short to have a piece; such texts match each other with 1.
 NO_PIECES = -1
 # Second half of a join key made of one piece only.
 ALONE = -2
 CODE_SPACE = 1 << 21
+WORDS = ("s0", "s1", "s2", "s3")  # of a text's bit map
 
 
-def _pieces(texts: DataFrame) -> DataFrame:
+def _codes(text: Column) -> Column:
     """Distinct two-letter pieces, each as one exact number (two code points)."""
-    letter = lambda i: F.ascii(F.col("text").substr(i, F.lit(1))).cast("bigint")
-    codes = F.transform(F.sequence(F.lit(1), F.length("text") - 1), lambda i: letter(i) * CODE_SPACE + letter(i + 1))
-    none = F.array(F.lit(NO_PIECES).cast("bigint"))
-    return texts.withColumn("pieces", F.when(F.length("text") >= 2, F.array_distinct(codes)).otherwise(none))
+    letter = lambda i: F.ascii(text.substr(i, F.lit(1))).cast("bigint")
+    codes = F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: letter(i) * CODE_SPACE + letter(i + 1))
+    return F.when(F.length(text) >= 2, F.array_distinct(codes)).otherwise(F.array(F.lit(NO_PIECES).cast("bigint")))
+
+
+def _pieces(texts: DataFrame) -> DataFrame:
+    return texts.withColumn("pieces", _codes(F.col("text")))
 
 
 def _rarest_first(texts: DataFrame, frequency: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``pieces`` sorted by (frequency, piece) for each distinct text."""
+    """Each distinct text with its ``pieces`` sorted by (frequency, piece), their number and bit map."""
     long = texts.select(*keys, "text", F.explode("pieces").alias("piece"))
     ranked = long.join(frequency, "piece").groupBy(*keys, "text").agg(F.array_sort(F.collect_list(F.struct("n", "piece"))).alias("s"))
-    return ranked.select(*keys, "text", F.col("s.piece").alias("pieces"))
+    pieces = ranked.select(*keys, "text", F.col("s.piece").alias("pieces"))
+    return pieces.select("*", F.size("pieces").alias("n"), *_bit_map(F.col("pieces")))
+
+
+def _bit_map(pieces: Column) -> list[Column]:
+    """Four words with one bit per piece, by hash; pieces may share a bit."""
+    place = lambda p: F.pmod(F.xxhash64(p), F.lit(64 * len(WORDS)))
+    one = lambda p: F.call_function("shiftleft", F.lit(1).cast("bigint"), place(p).bitwiseAND(63).cast("int"))
+    none = F.lit(0).cast("bigint")
+    here = lambda word: lambda bits, p: bits.bitwiseOR(F.when(F.shiftright(place(p), 6) == word, one(p)).otherwise(none))
+    return [F.aggregate(pieces, none, here(word)).alias(name) for word, name in enumerate(WORDS)]
 
 
 def _small(threshold: float) -> int:
@@ -43,20 +62,22 @@ def _small(threshold: float) -> int:
 
 
 def _signatures(side: DataFrame, threshold: float, keys: Sequence[str]) -> DataFrame:
-    """One row per join key of a text: pairs of prefix pieces, and single pieces where small sets are involved."""
-    n = F.size("pieces")
+    """One row per join key of a text: pairs of prefix pieces, and single pieces where small sets are involved; ``rest`` pieces
+    come after those of the key."""
+    n = F.col("n")
     need = F.ceil(n * F.lit(threshold / (2 - threshold)) - F.lit(1e-9)).cast("int")
     reach = math.floor(_small(threshold) * (2 - threshold) / threshold + 1e-9)
-    single = F.transform(F.slice("pieces", F.lit(1), n - need + 1), lambda a: F.struct(a.alias("k1"), F.lit(ALONE).cast("bigint").alias("k2")))
+    alone = F.lit(ALONE).cast("bigint").alias("k2")
+    single = F.transform(F.slice("pieces", F.lit(1), n - need + 1), lambda a, i: F.struct(a.alias("k1"), alone, (n - i - 1).alias("rest")))
     double = F.slice("pieces", F.lit(1), F.least(n, n - need + 2))
     pairs = F.flatten(
         F.transform(
-            double, lambda a, i: F.transform(F.slice(double, i + 2, F.size(double)), lambda b: F.struct(a.alias("k1"), b.alias("k2")))
+            double, lambda a, i: F.transform(F.slice(double, i + 2, F.size(double)), lambda b, j: F.struct(a.alias("k1"), b.alias("k2"), (n - i - j - 2).alias("rest")))
         )
     )
-    none = F.array().cast("array<struct<k1:bigint,k2:bigint>>")
+    none = F.array().cast("array<struct<k1:bigint,k2:bigint,rest:int>>")
     keyed = F.concat(F.when(n <= reach, single).otherwise(none), F.when(n >= _small(threshold), pairs).otherwise(none))
-    return side.select(*keys, "text", "pieces", F.inline(keyed))
+    return side.select(*keys, "text", "n", *WORDS, F.inline(keyed))
 
 
 def dice_join(left: DataFrame, right: DataFrame, threshold: float, keys: Sequence[str] = ()) -> DataFrame:
@@ -64,25 +85,34 @@ def dice_join(left: DataFrame, right: DataFrame, threshold: float, keys: Sequenc
 
     Inputs need the columns ``keys`` and ``text`` (trimmed, lower-case, non-empty); duplicates are removed first,
     so repeated texts cost nothing. Returns keys, ``left_text``, ``right_text``, ``score``.
+
+    Rows of the join are a text, a size, a position and a bit map. A pair goes on only if the pieces of the key and those after
+    it are enough for the overlap its sizes need, and if the bit maps differ in no more places than the sets may.
     """
     lt = _pieces(left.select(*keys, "text").distinct())
     rt = _pieces(right.select(*keys, "text").distinct())
     frequency = lt.select("pieces").union(rt.select("pieces")).select(F.explode("pieces").alias("piece")).groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
-    a = _signatures(_rarest_first(lt, frequency, keys), threshold, keys)
-    b = _signatures(_rarest_first(rt, frequency, keys), threshold, keys)
-    # the rows are few but each is costly to verify: fix the number of tasks, so they are not merged by their bytes
-    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    a = a.select(*keys, "k1", "k2", F.col("text").alias("left_text"), F.col("pieces").alias("_a")).repartition(tasks, *keys, "k1", "k2")
-    b = b.select(*keys, "k1", "k2", F.col("text").alias("right_text"), F.col("pieces").alias("_b"))
-    na, nb = F.size("_a"), F.size("_b")
-    bound = F.lit(threshold / (2 - threshold) - 1e-9)
-    joined = a.join(b, [*keys, "k1", "k2"]).filter((nb >= na * bound) & (na >= nb * bound))
-    # _a keeps the global order, so a pair is kept only under the key made of its rarest shared pieces
-    both_large = F.least(na, nb) >= _small(threshold)
-    rarest = (F.get("_s", F.lit(0)) == F.col("k1")) & F.when(both_large, F.get("_s", F.lit(1)) == F.col("k2")).otherwise(F.col("k2") == ALONE)
-    once = joined.withColumn("_s", F.array_intersect("_a", "_b")).filter(rarest)
-    score = 2.0 * F.size("_s") / (na + nb)
-    return once.select(*keys, "left_text", "right_text", score.alias("score")).filter(F.col("score") >= F.lit(threshold))
+    pairs = candidate_pairs(_rarest_first(lt, frequency, keys), _rarest_first(rt, frequency, keys), threshold, keys)
+    a, b = _codes(F.col("left_text")), _codes(F.col("right_text"))
+    score = 2.0 * F.size(F.array_intersect(a, b)) / (F.size(a) + F.size(b))
+    return computed(pairs, score=score).filter(F.col("score") >= F.lit(threshold))
+
+
+def candidate_pairs(a: DataFrame, b: DataFrame, threshold: float, keys: Sequence[str]) -> DataFrame:
+    """(keys, left_text, right_text), once each: pairs that share a key and pass the bounds; all similar pairs are among them."""
+    # the rows are few but many pairs may meet: fix the number of tasks, so they are not merged by their bytes
+    tasks = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sides = []
+    for side, df in (("l", a), ("r", b)):
+        named = [F.col(c).alias(f"{side}_{c}") for c in ("text", "n", "rest", *WORDS)]
+        sides.append(_signatures(df, threshold, keys).select(*keys, "k1", "k2", *named).repartition(tasks, *keys, "k1", "k2"))
+    joined = sides[0].join(sides[1], [*keys, "k1", "k2"])
+    both = F.col("l_n") + F.col("r_n")
+    in_key = F.when(F.col("k2") == ALONE, 1).otherwise(2)
+    enough = 2 * (in_key + F.least("l_rest", "r_rest")) >= both * threshold - 1e-9
+    differ = sum((F.bit_count(F.col(f"l_{w}").bitwiseXOR(F.col(f"r_{w}"))) for w in WORDS[1:]), F.bit_count(F.col(f"l_{WORDS[0]}").bitwiseXOR(F.col(f"r_{WORDS[0]}"))))
+    near = differ <= both * (1 - threshold) + 1e-9
+    return joined.filter(enough & near).select(*keys, F.col("l_text").alias("left_text"), F.col("r_text").alias("right_text")).distinct()
 
 
 def as_text(c: Column) -> Column:
