@@ -48,14 +48,15 @@ class WaveletMatrix:
     def build(ids: np.ndarray, width: int) -> WaveletMatrix:
         ids, n, zeros, planes, ranks = ids.copy(), len(ids), [], [], []
         for shift in range(width - 1, -1, -1):
-            ones = (ids >> shift & 1).astype(bool)
+            ones = (ids & ids.dtype.type(1 << shift)).astype(bool)
             packed = np.packbits(ones, bitorder="little")
             per_block = np.add.reduceat(np.bitwise_count(packed), np.arange(0, len(packed), BLOCK // 8), dtype="<u4") if n else np.zeros(0, "<u4")
             planes.append(packed.tobytes())
             ranks.append((np.cumsum(per_block, dtype="<u4") - per_block).astype("<u4").tobytes())
-            low, high = ids[~ones], ids[ones]
+            # one stable partition
+            low = ids.take(np.flatnonzero(~ones))
             zeros.append(len(low))
-            ids = np.concatenate([low, high])
+            ids = np.concatenate([low, ids.take(np.flatnonzero(ones))])
         return WaveletMatrix(n, width, zeros, planes, ranks)
 
     def _bit(self, level: int, i: int) -> int:
@@ -119,8 +120,8 @@ class WaveletMatrix:
         for level in range(self.width - 1, -1, -1):
             ones = np.unpackbits(self.planes[level], count=self.n, bitorder="little").astype(bool)
             above = np.empty(self.n, dtype=kind)
-            above[~ones] = ids[: self.zeros[level]]
-            above[ones] = ids[self.zeros[level] :] | kind.type(1 << (self.width - 1 - level))
+            above[np.flatnonzero(~ones)] = ids[: self.zeros[level]]
+            above[np.flatnonzero(ones)] = ids[self.zeros[level] :] | kind.type(1 << (self.width - 1 - level))
             ids = above
         return ids
 
