@@ -177,12 +177,28 @@ def _queries(v):
     return v.benchmark.select(F.col("item_id").alias("query_id"), F.concat(F.lit("t"), F.col("item_id") % 3).alias("tenant_id"), "text")
 
 
-# dense, keyword and graph ranks together: checked on a fixture in the tests
-@query("retrieve_hybrid")
+HYBRID = f"""WITH RECURSIVE q AS (SELECT item_id AS query_id, 't' || (item_id % 3) AS tenant_id, text AS qtext, CAST(embedding AS DOUBLE[]) AS qv FROM benchmark JOIN embeddings ON vec_id = item_id),
+    anchors AS (SELECT item_id AS query_id, 'entity' AS type, CAST(item_id % 10 AS BIGINT) AS id FROM benchmark), hops AS (SELECT from_type AS ft, from_id AS fi, to_type AS tt, to_id AS ti FROM memory_edges UNION ALL SELECT to_type, to_id, from_type, from_id FROM memory_edges),
+    w AS (SELECT query_id, type, id, 0 AS d FROM anchors UNION SELECT w.query_id, h.tt, h.ti, w.d + 1 FROM w JOIN hops h ON h.ft = w.type AND h.fi = w.id WHERE w.d < 2),
+    near AS (SELECT DISTINCT w.query_id, w.id AS node_id FROM w JOIN q ON q.query_id = w.query_id JOIN memory_nodes n ON n.node_id = w.id AND n.tenant_id = q.tenant_id WHERE w.type = 'node'),
+    chosen AS (SELECT * FROM near UNION ALL SELECT q.query_id, n.node_id FROM q JOIN memory_nodes n ON n.tenant_id = q.tenant_id WHERE q.query_id NOT IN (SELECT query_id FROM near)),
+    t AS (SELECT node_id, {S.tokens('content')} AS tk FROM memory_nodes), qt AS (SELECT query_id, qv, list_distinct({S.tokens('qtext')}) AS qk FROM q),
+    s AS (SELECT c.query_id, n.*, CASE WHEN len(t.tk) = 0 OR len(qk) = 0 THEN 0.0 ELSE len(list_distinct(list_intersect(qk, t.tk))) / greatest(1, log2(len(t.tk) + 2)) END AS kw, CASE WHEN e.vector IS NOT NULL THEN list_cosine_similarity(qt.qv, CAST(e.vector AS DOUBLE[])) END AS sim
+      FROM chosen c JOIN qt ON qt.query_id = c.query_id JOIN memory_nodes n ON n.node_id = c.node_id JOIN t ON t.node_id = c.node_id LEFT JOIN memory_embeddings e ON e.node_id = c.node_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY kw DESC, created_at DESC, node_id) AS kr, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC NULLS LAST, created_at DESC, node_id) AS dr FROM s),
+    sc AS (SELECT *, CASE WHEN sim IS NOT NULL THEN 1.0::DOUBLE / (60 + dr) ELSE 0 END + CASE WHEN kw > 0 THEN 1.0::DOUBLE / (60 + kr) ELSE 0 END + CASE confidence WHEN 'proven' THEN 0.4 WHEN 'validated' THEN 0.2 ELSE 0.0 END
+      + CASE WHEN last_accessed_at IS NULL THEN 0.0 ELSE -0.2 * (1 - exp(-((epoch_us({S.NOW}) - epoch_us(last_accessed_at)) / 8.64e10) / 90)) END + CASE WHEN access_count <= 0 THEN 0.0 ELSE least(0.15, log2(access_count + 1) * 0.03) END AS score FROM r WHERE kw > 0 OR sim IS NOT NULL),
+    tp AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, created_at DESC, node_id) AS position, CAST(ceil(len(content) * 0.28::DOUBLE) AS BIGINT) AS need FROM sc),
+    b AS (SELECT *, sum(need) OVER (PARTITION BY query_id ORDER BY position) AS used FROM tp WHERE position <= 12)
+    SELECT query_id, node_id, position, CASE WHEN kw > 0 THEN kr END AS keyword_rank, CASE WHEN sim IS NOT NULL THEN dr END AS dense_rank, round(score, 5) AS score FROM b WHERE position = 1 OR used <= 4000"""
+
+
+@query("retrieve_hybrid", HYBRID, ("memory_nodes", "memory_embeddings", "memory_edges"))
 def _(v):
     q = _queries(v).join(v.embeddings.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), "query_id")
     anchors = v.benchmark.select(F.col("item_id").alias("query_id"), F.lit("entity").alias("type"), (F.col("item_id") % 10).alias("id"))
-    return M.retrieve(q, nodes(v), now(), v.memory_embeddings, v.memory_edges, anchors)
+    out = M.retrieve(q, nodes(v), now(), v.memory_embeddings, v.memory_edges, anchors)
+    return out.select("query_id", "node_id", "position", "keyword_rank", "dense_rank", F.round("score", 5).alias("score"))
 
 
 @query("touch_nodes", f"WITH {RETRIEVE}, hit AS (SELECT DISTINCT node_id FROM b WHERE position = 1 OR used <= 4000) SELECT node_id, access_count + CASE WHEN node_id IN (SELECT node_id FROM hit) THEN 1 ELSE 0 END AS access_count FROM memory_nodes", ("memory_nodes",))

@@ -28,51 +28,64 @@ def confidence_rank() -> Column:
     return F.when(F.col("confidence") == "proven", 3).when(F.col("confidence") == "validated", 2).otherwise(1)
 
 
-QUERY_BLOCK = 1024  # query vectors that travel to all tasks at a time
+QUERY_TILE_VALUES = 2**18  # components of a tile of queries: 4,096 vectors of 64
+NODE_TILE_VALUES = 2**21
+CHUNK_NODES = 1024  # vectors compared with a tile of queries at a time
 
 
-def dense_rank(queries: DataFrame, embeddings: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+def _tiles(vectors: DataFrame, values: int) -> dict[int, int]:
+    """Number of tiles for each length of vectors (one row a length), so that a tile holds about ``values`` components."""
+    counts = vectors.groupBy(F.size("vector").alias("size")).agg(F.count(F.lit(1)).alias("n")).filter("size > 0")
+    return {r["size"]: -(-r["n"] * r["size"] // values) for r in counts.collect()}
+
+
+def dense_rank(queries: DataFrame, embeddings: DataFrame, k: int, query_values: int = QUERY_TILE_VALUES, node_values: int = NODE_TILE_VALUES) -> DataFrame:
     """Top ``k`` nodes per query by cosine (12 decimals, ties to the smaller node). Vectors of another length are skipped.
 
-    Queries are taken in blocks of bounded size against all vectors; of each batch of vectors only the best k per query
-    leave the task.
+    Queries and vectors fall into tiles of bounded size; every tile of queries meets every tile of vectors in a task of its own,
+    which keeps the best k of each query. Nothing passes through the driver.
     """
     kinds = dict(queries.dtypes)["query_id"], dict(embeddings.dtypes)["node_id"]
-    numbered = ordinals(queries.select("query_id", "vector"), [], ["query_id"], "_at")
-    out = None
-    for first in range(0, max(1, numbered.count()), block):
-        rows = numbered.filter(F.col("_at").between(first, first + block - 1)).select("query_id", "vector").collect()
-        shared = queries.sparkSession.sparkContext.broadcast([(r["query_id"], np.asarray(r["vector"], dtype=float)) for r in rows])
-        best = embeddings.select("node_id", "vector").mapInPandas(_best_of(shared, k), f"query_id {kinds[0]}, node_id {kinds[1]}, similarity double")
-        out = best if out is None else out.union(best)
-    return top_k(out, ["query_id"], [F.col("similarity").desc(), F.col("node_id")], k, "dense_rank")
-
-
-def _best_of(shared, k: int):
-    """Per batch of vectors and query the k most similar, and those that tie with the last of them."""
-
-    def unit(m: np.ndarray) -> np.ndarray:
-        length = np.linalg.norm(m, axis=1, keepdims=True)
-        return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
-
-    def best(batches):
-        asked: dict[int, tuple[list, list]] = {}
-        for key, vector in shared.value:
-            asked.setdefault(len(vector), ([], []))[0].append(key)
-            asked[len(vector)][1].append(vector)
-        wanted = {n: (keys, unit(np.array(rows))) for n, (keys, rows) in asked.items() if n}
-        for batch in batches:
-            sizes, found = batch["vector"].map(len).to_numpy(), []
-            for n, (keys, q) in wanted.items():
-                nodes = batch["node_id"].to_numpy()[sizes == n]
-                if not len(nodes):
-                    continue
-                scores = np.round(q @ unit(np.array(batch["vector"][sizes == n].tolist(), dtype=float)).T, 12)
-                least = np.partition(scores, -min(k, len(nodes)), axis=1)[:, -min(k, len(nodes))]
-                row, col = np.nonzero(scores >= least[:, None])
-                found.append(pd.DataFrame({"query_id": [keys[i] for i in row], "node_id": nodes[col], "similarity": scores[row, col]}))
-            if found:
-                yield pd.concat(found)
+    ask_tiles, node_tiles = _tiles(queries, query_values), _tiles(embeddings, node_values)
+    of = lambda tiles: F.try_element_at(F.create_map(*[F.lit(x).cast("bigint") for both in ({0: 0} | tiles).items() for x in both]), F.size("vector").cast("bigint"))
+    here = lambda key, tiles: F.pmod(F.xxhash64(key), of(tiles))
+    every = lambda tiles: F.explode(F.sequence(F.lit(0).cast("bigint"), of(tiles) - 1))
+    met = of(ask_tiles).isNotNull() & of(node_tiles).isNotNull() & (F.size("vector") > 0)
+    asks = queries.filter(met).select("query_id", "vector", F.size("vector").alias("size"), here("query_id", ask_tiles).alias("q"), every(node_tiles).alias("v"))
+    nodes = embeddings.filter(met).select("node_id", "vector", F.size("vector").alias("size"), here("node_id", node_tiles).alias("v"), every(ask_tiles).alias("q"))
+    sides = [df.select(F.struct("size", "q", "v").alias("_tile"), key, "vector") for df, key in ((asks, "query_id"), (nodes, "node_id"))]
+    best = sides[0].groupBy("_tile").cogroup(sides[1].groupBy("_tile")).applyInPandas(_best_of(k), f"query_id {kinds[0]}, node_id {kinds[1]}, similarity double")
+    return top_k(best, ["query_id"], [F.col("similarity").desc(), F.col("node_id")], k, "dense_rank")
+
+
+def _unit(vectors: pd.Series) -> np.ndarray:
+    m = np.array(vectors.tolist(), dtype=float)
+    length = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
+
+
+def _best_of(k: int):
+    """The k most similar nodes of a tile to each query of another, by similarity and then by node."""
+
+    def best(asks: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"query_id": asks["query_id"][:0], "node_id": nodes["node_id"][:0], "similarity": pd.Series(dtype=float)})
+        if not len(asks) or not len(nodes):
+            return none
+        # in order of node, so that of equal similarities the first ones stay
+        nodes = nodes.sort_values("node_id", kind="stable")
+        q, n, ids = _unit(asks["vector"]), _unit(nodes["vector"]), nodes["node_id"].to_numpy()
+        held = np.full((len(q), k), -np.inf)
+        at = np.zeros((len(q), k), dtype=np.int64)
+        for first in range(0, len(n), CHUNK_NODES):
+            scores = np.round(q @ n[first : first + CHUNK_NODES].T, 12)
+            rows = np.flatnonzero((scores > held[:, -1:]).any(axis=1))
+            if len(rows):
+                both = np.concatenate([held[rows], scores[rows]], axis=1)
+                places = np.concatenate([at[rows], np.broadcast_to(np.arange(first, first + scores.shape[1]), (len(rows), scores.shape[1]))], axis=1)
+                order = np.argsort(-both, axis=1, kind="stable")[:, :k]
+                held[rows], at[rows] = np.take_along_axis(both, order, axis=1), np.take_along_axis(places, order, axis=1)
+        some = held > -np.inf
+        return pd.DataFrame({"query_id": np.repeat(asks["query_id"].to_numpy(), some.sum(axis=1)), "node_id": ids[at[some]], "similarity": held[some]})
 
     return best
 

@@ -200,8 +200,8 @@ def test_dense_rank_in_blocks_equals_all_pairs(spark):
     e = spark.createDataFrame(nodes, "node_id long, vector array<double>").repartition(4)
     qs = spark.createDataFrame(asked, "query_id long, vector array<double>")
     want.sort()
-    for block in (3, 1024):
-        assert sorted((r.query_id, r.node_id, r["dense_rank"]) for r in dense_rank(qs, e, 5, block).collect()) == want
+    for tiles in ((12, 40), (2**18, 2**21)):
+        assert sorted((r.query_id, r.node_id, r["dense_rank"]) for r in dense_rank(qs, e, 5, *tiles).collect()) == want
 
 
 def test_few_pairs_are_compared(spark):
