@@ -1,7 +1,7 @@
 """Exact grouping of vectors by cosine similarity without comparing every pair.
 
 Unit vectors with cosine >= t lie within r = sqrt(2 - 2t) of each other. Every vector joins the block of its nearest
-pivot (a bounded sample of the vectors); a vector of another block is compared there only if the triangle inequality
+pivot (of n vectors about the square root of n are pivots, so blocks and pivots grow alike); a vector of another block is compared there only if the triangle inequality
 allows a partner inside the block's radius. Vectors within r/2 of their pivot are all within r of each other, so they
 form one group through the pivot and are never compared among themselves - near-copies of one vector, however many,
 cost one edge each. What is left is cut into tiles of bounded size. Nothing is missed and nothing is sampled away.
@@ -17,8 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadspan.operators.graph import connected_components
+from leadspan.session import cut_lineage
 
 SLACK = 1e-6
+LEAST_PIVOTS = 8
+MIX = 2654435761  # spreads ids over the chunks of a block
 
 
 def _unit(vectors: pd.Series) -> np.ndarray:
@@ -30,19 +33,22 @@ def _distances(points: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2 - 2 * points @ pivots.T, 0))
 
 
-def similar_links(vectors: DataFrame, threshold: float = 0.85, max_pivots: int = 1024, tile: int = 2000) -> DataFrame:
+def _chunk(node: np.ndarray, chunks: np.ndarray) -> np.ndarray:
+    return node * MIX % np.maximum(chunks, 1)
+
+
+def similar_links(vectors: DataFrame, threshold: float = 0.85, tile: int = 2000) -> DataFrame:
     """Links (a, b) whose connected components are those of all pairs with cosine >= threshold.
 
     ``vectors``: node_id, vector (one length). Equal vectors are linked to the first of them and compared once;
-    zero vectors match nothing.
+    zero vectors match nothing. To the driver come the pivots and a size for each block, the square root of the rows.
     """
     nonzero = vectors.filter(F.exists("vector", lambda x: x != 0))
     keyed = nonzero.withColumn("_h", F.xxhash64("vector"))
     first = keyed.groupBy("_h", "vector").agg(F.min("node_id").alias("a"))
     same = keyed.join(first, ["_h", "vector"]).filter("node_id <> a").select("a", F.col("node_id").alias("b"))
-    points = first.select(F.col("a").alias("node_id"), "vector")
-    # bounded: at most max_pivots vectors come to the driver
-    wanted = min(max_pivots, max(8, math.isqrt(points.count())))
+    points = cut_lineage(first.select(F.col("a").alias("node_id"), "vector"))
+    wanted = max(LEAST_PIVOTS, math.isqrt(points.count()))
     chosen = points.orderBy(F.xxhash64("node_id"), "node_id").limit(wanted).collect()
     if not chosen:
         return same
@@ -59,9 +65,8 @@ def similar_links(vectors: DataFrame, threshold: float = 0.85, max_pivots: int =
                 core = near <= reach / 2 - SLACK
                 yield pd.DataFrame({"node_id": pdf["node_id"], "vector": pdf["vector"], "block": block, "distance": near, "core": core, "pivot_id": pivot_ids[block]})
 
-    placed = points.mapInPandas(place, "node_id long, vector array<float>, block int, distance double, core boolean, pivot_id long")
+    placed = cut_lineage(points.mapInPandas(place, "node_id long, vector array<float>, block int, distance double, core boolean, pivot_id long"))
     stars = placed.filter("core AND node_id <> pivot_id").select(F.col("pivot_id").alias("a"), F.col("node_id").alias("b"))
-    # one row per block
     sizes = placed.groupBy("block").agg(F.max("distance").alias("radius"), F.count(F.when(F.col("core"), 1)).alias("cores")).collect()
     radius = np.full(len(pivots), -np.inf)
     cores = np.zeros(len(pivots), dtype=int)
@@ -83,31 +88,39 @@ def similar_links(vectors: DataFrame, threshold: float = 0.85, max_pivots: int =
                     "block": np.concatenate([blocks, home[own]]).astype(np.int32), "own": np.concatenate([np.zeros(len(rows), bool), np.ones(len(own), bool)]),
                 })
 
-    outer = placed.mapInPandas(visits, "node_id long, vector array<float>, block int, own boolean")
-    outer_sizes = {r["block"]: r["n"] for r in outer.groupBy("block").agg(F.count(F.lit(1)).alias("n")).collect()}
-    outer_chunks = {b: max(1, math.ceil(n / tile)) for b, n in outer_sizes.items()}
-    core_chunks = {b: math.ceil(int(cores[b]) / tile) for b in range(len(pivots))}
+    outer = cut_lineage(placed.mapInPandas(visits, "node_id long, vector array<float>, block int, own boolean"))
+    n_outer = np.zeros(len(pivots), dtype=np.int64)
+    for r in outer.groupBy("block").agg(F.count(F.lit(1)).alias("n")).collect():
+        n_outer[r["block"]] = -(-r["n"] // tile)
+    n_core = -(-cores // tile)
 
     def spread(side: str):
-        """Copies of each row for every tile it takes part in; a tile is one chunk against another."""
+        """Each row once for every tile it takes part in; a tile is one chunk of a block against another."""
 
         def run(batches):
             for pdf in batches:
-                out = []
-                for node, vector, block, own in zip(pdf["node_id"], pdf["vector"], pdf["block"], pdf["own"]):
-                    n_outer, n_core = outer_chunks.get(block, 0), core_chunks.get(block, 0)
-                    if side == "core":
-                        mine = (node * 2654435761) % max(n_core, 1)
-                        out += [(f"{block}c{mine}o{j}", node, vector, True, 0) for j in range(n_outer)]
-                    else:
-                        mine = (node * 2654435761) % n_outer
-                        out += [(f"{block}c{i}o{mine}", node, vector, bool(own), 1) for i in range(n_core)]
-                        out += [(f"{block}o{min(mine, j)}o{max(mine, j)}", node, vector, bool(own), int(mine > j) if mine != j else 2) for j in range(n_outer)]
-                yield pd.DataFrame(out, columns=["tile", "node_id", "vector", "own", "side"])
+                block, node = pdf["block"].to_numpy(), pdf["node_id"].to_numpy()
+                with_core = n_core[block] if side == "outer" else np.zeros(len(pdf), dtype=np.int64)
+                copies = with_core + n_outer[block]
+                at = np.repeat(np.arange(len(pdf)), copies)
+                other = np.arange(len(at)) - np.repeat(np.cumsum(copies) - copies, copies)
+                if side == "core":
+                    mine = _chunk(node, n_core[block])[at]
+                    among, left, right, part = np.zeros(len(at), bool), mine, other, np.zeros(len(at), int)
+                else:
+                    mine = _chunk(node, n_outer[block])[at]
+                    among = other >= with_core[at]  # a tile of two chunks of the outer rows, not of core and outer ones
+                    other = np.where(among, other - with_core[at], other)
+                    left, right = np.where(among, np.minimum(mine, other), other), np.where(among, np.maximum(mine, other), mine)
+                    part = np.where(among, np.where(mine == other, 2, mine > other), 1)
+                yield pd.DataFrame({
+                    "block": block[at], "among": among, "chunk_a": left, "chunk_b": right, "node_id": node[at], "vector": pdf["vector"].to_numpy()[at],
+                    "own": pdf["own"].to_numpy()[at], "side": part,
+                })
 
         return run
 
-    schema = "tile string, node_id long, vector array<float>, own boolean, side int"
+    schema = "block int, among boolean, chunk_a long, chunk_b long, node_id long, vector array<float>, own boolean, side int"
     core_rows = placed.filter("core").select("node_id", "vector", "block", F.lit(True).alias("own")).mapInPandas(spread("core"), schema)
     tiles = core_rows.union(outer.mapInPandas(spread("outer"), schema))
 
@@ -134,7 +147,7 @@ def similar_links(vectors: DataFrame, threshold: float = 0.85, max_pivots: int =
         keep = a != b
         return pd.DataFrame({"a": a[keep], "b": b[keep]}).drop_duplicates()
 
-    found = tiles.groupBy("tile").applyInPandas(compare, "a long, b long")
+    found = tiles.groupBy("block", "among", "chunk_a", "chunk_b").applyInPandas(compare, "a long, b long")
     return same.union(stars).union(found).distinct()
 
 
