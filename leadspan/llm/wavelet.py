@@ -31,6 +31,7 @@ from leadspan.llm.texts import identity, scratch
 
 SHARD_TOKENS = 1 << 21
 BLOCK = 512  # bits
+SLICE = 1 << 16
 END_ID = 2
 FORMAT = (
     "part int, seq int, n_tokens bigint, width int, doc_ids array<bigint>, doc_ends array<bigint>, zeros array<bigint>, planes array<binary>, ranks array<binary>"
@@ -46,17 +47,23 @@ class WaveletMatrix:
 
     @staticmethod
     def build(ids: np.ndarray, width: int) -> WaveletMatrix:
-        ids, n, zeros, planes, ranks = ids.copy(), len(ids), [], [], []
+        n, zeros, planes, ranks = len(ids), [], [], []
+        ids, after = ids.copy(), np.empty_like(ids)
         for shift in range(width - 1, -1, -1):
             ones = (ids & ids.dtype.type(1 << shift)).astype(bool)
             packed = np.packbits(ones, bitorder="little")
             per_block = np.add.reduceat(np.bitwise_count(packed), np.arange(0, len(packed), BLOCK // 8), dtype="<u4") if n else np.zeros(0, "<u4")
             planes.append(packed.tobytes())
             ranks.append((np.cumsum(per_block, dtype="<u4") - per_block).astype("<u4").tobytes())
-            # one stable partition
-            low = ids.take(np.flatnonzero(~ones))
-            zeros.append(len(low))
-            ids = np.concatenate([low, ids.take(np.flatnonzero(ones))])
+            zeros.append(n - int(np.count_nonzero(ones)))
+            # a stable partition, by slices that stay in the processor's cache
+            low, high = 0, zeros[-1]
+            for i in range(0, n, SLICE):
+                own, bits = ids[i : i + SLICE], ones[i : i + SLICE]
+                a, b = own.take(np.flatnonzero(~bits)), own.take(np.flatnonzero(bits))
+                after[low : low + len(a)], after[high : high + len(b)] = a, b
+                low, high = low + len(a), high + len(b)
+            ids, after = after, ids
         return WaveletMatrix(n, width, zeros, planes, ranks)
 
     def _bit(self, level: int, i: int) -> int:
@@ -116,13 +123,16 @@ class WaveletMatrix:
     def decode(self) -> np.ndarray:
         """The whole sequence, by undoing the planes from the last to the first."""
         kind = np.dtype("<u2") if self.width <= 16 else np.dtype("<u4")
-        ids = np.zeros(self.n, dtype=kind)
+        ids, above = np.zeros(self.n, dtype=kind), np.empty(self.n, dtype=kind)
         for level in range(self.width - 1, -1, -1):
-            ones = np.unpackbits(self.planes[level], count=self.n, bitorder="little").astype(bool)
-            above = np.empty(self.n, dtype=kind)
-            above[np.flatnonzero(~ones)] = ids[: self.zeros[level]]
-            above[np.flatnonzero(ones)] = ids[self.zeros[level] :] | kind.type(1 << (self.width - 1 - level))
-            ids = above
+            ones = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
+            bit, low, high = kind.type(1 << (self.width - 1 - level)), 0, self.zeros[level]
+            for i in range(0, self.n, SLICE):
+                own, bits = above[i : i + SLICE], ones[i : i + SLICE]
+                a, b = np.flatnonzero(~bits), np.flatnonzero(bits)
+                own[a], own[b] = ids[low : low + len(a)], ids[high : high + len(b)] | bit
+                low, high = low + len(a), high + len(b)
+            ids, above = above, ids
         return ids
 
 
