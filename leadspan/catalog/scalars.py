@@ -362,6 +362,21 @@ def _(v):
     return FL.gate_company(v.contacts, BAD_COMPANIES).select("contact_id")
 
 
+# lists as tables: full names of the blocklist, companies with many suppressed people, companies and mail domains of the suppression list
+@query("gate_exclusion_table", """WITH x AS (SELECT DISTINCT lower(name) AS term FROM blocklist WHERE name IS NOT NULL), t AS (SELECT contact_id, lower(concat_ws(' ', first_name, last_name, headline, company, linkedin_url)) AS body FROM contacts)
+    SELECT contact_id FROM t WHERE NOT EXISTS (SELECT 1 FROM x WHERE contains(t.body, x.term))""", ("contacts", "blocklist"))
+def _(v):
+    return FL.gate_exclusion(v.contacts, v.blocklist.select(F.col("name").alias("term"))).select("contact_id")
+
+
+@query("gate_company_table", """WITH n AS (SELECT company, count(*) AS n FROM suppression WHERE company IS NOT NULL GROUP BY 1), x AS (SELECT DISTINCT lower(company) AS term FROM n WHERE n > (SELECT avg(n) FROM n))
+    SELECT contact_id FROM contacts c WHERE NOT EXISTS (SELECT 1 FROM x WHERE contains(lower(coalesce(c.company, '')), x.term) OR contains(lower(coalesce(c.industry, '')), x.term))""", ("contacts", "suppression"))
+def _(v):
+    known = v.suppression.filter("company IS NOT NULL").groupBy("company").agg(F.count(F.lit(1)).alias("n"))
+    mean = known.agg(F.avg("n").alias("mean"))
+    return FL.gate_company(v.contacts, known.join(mean, F.col("n") > F.col("mean")).select(F.col("company").alias("term"))).select("contact_id")
+
+
 @query("gate_score", f"WITH {SCORED_SQL} SELECT contact_id, icp_score FROM scored WHERE coalesce(icp_score, 0) >= 50", ("contacts",))
 def _(v):
     return FL.gate_score(scored_contacts(v), 50).select("contact_id", "icp_score")
@@ -418,6 +433,10 @@ def _(v):
     return FL.expire_leads(v.campaign_leads, F.lit("1998-06-01 00:00:00").cast("timestamp")).select("lead_id", "lifecycle_status")
 
 
+COMPETITORS = ["Scaled Agile", "Agile Alliance", "Scrum.org", "Agile Centre"]
+COMPETITOR_DOMAINS = ["agilecoach", "scrummaster", "agile-consulting", "agilecentre"]
+
+
 @query("gate_rules", rf"""WITH t AS (SELECT contact_id, coalesce(headline, '') AS h, lower(coalesce(company, '')) AS c, {S.email_domain('trim(email)')} AS d, contact_id * 37 % 12000 AS size, contact_id % 5 = 0 AS funded FROM contacts)
     SELECT contact_id, CASE WHEN NOT regexp_matches(h, '(?i)\b(cto|chief technology officer|vp( of)? engineering|head of engineering|director of engineering|cpo|chief product officer|vp product|head of product|coo|chief operating officer|chief digital officer|cdo|head of digital transformation|head of delivery|vp delivery|technical programme manager|ceo)\b') THEN 'title'
       WHEN regexp_matches(h, '(?i)\b(intern|junior|associate|coordinator|sales|marketing|finance|legal|hr|recruiter|consultant|student|graduate)\b') THEN 'auto_fail_title'
@@ -425,7 +444,19 @@ def _(v):
       WHEN d = 'd7.com' THEN 'blocked_domain' WHEN d IN ('gmail.com') THEN 'personal_email' END AS failed FROM t""", ("contacts",))
 def _(v):
     leads = v.contacts.withColumn("employees", F.col("contact_id") * 37 % 12000).withColumn("has_funding_signal", F.col("contact_id") % 5 == 0)
-    rules = FL.GateRules(extra_titles=["ceo"], competitors=["Scaled Agile", "Agile Alliance", "Scrum.org", "Agile Centre", "Stark"], blocked_domains=["d7.com"])
+    return FL.gate_rules(leads, FL.GateRules(extra_titles=["ceo"], competitors=[*COMPETITORS, "Stark"], competitor_domains=COMPETITOR_DOMAINS, blocked_domains=["d7.com"])).select("contact_id", F.col("failed_rule").alias("failed"))
+
+
+@query("gate_rules_table", rf"""WITH x AS (SELECT DISTINCT lower(company) AS term FROM suppression WHERE company IS NOT NULL), b AS (SELECT DISTINCT {S.email_domain('trim(email)')} AS d FROM suppression WHERE email IS NOT NULL),
+    t AS (SELECT contact_id, coalesce(headline, '') AS h, lower(coalesce(company, '')) AS c, {S.email_domain('trim(email)')} AS d, contact_id * 37 % 12000 AS size, contact_id % 5 = 0 AS funded FROM contacts)
+    SELECT contact_id, CASE WHEN NOT regexp_matches(h, '(?i)\b(product manager|vp engineering)\b') THEN 'title' WHEN regexp_matches(h, '(?i)\b(intern|junior|associate|coordinator|sales|marketing|finance|legal|hr|recruiter|consultant|student|graduate)\b') THEN 'auto_fail_title'
+      WHEN (size < 100 AND NOT funded) OR size > 10000 THEN 'company_size' WHEN EXISTS (SELECT 1 FROM x WHERE contains(t.c, x.term)) THEN 'competitor' WHEN d IN (SELECT d FROM b) THEN 'blocked_domain' WHEN d IN ('gmail.com') THEN 'personal_email' END AS failed FROM t""", ("contacts", "suppression"))
+def _(v):
+    from leadspan.functions.normalize import email_domain
+
+    leads = v.contacts.withColumn("employees", F.col("contact_id") * 37 % 12000).withColumn("has_funding_signal", F.col("contact_id") % 5 == 0)
+    domains = v.suppression.filter("email IS NOT NULL").select(email_domain(F.trim(F.col("email"))).alias("term"))
+    rules = FL.GateRules(pass_titles=["Product Manager", "VP Engineering"], competitors=v.suppression.select(F.col("company").alias("term")), blocked_domains=domains)
     return FL.gate_rules(leads, rules).select("contact_id", F.col("failed_rule").alias("failed"))
 
 

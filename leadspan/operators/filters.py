@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from leadspan.functions.normalize import email_domain, is_personal_domain, text, url_host
 from leadspan.functions.schedule import days_elapsed
+from leadspan.operators.terms import with_term_flag, with_value_flag
 
 CONFIDENCE_LEVELS = ["hypothesis", "validated", "proven"]
 # Hours a cached page stays valid, per content type.
@@ -37,15 +38,23 @@ def passes_headline(df: DataFrame, rules: Sequence[str]) -> Column:
     return headline_of(df).rlike("(?i)" + "|".join(f"(?:{r})" for r in rules))
 
 
-def excluded(df: DataFrame, terms: Sequence[str]) -> Column:
+def exclusion_text(df: DataFrame) -> Column:
     fields = [F.when(F.col(n) != "", F.col(n)) for n in ("first_name", "last_name", "headline", "company", "linkedin_url") if n in df.columns]
-    return _contains_any(F.concat_ws(" ", *fields), terms)
+    return F.concat_ws(" ", *fields)
 
 
-def company_disqualified(df: DataFrame, terms: Sequence[str]) -> Column:
+def excluded(df: DataFrame, terms: Sequence[str]) -> Column:
+    return _contains_any(exclusion_text(df), terms)
+
+
+def company_texts(df: DataFrame) -> tuple[Column, Column]:
     names = [F.col(n) for n in ("company", "company_name") if n in df.columns]
     company = text(F.coalesce(*names)) if names else F.lit("")
-    industry = text(F.col("industry")) if "industry" in df.columns else F.lit("")
+    return company, text(F.col("industry")) if "industry" in df.columns else F.lit("")
+
+
+def company_disqualified(df: DataFrame, terms: Sequence[str]) -> Column:
+    company, industry = company_texts(df)
     return _contains_any(company, terms) | _contains_any(industry, terms)
 
 
@@ -58,11 +67,18 @@ def gate_headline(df: DataFrame, rules: Sequence[str]) -> DataFrame:
     return df.filter(passes_headline(df, rules))
 
 
-def gate_exclusion(df: DataFrame, terms: Sequence[str]) -> DataFrame:
+def gate_exclusion(df: DataFrame, terms: Sequence[str] | DataFrame) -> DataFrame:
+    """Rows without any of the terms; a long list comes as a table (term)."""
+    if isinstance(terms, DataFrame):
+        return with_term_flag(df, exclusion_text(df), terms, "_hit").filter("NOT _hit").drop("_hit")
     return df.filter(~excluded(df, terms))
 
 
-def gate_company(df: DataFrame, terms: Sequence[str]) -> DataFrame:
+def gate_company(df: DataFrame, terms: Sequence[str] | DataFrame) -> DataFrame:
+    if isinstance(terms, DataFrame):
+        company, industry = company_texts(df)
+        flagged = with_term_flag(with_term_flag(df, company, terms, "_company"), industry, terms, "_industry")
+        return flagged.filter("NOT _company AND NOT _industry").drop("_company", "_industry")
     return df.filter(~company_disqualified(df, terms))
 
 
@@ -140,14 +156,15 @@ PASS_TITLES = [
 FAIL_TITLE_WORDS = [
     "Intern", "Junior", "Associate", "Coordinator", "Sales", "Marketing", "Finance", "Legal", "HR", "Recruiter", "Consultant", "Student", "Graduate",
 ]
-COMPETITOR_DOMAIN_PARTS = ["agilecoach", "scrummaster", "agile-consulting", "agilecentre"]
-
 
 @dataclass(frozen=True)
 class GateRules:
+    """``competitors`` and ``blocked_domains`` may be tables (term)."""
+
     extra_titles: Sequence[str] = ()
-    competitors: Sequence[str] = ("Scaled Agile", "Agile Alliance", "Scrum.org", "Agile Centre")
-    blocked_domains: Sequence[str] = ()
+    competitors: Sequence[str] | DataFrame = ()
+    competitor_domains: Sequence[str] = ()
+    blocked_domains: Sequence[str] | DataFrame = ()
     min_employees: int = 100
     max_employees: int = 10_000
     pass_titles: Sequence[str] = field(default_factory=lambda: PASS_TITLES)
@@ -159,16 +176,26 @@ def _word(terms: Sequence[str]) -> str:
 
 def gate_rules(df: DataFrame, rules: GateRules = GateRules()) -> DataFrame:
     """Adds ``failed_rule``: the first rule a lead breaks, or null."""
+    columns = df.columns
     title, domain, size = headline_of(df), email_domain(F.trim(F.col("email"))), F.col("employees")
+    competitor, blocked = F.lit(False), F.lit(False)
+    if isinstance(rules.competitors, DataFrame):
+        df, competitor = with_term_flag(df, text(F.col("company")), rules.competitors, "_competitor"), F.col("_competitor")
+    else:
+        competitor = _contains_any(text(F.col("company")), rules.competitors)
+    if isinstance(rules.blocked_domains, DataFrame):
+        df, blocked = with_value_flag(df, domain, rules.blocked_domains, "_blocked"), F.col("_blocked")
+    elif rules.blocked_domains:
+        blocked = domain.isin(list(rules.blocked_domains))
     failed = (
         F.when(~title.rlike(_word([*rules.pass_titles, *rules.extra_titles])), "title")
         .when(title.rlike(_word(FAIL_TITLE_WORDS)), "auto_fail_title")
         .when(((size < rules.min_employees) & ~F.col("has_funding_signal")) | (size > rules.max_employees), "company_size")
-        .when(_contains_any(text(F.col("company")), rules.competitors) | _contains_any(domain, COMPETITOR_DOMAIN_PARTS), "competitor")
-        .when(domain.isin(list(rules.blocked_domains)), "blocked_domain")
+        .when(competitor | _contains_any(domain, rules.competitor_domains), "competitor")
+        .when(blocked, "blocked_domain")
         .when(is_personal_domain(domain), "personal_email")
     )
-    return df.withColumn("failed_rule", failed)
+    return df.withColumn("failed_rule", failed).select(*columns, "failed_rule")
 
 
 def gate_cooldown(df: DataFrame, history: DataFrame, key: str, now: Column, contact_days: int = 90, negative_days: int = 180) -> DataFrame:
