@@ -3,8 +3,10 @@
 Tokens are lower-case words without outer punctuation. A spaced seed hashes the tokens of a window at the positions of a
 mask and ignores the others. The two masks below together keep a hit in every window of 13 tokens with any 2 of them
 substituted, which is the verification rule: an overlap is a run of aligned windows of 13 tokens with a similarity of
-0.8 or more (11 equal tokens). Items of fewer than 13 tokens have to be matched by a window of their whole length, items
-of fewer than 8 (the span of a mask) are too short to prove anything and never match.
+0.8 or more (11 equal tokens). Items of fewer than 13 tokens have to be matched by a window of their whole length: those of
+8 to 12 at the same similarity, with masks of their own that each leave out one part in three (one substitution allowed) or
+two in four (two allowed), so that some mask misses every allowed set of substitutions; those of fewer than 8 token by token,
+with one mask of all positions. The corpus is only searched for lengths that the benchmark has.
 
 The work on the corpus is one pass with a bit map of the benchmark's seeds, of bounded size; it only lets windows through
 that may hit. What passes is cut into regions (a stretch of hits with room on both sides), equal stretches of hits are
@@ -13,7 +15,9 @@ joined to the seeds once, and each region is verified along the diagonals found,
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -30,7 +34,7 @@ SPAN = 8
 WINDOW = 13
 SIMILARITY = 0.8
 OUTER = ".,;:!?\"'()[]{}«»“”‘’…-–—*#&%$|<>"
-MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], dtype=np.uint64)
+MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xBF58476D1CE4E5B9], dtype=np.uint64)
 
 
 def token_hashes(text: str | None) -> np.ndarray:
@@ -38,13 +42,29 @@ def token_hashes(text: str | None) -> np.ndarray:
     return pd.util.hash_array(np.array(words, dtype=object), categorize=False) if words else np.zeros(0, dtype=np.uint64)
 
 
-def seed_hashes(tokens: np.ndarray, mask: int) -> np.ndarray:
-    """The hash of each window of SPAN tokens under one mask; the mask's number is part of it."""
-    k = len(tokens) - SPAN + 1
+def least_equal(size: int) -> int:
+    """Equal tokens that a window of ``size`` needs."""
+    return size if size < SPAN else math.ceil(SIMILARITY * size - 1e-9)
+
+
+def masks_for(length: int) -> tuple[int, tuple[tuple[int, ...], ...]]:
+    """Span and masks for items of a length: together they hit whatever tokens are substituted, as many as are allowed."""
+    if length >= WINDOW:
+        return SPAN, MASKS
+    lost = length - least_equal(length)
+    parts = lost + 2
+    dropped = combinations(range(parts), lost)
+    return length, tuple(tuple(i for i in range(length) if i * parts // length not in out) for out in dropped)
+
+
+def seed_hashes(tokens: np.ndarray, length: int, mask: int) -> np.ndarray:
+    """The hash of each window under one mask of the items of a length; both are part of it."""
+    span, masks = masks_for(length)
+    k = len(tokens) - span + 1
     if k <= 0:
         return np.zeros(0, dtype=np.uint64)
-    total = np.full(k, mask + 1, dtype=np.uint64)
-    for at, factor in zip(MASKS[mask], MULTIPLIERS):
+    total = np.full(k, min(length, WINDOW) * 16 + mask, dtype=np.uint64)
+    for at, factor in zip(masks[mask], MULTIPLIERS):
         total += tokens[at : at + k] * factor
     total ^= total >> np.uint64(29)
     return total * MULTIPLIERS[0]
@@ -54,11 +74,11 @@ def overlaps(doc: np.ndarray, item: np.ndarray, diagonal: int) -> list[tuple[int
     """(doc start, item start, length, equal tokens) of each overlap where item token i meets doc token i + diagonal."""
     size = min(WINDOW, len(item))
     first, last = max(0, -diagonal), min(len(item), len(doc) - diagonal)
-    if size < SPAN or last - first < size:
+    if not size or last - first < size:
         return []
     equal = doc[first + diagonal : last + diagonal] == item[first:last]
     sums = np.concatenate([[0], np.cumsum(equal)])
-    good = np.flatnonzero(sums[size:] - sums[:-size] >= np.ceil(SIMILARITY * size - 1e-9))
+    good = np.flatnonzero(sums[size:] - sums[:-size] >= least_equal(size))
     found = []
     for run in np.split(good, np.flatnonzero(np.diff(good) > size) + 1) if len(good) else []:
         same = np.flatnonzero(equal[run[0] : run[-1] + size]) + run[0]  # an overlap begins and ends with equal tokens
@@ -75,15 +95,15 @@ def _items(benchmark: DataFrame, id_column: str, text_column: str) -> DataFrame:
         return pd.Series([token_hashes(t).view(np.int64) for t in texts], dtype=object)
 
     items = benchmark.select(F.col(id_column).cast("bigint").alias("item"), hashed(F.col(text_column)).alias("tokens"))
-    return cut_lineage(items.filter(F.col("item").isNotNull() & (F.size("tokens") >= SPAN)).groupBy("tokens").agg(F.min("item").alias("item")))
+    return cut_lineage(items.filter(F.col("item").isNotNull() & (F.size("tokens") > 0)).groupBy("tokens").agg(F.min("item").alias("item")))
 
 
 def _seeds(items: DataFrame) -> DataFrame:
     def seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for item, tokens in zip(batch["item"], batch["tokens"]):
-                for mask in range(len(MASKS)):
-                    found = seed_hashes(np.asarray(tokens, dtype=np.int64).view(np.uint64), mask)
+                for mask in range(len(masks_for(len(tokens))[1])):
+                    found = seed_hashes(np.asarray(tokens, dtype=np.int64).view(np.uint64), len(tokens), mask)
                     yield pd.DataFrame({"seed": found.view(np.int64), "item": item, "item_at": np.arange(len(found))})
 
     return cut_lineage(items.mapInPandas(seeds, "seed bigint, item bigint, item_at int"))
@@ -92,24 +112,25 @@ def _seeds(items: DataFrame) -> DataFrame:
 REGION = "_id bigint, _content bigint, region int, start bigint, tokens array<bigint>, core string, core_at int, hit_at array<int>, hit_seed array<bigint>"
 
 
-def _regions(docs: DataFrame, bits: np.ndarray) -> DataFrame:
+def _regions(docs: DataFrame, bits: np.ndarray, lengths: list[int]) -> DataFrame:
+    """Stretches of windows that may hit a seed of items of these lengths (WINDOW: that or more)."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
+    kinds = [(n, mask) for n in lengths for mask in range(len(masks_for(n)[1]))]
+    reach = max((masks_for(n)[0] for n in lengths), default=0)
 
     def regions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for key, content, text in zip(batch["_id"], batch["_content"], batch["text"]):
                 tokens = token_hashes(text)
-                if len(tokens) < SPAN:
-                    continue
-                seeds = [seed_hashes(tokens, m) for m in range(len(MASKS))]
-                hits = [in_bit_map(shared.value, s) for s in seeds]
-                at = np.flatnonzero(np.logical_or.reduce(hits))
+                seeds = [seed_hashes(tokens, *kind) for kind in kinds]
+                hits = [np.flatnonzero(in_bit_map(shared.value, s)) for s in seeds]
+                at = np.unique(np.concatenate([np.zeros(0, np.int64), *hits]))
                 for number, run in enumerate(np.split(at, np.flatnonzero(np.diff(at) > WINDOW) + 1) if len(at) else []):
-                    low, high = max(0, run[0] - WINDOW), min(len(tokens), run[-1] + SPAN + WINDOW)
-                    inside = [(a, m) for m in range(len(MASKS)) for a in run[hits[m][run]]]
-                    core = xxhash.xxh3_128_hexdigest(tokens[run[0] : run[-1] + SPAN].tobytes())
-                    hit_seeds = np.array([seeds[m][a] for a, m in inside], dtype=np.uint64).view(np.int64)
+                    low, high = max(0, run[0] - WINDOW), min(len(tokens), run[-1] + reach + WINDOW)
+                    inside = [(a, k) for k, h in enumerate(hits) for a in h[np.searchsorted(h, run[0]) : np.searchsorted(h, run[-1], side="right")]]
+                    core = xxhash.xxh3_128_hexdigest(tokens[run[0] : run[-1] + reach].tobytes())
+                    hit_seeds = np.array([seeds[k][a] for a, k in inside], dtype=np.uint64).view(np.int64)
                     out.append((key, content, number, low, tokens[low:high].view(np.int64), core, run[0] - low, [int(a - run[0]) for a, _ in inside], hit_seeds))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in REGION.split(", ")])
 
@@ -125,7 +146,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", te
     items = _items(benchmark, item_column, item_text_column)
     seeds = _seeds(items)
     rows = docs.select(*identity(id_column, text_column), F.col(text_column).alias("text"))
-    found = _regions(rows, bit_map(seeds, "seed"))
+    lengths = sorted(r["n"] for r in items.select(F.least(F.size("tokens"), F.lit(WINDOW)).alias("n")).distinct().collect())  # 13 at most
+    found = _regions(rows, bit_map(seeds, "seed"), lengths)
     cores = found.groupBy("core").agg(F.first(F.arrays_zip("hit_at", "hit_seed")).alias("hits"))
     diagonals = cores.select("core", F.inline("hits")).join(seeds, F.col("hit_seed") == F.col("seed")).select("core", "item", (F.col("hit_at") - F.col("item_at")).alias("diagonal")).distinct()
     pairs = found.select("_id", "_content", "start", "tokens", "core", "core_at").join(diagonals, "core").join(items.withColumnRenamed("tokens", "item_tokens"), "item")
