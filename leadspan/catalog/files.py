@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadspan.catalog.registry import query
 from leadspan.functions.normalize import text
+from leadspan.session import ensure_checkpoint_dir
 from leadspan.sinks import exports as X
 from leadspan.sources import feeds as FD
 from leadspan.sources import files as SF
@@ -128,3 +132,56 @@ def _(v):
 @query("result_set_rows", """SELECT 'set1' AS result_set_id, row_number() OVER (ORDER BY p_partkey) - 1 AS row_index, '{"p_partkey":' || p_partkey || ',"p_brand":"' || p_brand || '"}' AS data FROM part""")
 def _(v):
     return X.result_rows(v.part.select("p_partkey", "p_brand"), "set1", ["p_partkey"])
+
+
+def _folder(v, name: str) -> str:
+    return f"{ensure_checkpoint_dir(v.contacts.sparkSession)}/{name}-{uuid.uuid4().hex}"
+
+
+LEAD_FIELDS = ["contact_id", "first_name", "last_name", "email", "linkedin_url", "company", "headline", "nothing"]
+
+
+@query("csv_leads", "SELECT CAST(contact_id AS VARCHAR) AS contact_id, first_name, last_name, trim(coalesce(email, '')) AS email, coalesce(linkedin_url, '') AS linkedin_url, company, coalesce(headline, '') AS headline, '' AS nothing FROM contacts", ("contacts",))
+def _(v):
+    """Written as a file of leads and imported again."""
+    folder = _folder(v, "csv")
+    X.export_csv(v.contacts, folder, LEAD_FIELDS)
+    return SF.read_csv_leads(v.contacts.sparkSession, folder)
+
+
+@query("csv_suppression", """SELECT trim(email) AS email, linkedin_url, trim(concat_ws(' ', first_name, last_name)) AS name, company, 'permanent' AS scope, 'Imported from crm' AS reason, coalesce(trim(email), linkedin_url) AS provider_id
+    FROM contacts WHERE email IS NOT NULL OR linkedin_url IS NOT NULL""", ("contacts",))
+def _(v):
+    folder = _folder(v, "suppression")
+    X.export_csv(v.contacts.select(F.col("email").alias("Email"), F.col("linkedin_url").alias("LinkedIn"), "first_name", "last_name", "company"), folder)
+    return SF.load_suppression_csv(v.contacts.sparkSession, folder, "crm")
+
+
+@query("json_leads", "SELECT contact_id, first_name, email, company, acctbal FROM contacts", ("contacts",))
+def _(v):
+    folder = _folder(v, "json")
+    fields = ["contact_id", "first_name", "email", "company", "acctbal"]
+    X.export_json(v.contacts.select(*fields), folder)
+    return v.contacts.sparkSession.read.schema(v.contacts.select(*fields).schema).json(folder)
+
+
+def _record_files(v, key: str, people: DataFrame) -> str:
+    """Files with one object each, which holds up to a hundred records under ``key``."""
+    folder = _folder(v, key)
+    record = F.struct(*[c for c in people.columns if c != "no"])
+    arrays = people.groupBy(F.floor(F.col("no") / 100).alias("_file")).agg(F.to_json(F.struct(F.collect_list(record).alias(key))).alias("value"))
+    arrays.select("value").write.option("maxRecordsPerFile", 1).text(folder)
+    return folder
+
+
+@query("visitor_files", "SELECT first_name, last_name, coalesce(headline, '') AS headline, company, coalesce(linkedin_url, '') AS linkedin_url, provider_id, 'profile_visitor' AS source FROM contacts", ("contacts",))
+def _(v):
+    people = v.contacts.select(F.col("contact_id").alias("no"), F.col("first_name").alias("firstName"), "last_name", F.col("headline").alias("title"), F.col("company").alias("company_name"), F.col("linkedin_url").alias("profileUrl"), F.col("provider_id").alias("providerId"))
+    return SF.read_visitors(v.contacts.sparkSession, _record_files(v, "visitors", people))
+
+
+@query("engager_files", "SELECT first_name, '' AS last_name, CASE WHEN contact_id % 2 = 0 THEN 'Boss' ELSE coalesce(headline, '') END AS headline, '' AS company, coalesce(linkedin_url, '') AS linkedin_url, provider_id, 'content_engager' AS source FROM contacts", ("contacts",))
+def _(v):
+    boss = F.when(F.col("contact_id") % 2 == 0, F.lit("Boss"))
+    people = v.contacts.select(F.col("contact_id").alias("no"), "first_name", boss.alias("headline"), F.col("headline").alias("title"), F.col("linkedin_url").alias("profile_url"), "provider_id")
+    return SF.read_engagers(v.contacts.sparkSession, _record_files(v, "data", people))

@@ -14,10 +14,10 @@ from leadspan.plans import mining, qualify, reporting, steps, tracking
 RULES = qualify.Rules(headline=["ceo", "vp", "head of", "product", "director", "engineer"], exclusions=["gauss", "recruit"], disqualifiers=["umbrella"], dedup=LK.CONFIG)
 
 
-def _qualified(v):
+def _qualified(v, leads=None, profiles=None):
     funding = F.element_at(F.lit(FUND), (F.col("contact_id") % 7 + 1).cast("int"))
     score = lambda df: G.icp_score(F.col("headline"), F.col("contact_id") * 37 % 6000, funding, F.col("contact_id") % 8)
-    return qualify.qualify(v.contacts, v.suppression, RULES, score, "contact_id")
+    return qualify.qualify(v.contacts if leads is None else leads, v.suppression, RULES, score, "contact_id", profiles)
 
 
 QUALIFY_SQL = f"""{LK.BEST}, {SCORED_SQL}, q AS (SELECT c.contact_id, c.tenant_id, s.icp_score, CASE WHEN b.conf >= 80 THEN 'dedup' WHEN NOT regexp_matches(coalesce(c.headline, ''), '(?i)ceo|vp|head of|product|director|engineer') THEN 'headline'
@@ -30,6 +30,25 @@ def _(v):
     return _qualified(v).select("contact_id", "icp_score", "failed_gate")
 
 
+# every seventh contact without company and industry, which profiles of the same url, else the same person, fill in
+BARE = """bare AS (SELECT * REPLACE (CASE WHEN contact_id % 7 = 0 THEN NULL ELSE company END AS company, CASE WHEN contact_id % 7 = 0 THEN NULL ELSE industry END AS industry) FROM contacts),
+    prof AS (SELECT contact_id AS profile_no, CASE WHEN contact_id % 3 <> 0 THEN linkedin_url END AS linkedin_url, CASE WHEN contact_id % 2 = 0 THEN provider_id END AS provider_id, 'Found ' || company AS company, industry FROM contacts),
+    pu AS (SELECT linkedin_url, arg_min({'c': company, 'i': industry}, profile_no) AS r FROM prof WHERE linkedin_url IS NOT NULL GROUP BY 1), pp AS (SELECT provider_id, arg_min({'c': company, 'i': industry}, profile_no) AS r FROM prof WHERE provider_id IS NOT NULL GROUP BY 1)"""
+ENRICHED = QUALIFY_SQL.replace("FROM contacts", "FROM bare")
+
+
+@query("qualify_enriched", f"""WITH {BARE}, {ENRICHED} SELECT q.contact_id, q.icp_score, q.failed_gate, CASE WHEN b.company IS NULL THEN coalesce(pu.r, pp.r).c ELSE b.company END AS company, CASE WHEN b.company IS NULL THEN coalesce(pu.r, pp.r).i ELSE b.industry END AS industry
+    FROM q JOIN bare b ON b.contact_id = q.contact_id LEFT JOIN pu ON pu.linkedin_url = b.linkedin_url LEFT JOIN pp ON pp.provider_id = b.provider_id""", LK.NEEDS)
+def _(v):
+    n, blank = F.col("contact_id"), F.col("contact_id") % 7 == 0
+    bare = v.contacts.withColumns({c: F.when(~blank, F.col(c)) for c in ("company", "industry")})
+    profiles = v.contacts.select(
+        n.alias("profile_no"), F.when(n % 3 != 0, F.col("linkedin_url")).alias("linkedin_url"), F.when(n % 2 == 0, F.col("provider_id")).alias("provider_id"),
+        F.concat(F.lit("Found "), "company").alias("company"), "industry",
+    )
+    return _qualified(v, bare, profiles).select("contact_id", "icp_score", "failed_gate", "company", "industry")
+
+
 @query("gate_summary", f"""WITH {QUALIFY_SQL} SELECT tenant_id, count(*) AS processed, count(CASE WHEN failed_gate = 'dedup' THEN 1 END) AS failed_dedup, count(CASE WHEN failed_gate = 'headline' THEN 1 END) AS failed_headline, count(CASE WHEN failed_gate = 'exclusion' THEN 1 END) AS failed_exclusion,
     count(CASE WHEN failed_gate = 'company' THEN 1 END) AS failed_company, count(CASE WHEN failed_gate = 'score' THEN 1 END) AS failed_score, count(*) - count(failed_gate) AS qualified FROM q GROUP BY 1""", LK.NEEDS)
 def _(v):

@@ -277,3 +277,17 @@ def replace_index(entries: DataFrame, candidates: DataFrame) -> DataFrame:
     valid = ids.join(candidates.select("tenant_id", "node_id"), ["tenant_id", "node_id"], "left_semi")
     kept = valid.groupBy("tenant_id", "name").agg(F.array_sort(F.collect_list(F.struct("_at", "node_id"))).alias("_v"))
     return entries.drop("node_ids").join(kept.select("tenant_id", "name", F.col("_v.node_id").alias("node_ids")), ["tenant_id", "name"])
+
+
+def write_index(entries: DataFrame, candidates: DataFrame, path: str) -> None:
+    """Replaces the index of the tenants in ``entries`` below ``path``; the files of other tenants are not touched.
+
+    A tenant whose entries are all dropped is left with a marker row, so that its old index goes too.
+    """
+    rows = replace_index(entries, candidates)
+    marker = entries.select("tenant_id").distinct()
+    rows.unionByName(marker, allowMissingColumns=True).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tenant_id").parquet(path)
+
+
+def read_index(spark, path: str) -> DataFrame:
+    return spark.read.parquet(path).filter("name IS NOT NULL")

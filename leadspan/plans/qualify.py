@@ -33,15 +33,19 @@ def score_leads(leads: DataFrame, score: Column) -> DataFrame:
     return leads.withColumn("icp_score", s).withColumn("icp_fit", score_band(s))
 
 
-def enrich_bare(leads: DataFrame, profiles: DataFrame, order: str = "profile_no") -> DataFrame:
+def enrich_bare(leads: DataFrame, profiles: DataFrame, lead_id: str = "lead_id", order: str = "profile_no") -> DataFrame:
     """Company and industry for leads that have neither, from the first profile of the same url, else provider id."""
     values = ["company", "industry"]
     by_url = earliest_by(profiles.filter("linkedin_url <> ''").select("linkedin_url", order, *values), ["linkedin_url"], F.col(order)).select("linkedin_url", F.struct(*values).alias("_u"))
     by_id = earliest_by(profiles.filter("provider_id <> ''").select("provider_id", order, *values), ["provider_id"], F.col(order)).select("provider_id", F.struct(*values).alias("_p"))
+    # only bare leads have a key to look up; the others get one of their own that matches nothing
     bare = (text(F.col("company")) == "") & (text(F.col("industry")) == "")
-    j = leads.join(by_url, "linkedin_url", "left").join(by_id, "provider_id", "left").withColumn("_r", F.coalesce("_u", "_p"))
-    out = j.select(*[F.when(bare, F.coalesce(F.col(f"_r.{c}"), F.col(c))).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in leads.columns])
-    return out
+    own = F.concat(F.lit("\u0000"), F.col(lead_id).cast("string"))
+    key = lambda c: F.when(bare & (text(F.col(c)) != ""), F.col(c)).otherwise(own)
+    keyed = leads.withColumns({"_url": key("linkedin_url"), "_id": key("provider_id")})
+    j = keyed.join(by_url.withColumnRenamed("linkedin_url", "_url"), "_url", "left").join(by_id.withColumnRenamed("provider_id", "_id"), "_id", "left")
+    j = j.withColumn("_r", F.coalesce("_u", "_p"))
+    return j.select(*[F.when(bare, F.coalesce(F.col(f"_r.{c}"), F.col(c))).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in leads.columns])
 
 
 def qualify(leads: DataFrame, suppression: DataFrame, rules: Rules, score: Callable[[DataFrame], Column], lead_id: str = "lead_id", profiles: DataFrame | None = None) -> DataFrame:
@@ -57,7 +61,7 @@ def qualify(leads: DataFrame, suppression: DataFrame, rules: Rules, score: Calla
     )
     gated = checked.withColumn("failed_gate", early)
     if profiles is not None:
-        gated = enrich_bare(gated, profiles)
+        gated = enrich_bare(gated, profiles, lead_id)
     scored = score_leads(gated, score(gated))
     failed = F.coalesce("failed_gate", F.when(F.col("icp_score") < rules.min_score, "score"))
     return scored.withColumn("failed_gate", failed).withColumn("lifecycle_status", F.when(failed.isNull(), "Qualified"))

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import re
 import time
-from collections.abc import Callable, Mapping, Sequence
+import uuid
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from dataclasses import dataclass
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from leadspan.functions.normalize import text
 from leadspan.operators.ranking import ordinals
@@ -89,10 +93,68 @@ def write_result_set(df: DataFrame, result_set_id: str, path: str, order: Sequen
     result_rows(df, result_set_id, order).write.mode("append").partitionBy("result_set_id").parquet(path)
 
 
+class Transport(Protocol):
+    """Two-step delivery: batches are put up under the attempt they came from, and given out or dropped as a whole."""
+
+    def stage(self, attempt: str, number: int, batch: list[dict]) -> None: ...
+
+    def publish(self, attempts: Sequence[str]) -> None: ...
+
+    def discard(self, attempts: Sequence[str]) -> None: ...
+
+
+@dataclass
+class Staged(WriterCommitMessage):
+    attempt: str
+    batches: int
+
+
+class BatchWriter(DataSourceWriter):
+    """Tasks stage their batches. Spark commits one attempt of every partition, so what a failed or doubled attempt staged is
+    never published, and nothing is if the job fails. The driver sees the names of attempts only."""
+
+    def __init__(self, transport: Transport, size: int) -> None:
+        self.transport, self.size = transport, size
+
+    def write(self, iterator: Iterator) -> WriterCommitMessage:
+        attempt, batch, number = uuid.uuid4().hex, [], 0
+        for row in iterator:
+            batch.append(row.asDict(recursive=True))
+            if len(batch) == self.size:
+                self.transport.stage(attempt, number, batch)
+                batch, number = [], number + 1
+        if batch:
+            self.transport.stage(attempt, number, batch)
+            number += 1
+        return Staged(attempt, number)
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        self.transport.publish([m.attempt for m in messages if m is not None and m.batches])
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        self.transport.discard([m.attempt for m in messages if m is not None])
+
+
+def write_batches(df: DataFrame, transport: Transport, size: int = 25) -> None:
+    """Hands all rows to ``transport`` in batches, each row once however often tasks are run again."""
+    format_name = f"batches_{uuid.uuid4().hex}"
+
+    class BatchSink(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return format_name
+
+        def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+            return BatchWriter(transport, size)
+
+    df.sparkSession.dataSource.register(BatchSink)
+    df.write.format(format_name).mode("append").save()
+
+
 def foreach_batch_sink(df: DataFrame, send: Callable[[list[dict]], None], size: int = 25, attempts: int = 3, pause: float = 0.5) -> None:
     """Hands the rows to ``send`` in batches, inside the tasks; a failed batch is tried again before the task fails.
 
-    A task that is run again sends its batches again, so ``send`` must accept repeats (key its records).
+    A task that is run again sends its batches again, so ``send`` must accept repeats (key its records); see ``write_batches``.
     """
 
     def deliver(batch: list[dict]) -> None:

@@ -1,14 +1,18 @@
 """Files in and out."""
 
+import glob
 import hashlib
 import json
 import math
+import os
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from leadspan.functions.normalize import approx_tokens, quarter_tokens
 from leadspan.operators.chunks import SPACE_CHARS, chunk_documents
+from leadspan.operators.memory import read_index, write_index
 from leadspan.sinks import exports as X
 from leadspan.sources import files as SF
 from leadspan.sources.feeds import parse_feeds
@@ -160,3 +164,77 @@ def test_chunks(spark):
 def test_characters_beyond_the_basic_plane_count_twice(spark):
     row = spark.createDataFrame([("😀" * 100,)], "t string").select(approx_tokens(F.col("t")), quarter_tokens(F.col("t"))).first()
     assert tuple(row) == (57, 50)
+
+
+class Outbox:
+    """Staged batches are files of an attempt; published ones are moved to where the receiver looks."""
+
+    def __init__(self, folder, fail=False):
+        self.folder, self.fail = str(folder), fail
+        for name in ("staged", "sent"):
+            os.makedirs(f"{self.folder}/{name}", exist_ok=True)
+
+    def stage(self, attempt, number, batch):
+        with open(f"{self.folder}/staged/{attempt}-{number}", "w") as f:
+            json.dump(batch, f)
+        if self.fail and any(r["id"] == 40 for r in batch):
+            raise ValueError("receiver is down")
+
+    def publish(self, attempts):
+        for name in os.listdir(f"{self.folder}/staged"):
+            if name.split("-")[0] in attempts:
+                os.rename(f"{self.folder}/staged/{name}", f"{self.folder}/sent/{name}")
+
+    def discard(self, attempts):
+        for name in os.listdir(f"{self.folder}/staged"):
+            if name.split("-")[0] in attempts:
+                os.remove(f"{self.folder}/staged/{name}")
+
+    def sent(self):
+        return [json.load(open(f"{self.folder}/sent/{n}")) for n in os.listdir(f"{self.folder}/sent")]
+
+
+def test_batches_are_published_once(spark, tmp_path):
+    X.write_batches(spark.range(0, 53, 1, 3), box := Outbox(tmp_path / "a"), 10)
+    assert sorted(r["id"] for b in box.sent() for r in b) == list(range(53)) and max(map(len, box.sent())) == 10
+    # a task that fails after it put up some batches: the job fails and nothing of it is given out
+    broken = Outbox(tmp_path / "b", fail=True)
+    with pytest.raises(Exception, match="receiver is down"):
+        X.write_batches(spark.range(0, 53, 1, 3), broken, 10)
+    assert broken.sent() == [] and os.listdir(f"{broken.folder}/staged")
+    # an attempt that was doubled: Spark commits one message of the partition, the other attempt stays unpublished
+    box = Outbox(tmp_path / "c")
+    writer = X.BatchWriter(box, 10)
+    rows = spark.range(25).collect()
+    writer.write(iter(rows[:12]))
+    writer.commit([writer.write(iter(rows)), None])
+    assert sorted(r["id"] for b in box.sent() for r in b) == list(range(25))
+    writer.abort([writer.write(iter(rows))])
+    assert len(box.sent()) == 3
+
+
+def test_index_of_other_tenants_is_not_touched(spark, tmp_path):
+    path = str(tmp_path / "index")
+    entries = lambda rows: spark.createDataFrame(rows, "tenant_id string, name string, node_ids array<long>")
+    nodes = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), ("c", 3)], "tenant_id string, node_id long")
+    write_index(entries([("a", "x", [1, 2, 9]), ("a", "y", [9]), ("b", "z", [1]), ("c", "w", [3])]), nodes, path)
+    files = lambda: {f: os.stat(f).st_mtime_ns for f in glob.glob(f"{path}/tenant_id=b/*.parquet")}
+    before = files()
+    # a gets another index, c loses its last entry
+    write_index(entries([("a", "v", [2, 1]), ("c", "w", [4])]), nodes, path)
+    got = sorted((r.tenant_id, r.name, tuple(r.node_ids)) for r in read_index(spark, path).collect())
+    assert got == [("a", "v", (2, 1)), ("b", "z", (1,))]
+    assert files() == before
+
+
+def test_outline_of_a_long_document(spark):
+    """Twenty thousand headings: the open ones are carried along, not looked up for each chunk."""
+    text = "\n".join(f"{'#' * (1 + i * 7 % 5)} h{i}\n" + "word " * 40 for i in range(20_000))
+    rows = chunk_documents(spark.createDataFrame([(1, text)], "doc_id long, text string"), "doc_id", "text").select("heading_path", "end_line").collect()
+    path, want, line = [], {}, 0
+    for i in range(20_000):
+        depth = 1 + i * 7 % 5
+        path = [*path[: depth - 1], *[None] * (depth - 1 - len(path)), f"h{i}"]
+        want[line] = want[line + 1] = list(path)
+        line += 2
+    assert len(rows) > 1000 and all(r.heading_path == want[r.end_line] for r in rows)
