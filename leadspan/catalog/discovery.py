@@ -30,8 +30,14 @@ def _(v):
     return L.unseen(v.new_profiles, v.mined_people).select("ordinal")
 
 
-# checked against a one-by-one pass in the tests
-@query("filter_new_profiles")
+# one profile after the other; hashes stand for the keys
+FIRST_COME = f"""known AS ({keys_sql('mined_people', 'mined_id')}), k AS ({keys_sql('new_profiles', 'ordinal')}), kl AS (SELECT r, list(hash(k)) AS ks FROM k GROUP BY 1),
+    c AS (SELECT ordinal, coalesce(ks, []) AS ks, row_number() OVER (ORDER BY ordinal) AS step FROM new_profiles LEFT JOIN kl ON kl.r = ordinal WHERE ordinal NOT IN (SELECT r FROM k WHERE k IN (SELECT k FROM known))),
+    fc AS (SELECT CAST(0 AS BIGINT) AS step, CAST([] AS UBIGINT[]) AS held, CAST(NULL AS BIGINT) AS ordinal, false AS kept
+      UNION ALL SELECT c.step, CASE WHEN list_has_any(fc.held, c.ks) THEN fc.held ELSE list_concat(fc.held, c.ks) END, c.ordinal, NOT list_has_any(fc.held, c.ks) FROM fc JOIN c ON c.step = fc.step + 1)"""
+
+
+@query("filter_new_profiles", f"WITH RECURSIVE {FIRST_COME} SELECT ordinal FROM fc WHERE kept", ("new_profiles", "mined_people"))
 def _(v):
     return L.filter_new(v.new_profiles, v.mined_people).select("ordinal")
 
@@ -179,8 +185,11 @@ def _(v):
     return A.admit(one, ["at", "request_id"]).select("request_id")
 
 
-# requests of several tokens: checked against a one-by-one pass in the tests
-@query("admit_requests")
+# one request after the other in every bucket
+@query("admit_requests", """WITH RECURSIVE q AS (SELECT tenant_id, provider, account_id, tokens, row_number() OVER (PARTITION BY tenant_id, provider, account_id ORDER BY requested_at, request_id) AS step FROM send_requests),
+    r AS (SELECT DISTINCT tenant_id, provider, account_id, CAST(0 AS BIGINT) AS step, CAST(CASE provider WHEN 'linkedin.connect' THEN 30 WHEN 'linkedin.dm' THEN 50 WHEN 'email.send' THEN 50 WHEN 'data.search' THEN 100 ELSE 100 END AS BIGINT) AS rest FROM q
+      UNION ALL SELECT r.tenant_id, r.provider, r.account_id, q.step, CASE WHEN q.tokens <= r.rest THEN r.rest - q.tokens ELSE r.rest END FROM r JOIN q ON q.tenant_id = r.tenant_id AND q.provider = r.provider AND q.account_id = r.account_id AND q.step = r.step + 1)
+    SELECT tenant_id, provider, account_id, '2024-01-01' AS day, arg_max(rest, step) AS tokens_remaining FROM r GROUP BY 1, 2, 3""", ("send_requests",))
 def _(v):
     one_day = v.send_requests.withColumn("at", F.col("requested_at")).withColumn("requested_at", F.lit("2024-01-01").cast("timestamp"))
     granted = A.admit(one_day, ["at", "request_id"])

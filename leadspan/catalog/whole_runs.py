@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from leadspan.catalog import discovery as DC
 from leadspan.catalog import linkage as LK
 from leadspan.catalog import reports as RP
+from leadspan.catalog import snippets as S
 from leadspan.catalog.registry import query
 from leadspan.catalog.scalars import FUND, SCORED_SQL
 from leadspan.functions import scoring as G
@@ -148,8 +150,13 @@ def _mined(v):
     return mining.mine(q, v.mined_people, contacts, companies, cursors, at, target=waiting + 60)
 
 
-# keeps and stops like a one-by-one run: compared with one in the tests
-@query("mine_profiles")
+# pages of a hundred results in query order, until enough new people wait; the oldest are delivered with what is known of them
+@query("mine_profiles", f"""WITH RECURSIVE {DC.FIRST_COME}, p AS (SELECT *, CAST(substr(query_hash, 2) AS INTEGER) AS query_no, ordinal // 9 // 100 AS page FROM new_profiles), n AS (SELECT count(*) AS n FROM mined_people WHERE status = 'seen'),
+    pg AS (SELECT query_no, page, count(*) FILTER (ordinal IN (SELECT ordinal FROM fc WHERE kept)) AS fresh FROM p GROUP BY 1, 2),
+    tk AS (SELECT query_no, page FROM (SELECT *, coalesce(sum(fresh) OVER (ORDER BY query_no, page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM pg) x WHERE before < 60),
+    m AS (SELECT mined_id, rr_id, name, linkedin_url, first_seen_at FROM mined_people WHERE status = 'seen' UNION ALL SELECT p.ordinal, rr_id, name, linkedin_url, TIMESTAMP '2024-02-01' FROM p JOIN tk ON tk.query_no = p.query_no AND tk.page = p.page WHERE p.ordinal IN (SELECT ordinal FROM fc WHERE kept)),
+    due AS (SELECT * FROM m ORDER BY first_seen_at, mined_id LIMIT (SELECT n + 60 FROM n)), ct AS (SELECT CASE WHEN rr_id IS NOT NULL THEN 'rr:' || rr_id ELSE 'li:' || {S.linkedin('linkedin_url')} END AS key, arg_min('p' || ordinal || '@x.com', ordinal) AS email FROM profiles GROUP BY 1)
+    SELECT mined_id, rr_id, name, email FROM (SELECT *, CASE WHEN rr_id IS NOT NULL THEN 'rr:' || rr_id ELSE 'li:' || {S.linkedin('linkedin_url')} END AS key FROM due) d LEFT JOIN ct ON ct.key = d.key""", ("new_profiles", "mined_people", "profiles"))
 def _(v):
     return _mined(v)["delivered"].select("mined_id", "rr_id", "name", "email")
 
