@@ -33,6 +33,7 @@ class WordEncoder:
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.known: dict[str, bytes] = {"": b""}
         self.pieces: dict[str, bytes] = {}
+        self.bpe = self.tokenizer.model.tokenize
         as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.spelled = str.maketrans({c: as_bytes.pre_tokenize_str(c)[0][0] for c in LETTERS})
         self.stops = {c: self._whole(c) for c in ".,"} | {"": b""}
@@ -41,7 +42,7 @@ class WordEncoder:
         return array(self.code, ids).tobytes()
 
     def _piece(self, spelled: str) -> bytes:
-        return self._packed([t.id for t in self.tokenizer.model.tokenize(spelled)])
+        return self._packed([t.id for t in self.bpe(spelled)])
 
     def _whole(self, word: str) -> bytes:
         return self._packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
@@ -66,10 +67,9 @@ class WordEncoder:
             stem, stop = plain.groups()
             found = self.known.get(stem) if stop else None
             if found is None:
-                found = self._piece(stem.translate(self.spelled))
-                if stop and len(self.known) < REMEMBERED_WORDS:
-                    self.known[stem] = found
-            found += self.stops[stop]
+                found = array(self.code, [t.id for t in self.bpe(stem if stem.isascii() else stem.translate(self.spelled))]).tobytes()
+            if stop:
+                found += self.stops[stop]
         if len(self.known) < REMEMBERED_WORDS:
             self.known[word] = found
         return found
@@ -86,8 +86,10 @@ class WordEncoder:
             latin = False
         words = text.replace("\n", " ").split(" ")
         out = list(map(self.known.get, words))
-        if None in out:
-            out = [self.known.get(w) or self._word(w, latin) if ids is None else ids for w, ids in zip(words, out)]
+        at = -1
+        for _ in range(out.count(None)):
+            at = out.index(None, at + 1)
+            out[at] = self._word(words[at], latin)
         return b"".join(out)
 
 
