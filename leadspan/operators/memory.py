@@ -131,10 +131,11 @@ def retrieve(
         rows = rows.withColumn("similarity", F.lit(None).cast("double"))
     slim = rows.select("query_id", "node_id", "keyword", "similarity", "tokens_needed", "created_at", *rerank_terms(now))
     slim = slim.withColumn("_newer", -F.unix_micros("created_at"))
-    place = (lambda df, score, name: ordinals(df.withColumn("_s", -F.coalesce(F.col(score), F.lit(-9.0))), ["query_id"], ["_s", "_newer", "node_id"], name).drop("_s")) if anchors is not None else (
-        lambda df, score, name: df.withColumn(name, F.row_number().over(Window.partitionBy("query_id").orderBy(F.col(score).desc_nulls_last(), "_newer", "node_id")) - 1)
-    )
-    ranked = place(place(slim, "keyword", "_k"), "similarity", "_d")
+    ranked = _keyword_places(slim)
+    if embeddings is None:
+        ranked = ranked.withColumn("_d", F.lit(None).cast("bigint"))
+    else:
+        ranked = ordinals(ranked.withColumn("_s", -F.coalesce(F.col("similarity"), F.lit(-9.0))), ["query_id"], ["_s", "_newer", "node_id"], "_d")
     keyword_rank = F.when(F.col("keyword") > 0, F.col("_k") + 1)
     dense = F.when(F.col("similarity").isNotNull(), F.col("_d") + 1)
     part = lambda r: F.coalesce(1.0 / (60.0 + r), F.lit(0.0))
@@ -146,6 +147,22 @@ def retrieve(
     return take_budget(best, token_budget).select("query_id", "node_id", "position", "score", "rrf", "keyword_rank", "dense_rank", "tokens_needed")
 
 
+def _keyword_places(rows: DataFrame) -> DataFrame:
+    """Position ``_k`` of every hit among its query's, by score, then newest, then node.
+
+    Hits of equal score are numbered among themselves and shifted by the number of better ones, which comes from counts per
+    score: no task gets all hits of a query.
+    """
+    counts = rows.filter("keyword > 0").groupBy("query_id", "keyword").agg(F.count(F.lit(1)).alias("_n"))
+    better = Window.partitionBy("query_id").orderBy(F.col("keyword").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("query_id", "keyword", F.coalesce(F.sum("_n").over(better), F.lit(0)).alias("_before"))
+    # rows without a hit have no place and are spread out
+    apart = rows.withColumn("_slot", F.when(F.col("keyword") > 0, 0).otherwise(F.pmod(F.xxhash64("node_id"), F.lit(1024))))
+    equal = Window.partitionBy("query_id", "keyword", "_slot").orderBy("_newer", "node_id")
+    numbered = apart.withColumn("_tie", F.row_number().over(equal)).join(before, ["query_id", "keyword"], "left")
+    return numbered.select(*rows.columns, (F.col("_before") + F.col("_tie") - 1).alias("_k"))
+
+
 def _keyword_scores(queries: DataFrame, nodes: DataFrame, chosen: DataFrame | None) -> DataFrame:
     """Keyword score of each candidate with at least one hit.
 
