@@ -373,8 +373,8 @@ def _(v):
     SELECT contact_id FROM contacts c WHERE NOT EXISTS (SELECT 1 FROM x WHERE contains(lower(coalesce(c.company, '')), x.term) OR contains(lower(coalesce(c.industry, '')), x.term))""", ("contacts", "suppression"))
 def _(v):
     known = v.suppression.filter("company IS NOT NULL").groupBy("company").agg(F.count(F.lit(1)).alias("n"))
-    mean = known.agg(F.avg("n").alias("mean"))
-    return FL.gate_company(v.contacts, known.join(mean, F.col("n") > F.col("mean")).select(F.col("company").alias("term"))).select("contact_id")
+    many = known.filter(F.col("n") > known.agg(F.avg("n")).scalar())
+    return FL.gate_company(v.contacts, many.select(F.col("company").alias("term"))).select("contact_id")
 
 
 @query("gate_score", f"WITH {SCORED_SQL} SELECT contact_id, icp_score FROM scored WHERE coalesce(icp_score, 0) >= 50", ("contacts",))
