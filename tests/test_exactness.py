@@ -12,7 +12,9 @@ from leadspan.operators.ledger import filter_new, first_come
 from leadspan.operators.linkage import DedupConfig, dedup_leads
 from leadspan.operators.ranking import ordinals, top_k
 from leadspan.operators.simjoin import dice_join
+from leadspan.operators import vectors as vectors_module
 from leadspan.operators.vectors import similar_clusters
+from leadspan.session import cut_lineage
 
 
 def grams(s):
@@ -151,6 +153,24 @@ def test_vector_clusters_are_exact(spark):
     assert got == vectors_by_force(vectors, 0.85)
 
 
+def test_vectors_without_structure_are_not_copied_per_block(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=32).astype(np.float32).tolist()) for i in range(900)]
+    rows += [(5000 + i, [x + 0.01 for x in rows[i][1]]) for i in range(40)]
+    df, stored = spark.createDataFrame(rows, "node_id long, vector array<float>"), []
+
+    def counted(d):
+        out = cut_lineage(d)
+        stored.append(out.count())
+        return out
+
+    monkeypatch.setattr(vectors_module, "cut_lineage", counted)
+    links = vectors_module.similar_links(df, 0.85, tile=100)
+    got = {r.node: r.component for r in connected_components(links).collect()}
+    assert got == vectors_by_force(rows, 0.85)
+    assert max(stored) <= len(rows)
+
+
 def test_components_of_a_long_chain(spark):
     pairs = spark.range(60).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).union(spark.createDataFrame([(200, 100), (100, 300)], "a long, b long"))
     got = {r.node: r.component for r in connected_components(pairs).collect()}
