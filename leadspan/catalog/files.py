@@ -134,6 +134,9 @@ def _(v):
     return X.result_rows(v.part.select("p_partkey", "p_brand"), "set1", ["p_partkey"])
 
 
+RECORDS = 10_000  # of one file, a few MB: a file is read by one task, and each costs a task and a commit
+
+
 def _folder(v, name: str) -> str:
     return f"{ensure_checkpoint_dir(v.contacts.sparkSession)}/{name}-{uuid.uuid4().hex}"
 
@@ -166,10 +169,10 @@ def _(v):
 
 
 def _record_files(v, key: str, people: DataFrame) -> str:
-    """Files with one object each, which holds up to a hundred records under ``key``."""
+    """Files with one object each, which holds the records of ``RECORDS`` numbers in a row under ``key``."""
     folder = _folder(v, key)
     record = F.struct(*[c for c in people.columns if c != "no"])
-    arrays = people.groupBy(F.floor(F.col("no") / 100).alias("_file")).agg(F.to_json(F.struct(F.collect_list(record).alias(key))).alias("value"))
+    arrays = people.groupBy(F.floor(F.col("no") / RECORDS).alias("_file")).agg(F.to_json(F.struct(F.collect_list(record).alias(key))).alias("value"))
     arrays.select("value").write.option("maxRecordsPerFile", 1).text(folder)
     return folder
 

@@ -238,3 +238,14 @@ def test_outline_of_a_long_document(spark):
         want[line] = want[line + 1] = list(path)
         line += 2
     assert len(rows) > 1000 and all(r.heading_path == want[r.end_line] for r in rows)
+
+
+def test_files_of_records_are_few(spark):
+    from leadspan.catalog import files
+    from leadspan.catalog.views import Views
+    from leadspan.sources.files import read_visitors
+
+    people = spark.range(3000).select(F.col("id").alias("no"), F.concat(F.lit("p"), "id").alias("providerId"))
+    folder = files._record_files(Views(spark, "/root/testdata/sf0.001"), "visitors", people)
+    assert spark.read.text(folder, wholetext=True).count() == 1
+    assert sorted(r.provider_id for r in read_visitors(spark, folder).select("provider_id").collect()) == sorted(f"p{i}" for i in range(3000))
