@@ -16,6 +16,8 @@ from leadspan.functions import similarity as SIM
 from leadspan.functions.stats import js_round
 from leadspan.operators import filters as FL
 from leadspan.operators import reports as R
+from leadspan.operators.ranking import computed
+from leadspan.session import spread
 
 BOOL = "CAST({} AS INTEGER)"
 
@@ -94,7 +96,7 @@ def _(v):
       round(CASE WHEN x = z THEN 1.0 WHEN contains(x, z) OR contains(z, x) THEN 0.85 ELSE {S.dice_sets(S.bigrams('x'), S.bigrams('z'))} END, 6) AS to_short FROM names""")
 def _(v):
     short = F.concat(F.substring("p_name", 1, 4), F.lit(" "), F.col("p_brand"))
-    return v.part.select(
+    return spread(v.part.select("p_partkey", "p_name", "p_type", "p_brand")).select(
         "p_partkey", F.round(SIM.field_sim(F.col("p_name"), F.col("p_type")), 6).alias("to_type"), F.round(SIM.field_sim(F.col("p_name"), short), 6).alias("to_short")
     )
 
@@ -128,8 +130,9 @@ QUERY_TEXT = "the nation of that queue reading"
     round(CASE WHEN len(tk) = 0 THEN 0.0 ELSE len(list_distinct(list_intersect(tk, {S.tokens(S.quoted(QUERY_TEXT))}))) / greatest(1, log2(len(tk) + 2)) END, 6) AS score
     FROM (SELECT doc_id, {S.tokens('text')} AS tk FROM documents) d""")
 def _(v):
-    q, t = F.array_distinct(N.tokens(F.lit(QUERY_TEXT))), N.tokens(F.col("text"))
-    return v.documents.select(
+    read = computed(v.documents.select("doc_id", "text"), _q=F.array_distinct(N.tokens(F.lit(QUERY_TEXT))), _t=N.tokens(F.col("text")))
+    q, t = F.col("_q"), F.col("_t")
+    return read.select(
         "doc_id", F.size(t).alias("token_count"), F.array_join(F.array_sort(F.array_intersect(t, q)), ",").alias("hits"), F.round(SIM.keyword_score(q, t), 6).alias("score")
     )
 

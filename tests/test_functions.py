@@ -138,3 +138,22 @@ def test_step_conditions(spark):
     check = lambda t: row.select(C.step_condition(t).alias("x")).first().x
     assert check("") and check(None) and check("connected_linkedin AND !replied_any") and check("!replied_email AND (opened_email OR sent_email)")
     assert not check("no_such_name") and not check("! AND sent_email") and check("opened_email AND replied_email OR sent_email")
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_field_names_are_cleaned_once(spark):
+    from leadspan.functions.similarity import field_sim
+
+    df = spark.createDataFrame([("First Name", "first_name"), ("Name", "Full Name"), ("Mobile", "Mobility"), (None, "x")], "a string, b string")
+    out = df.select(field_sim(F.col("a"), F.col("b")).alias("s"))
+    assert [round(r.s, 6) for r in out.collect()] == [1.0, 0.85, round(2 * 4 / (5 + 7), 6), 0.85]
+    assert plan_of(out).count("regexp_replace(") <= 8
+
+
+def test_keyword_query_reads_tokens_once(spark):
+    from leadspan.catalog import load_all
+
+    assert plan_of(load_all()[0]["keyword_score"](spark, "/root/testdata/sf0.001")).count("split(") <= 2
