@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from leadspan.functions.normalize import email_domain, norm_email, norm_linkedin, text
 from leadspan.functions.stats import js_round
-from leadspan.operators.simjoin import as_text, dice_join
+from leadspan.operators.simjoin import as_text, best_dice
 
 # Order in which matchers win ties on the same suppression row.
 MATCHERS = ["email", "linkedin", "fuzzy_name_company", "domain_title"]
@@ -66,12 +66,9 @@ def match_candidates(leads: DataFrame, suppression: DataFrame, lead_id: str, con
         has_all = F.col(value) != ""
         for k in keys:
             has_all = has_all & (F.col(k) != "")
-        pairs = dice_join(left.filter(has_all).select("tenant_id", *named), right.filter(has_all).select("tenant_id", *named), threshold, ["tenant_id", *keys])
-        firsts = _first_entries(right, [*keys, value]).withColumnRenamed(value, "right_text")
-        scored = pairs.join(firsts, ["tenant_id", *keys, "right_text"]).withColumn("confidence", confidence(F.col("score")).cast("bigint"))
-        best = scored.groupBy("tenant_id", *keys, F.col("left_text").alias(value)).agg(F.max(F.struct("confidence", (-F.col("ord")).alias("o"))).alias("b"))
-        hits = left.filter(has_all).select("tenant_id", lead_id, *keys, value).join(best, ["tenant_id", *keys, value])
-        found.append(hits.select("tenant_id", lead_id, F.lit(matcher).alias("matcher"), F.col("b.confidence").alias("confidence"), (-F.col("b.o")).alias("ord")))
+        best = best_dice(left.filter(has_all).select("tenant_id", *named), _first_entries(right, [*keys, value]).withColumnRenamed(value, "text"), threshold, confidence, ["tenant_id", *keys])
+        hits = left.filter(has_all).select("tenant_id", lead_id, *keys, value).join(best.withColumnRenamed("text", value), ["tenant_id", *keys, value])
+        found.append(hits.select("tenant_id", lead_id, F.lit(matcher).alias("matcher"), "confidence", "ord"))
 
     if "email" in config.matchers:
         exact("email", "_email", 100)

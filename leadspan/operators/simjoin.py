@@ -13,12 +13,14 @@ the overlap) and by bit maps of the sets, which differ in at most |A| + |B| - 2
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadspan.operators.ranking import computed
+from leadspan.session import cut_lineage, ensure_checkpoint_dir
 
 # Stands for a text too short to have a piece; such texts match each other with 1.
 NO_PIECES = -1
@@ -26,6 +28,9 @@ NO_PIECES = -1
 ALONE = -2
 CODE_SPACE = 1 << 21
 WORDS = ("s0", "s1", "s2", "s3")  # of a text's bit map
+# Best matches are looked for by falling thresholds, unless this many pairs of texts or fewer are left.
+STEPS = (0.97, 0.94, 0.91, 0.87, 0.82, 0.75)
+FEW_PAIRS = 300_000_000
 
 
 def _codes(text: Column) -> Column:
@@ -35,8 +40,21 @@ def _codes(text: Column) -> Column:
     return F.when(F.length(text) >= 2, F.array_distinct(codes)).otherwise(F.array(F.lit(NO_PIECES).cast("bigint")))
 
 
-def _pieces(texts: DataFrame) -> DataFrame:
-    return texts.withColumn("pieces", _codes(F.col("text")))
+def _pieces(texts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Distinct texts with their pieces, over all tasks: texts are few bytes but much work."""
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return computed(texts.select(*keys, "text").repartition(tasks, *keys, "text").distinct(), pieces=_codes(F.col("text")))
+
+
+def _frequency(*sides: DataFrame) -> DataFrame:
+    """(piece, n) over all sides, stored: Spark sees that a small one is small, so texts need not move to meet it."""
+    found = sides[0].select("pieces")
+    for more in sides[1:]:
+        found = found.union(more.select("pieces"))
+    counted = found.select(F.explode("pieces").alias("piece")).groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    folder = f"{ensure_checkpoint_dir(counted.sparkSession)}/pieces-{uuid.uuid4().hex}"
+    counted.write.parquet(folder)
+    return counted.sparkSession.read.parquet(folder)
 
 
 def _rarest_first(texts: DataFrame, frequency: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -61,7 +79,7 @@ def _small(threshold: float) -> int:
     return math.ceil(2 / threshold - 1e-9)
 
 
-def _signatures(side: DataFrame, threshold: float, keys: Sequence[str]) -> DataFrame:
+def _signatures(side: DataFrame, threshold: float, keys: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
     """One row per join key of a text: pairs of prefix pieces, and single pieces where small sets are involved; ``rest`` pieces
     come after those of the key."""
     n = F.col("n")
@@ -77,7 +95,7 @@ def _signatures(side: DataFrame, threshold: float, keys: Sequence[str]) -> DataF
     )
     none = F.array().cast("array<struct<k1:bigint,k2:bigint,rest:int>>")
     keyed = F.concat(F.when(n <= reach, single).otherwise(none), F.when(n >= _small(threshold), pairs).otherwise(none))
-    return side.select(*keys, "text", "n", *WORDS, F.inline(keyed))
+    return side.select(*keys, "text", *carry, "n", *WORDS, F.inline(keyed))
 
 
 def dice_join(left: DataFrame, right: DataFrame, threshold: float, keys: Sequence[str] = ()) -> DataFrame:
@@ -89,30 +107,67 @@ def dice_join(left: DataFrame, right: DataFrame, threshold: float, keys: Sequenc
     Rows of the join are a text, a size, a position and a bit map. A pair goes on only if the pieces of the key and those after
     it are enough for the overlap its sizes need, and if the bit maps differ in no more places than the sets may.
     """
-    lt = _pieces(left.select(*keys, "text").distinct())
-    rt = _pieces(right.select(*keys, "text").distinct())
-    frequency = lt.select("pieces").union(rt.select("pieces")).select(F.explode("pieces").alias("piece")).groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
-    pairs = candidate_pairs(_rarest_first(lt, frequency, keys), _rarest_first(rt, frequency, keys), threshold, keys)
-    a, b = _codes(F.col("left_text")), _codes(F.col("right_text"))
-    score = 2.0 * F.size(F.array_intersect(a, b)) / (F.size(a) + F.size(b))
-    return computed(pairs, score=score).filter(F.col("score") >= F.lit(threshold))
+    lt, rt = _pieces(left, keys), _pieces(right, keys)
+    frequency = _frequency(lt, rt)
+    return _scored(candidate_pairs(_rarest_first(lt, frequency, keys), _rarest_first(rt, frequency, keys), threshold, keys), threshold)
+
+
+def _scored(pairs: DataFrame, threshold: float) -> DataFrame:
+    sets = computed(pairs, _a=_codes(F.col("left_text")), _b=_codes(F.col("right_text")))
+    score = 2.0 * F.size(F.array_intersect("_a", "_b")) / (F.size("_a") + F.size("_b"))
+    return computed(sets, score=score).drop("_a", "_b").filter(F.col("score") >= F.lit(threshold))
 
 
-def candidate_pairs(a: DataFrame, b: DataFrame, threshold: float, keys: Sequence[str]) -> DataFrame:
-    """(keys, left_text, right_text), once each: pairs that share a key and pass the bounds; all similar pairs are among them."""
+def best_dice(left: DataFrame, right: DataFrame, threshold: float, confidence: Callable[[Column], Column], keys: Sequence[str] = ()) -> DataFrame:
+    """Of all pairs of ``dice_join`` the best for each left text: keys, ``text``, ``confidence``, ``ord``.
+
+    ``right`` has an ``ord`` per text besides, the smaller one wins among equal confidence, which must not fall as the score
+    rises. Thresholds fall step by step: a text with a match of more confidence than the threshold itself has its best match
+    among what was found and does not go on. So pairs far below a text's best match are never made, and long prefixes are
+    made only for texts without a near match.
+    """
+    lt, rt = _pieces(left, keys), _pieces(right, keys)
+    frequency = _frequency(lt, rt)
+    a = cut_lineage(_rarest_first(lt, frequency, keys))
+    b = cut_lineage(_rarest_first(rt, frequency, keys).join(right.groupBy(*keys, "text").agg(F.min("ord").alias("ord")), [*keys, "text"]))
+    on, found, steps = [*keys, "text"], [], [*[t for t in STEPS if t > threshold], threshold]
+    n_left, n_right = a.count(), b.count()
+    while True:
+        step = threshold if n_left * n_right <= FEW_PAIRS else steps.pop(0)
+        pairs = _scored(candidate_pairs(a, b, step, keys, ["ord"]), step)
+        scored = pairs.select(*keys, F.col("left_text").alias("text"), F.struct(confidence(F.col("score")).cast("bigint").alias("confidence"), (-F.col("ord")).alias("o")).alias("b"))
+        best = scored.groupBy(*on).agg(F.max("b").alias("b"))
+        if step == threshold:
+            found.append(best)
+            break
+        settled = cut_lineage(best.filter(F.col("b.confidence") > confidence(F.lit(step)).cast("bigint")))
+        found.append(settled)
+        a = cut_lineage(a.join(settled, on, "left_anti"))
+        n_left = a.count()
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    return out.select(*on, F.col("b.confidence").alias("confidence"), (-F.col("b.o")).alias("ord"))
+
+
+def candidate_pairs(a: DataFrame, b: DataFrame, threshold: float, keys: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
+    """(keys, left_text, right_text), once each: pairs that share a key and pass the bounds; all similar pairs are among them.
+
+    ``carry``: columns of the right side that go along.
+    """
     # the rows are few but many pairs may meet: fix the number of tasks, so they are not merged by their bytes
     tasks = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sides = []
-    for side, df in (("l", a), ("r", b)):
+    for side, df, more in (("l", a, ()), ("r", b, carry)):
         named = [F.col(c).alias(f"{side}_{c}") for c in ("text", "n", "rest", *WORDS)]
-        sides.append(_signatures(df, threshold, keys).select(*keys, "k1", "k2", *named).repartition(tasks, *keys, "k1", "k2"))
+        sides.append(_signatures(df, threshold, keys, more).select(*keys, "k1", "k2", *named, *more).repartition(tasks, *keys, "k1", "k2"))
     joined = sides[0].join(sides[1], [*keys, "k1", "k2"])
     both = F.col("l_n") + F.col("r_n")
     in_key = F.when(F.col("k2") == ALONE, 1).otherwise(2)
     enough = 2 * (in_key + F.least("l_rest", "r_rest")) >= both * threshold - 1e-9
     differ = sum((F.bit_count(F.col(f"l_{w}").bitwiseXOR(F.col(f"r_{w}"))) for w in WORDS[1:]), F.bit_count(F.col(f"l_{WORDS[0]}").bitwiseXOR(F.col(f"r_{WORDS[0]}"))))
     near = differ <= both * (1 - threshold) + 1e-9
-    return joined.filter(enough & near).select(*keys, F.col("l_text").alias("left_text"), F.col("r_text").alias("right_text")).distinct()
+    return joined.filter(enough & near).select(*keys, F.col("l_text").alias("left_text"), F.col("r_text").alias("right_text"), *carry).distinct()
 
 
 def as_text(c: Column) -> Column:

@@ -1,5 +1,6 @@
 """Distributed forms against one-by-one Python, on random data and with one hot group."""
 
+import math
 import random
 from collections import defaultdict
 
@@ -11,8 +12,9 @@ from leadspan.operators.graph import canonical_head, connected_components
 from leadspan.operators.ledger import filter_new, first_come
 from leadspan.operators.linkage import DedupConfig, dedup_leads
 from leadspan.operators.ranking import ordinals, top_k
-from leadspan.operators.simjoin import dice_join
+from leadspan.operators import simjoin
 from leadspan.operators import vectors as vectors_module
+from leadspan.operators.simjoin import candidate_pairs, dice_join
 from leadspan.operators.vectors import similar_clusters
 from leadspan.session import cut_lineage
 
@@ -52,6 +54,39 @@ def test_dice_join_loses_no_pair(spark):
         assert all(abs(got[k] - want[k]) < 1e-12 for k in want)
 
 
+def test_best_matches_by_falling_thresholds(spark, monkeypatch):
+    random.seed(8)
+    words = ["acme", "globex", "ada", "grace", "hopper", "turing", "labs", "x", "99", "corp"]
+    names = [" ".join(random.choices(words, k=random.randint(1, 4))) + random.choice(["", "s", " 1", " 2", " 12"]) for _ in range(160)]
+    left, right = names[:80], [(n, i) for i, n in enumerate(names[60:])]
+    level = lambda s: math.floor(s * 20 + 0.5)  # noqa: E731 - coarse, so that matches below a step tie with those above
+    want = {}
+    for a in set(left):
+        hits = [(-level(dice(a, b)), i) for b, i in right if dice(a, b) >= 0.5]
+        if hits:
+            want[a] = (-min(hits)[0], min(hits)[1])
+    met = []
+
+    def noted(*args):
+        met.append(candidate_pairs(*args))
+        return met[-1]
+
+    monkeypatch.setattr(simjoin, "candidate_pairs", noted)
+    lefts, rights = spark.createDataFrame([(x,) for x in left], "text string"), spark.createDataFrame(right, "text string, ord long")
+    for few in (0, simjoin.FEW_PAIRS):
+        monkeypatch.setattr(simjoin, "FEW_PAIRS", few)
+        met.clear()
+        got = simjoin.best_dice(lefts, rights, 0.5, lambda s: F.floor(s * 20 + 0.5))
+        assert {r.text: (r.confidence, r.ord) for r in got.collect()} == want
+        assert len(met) == (1 if few else len(simjoin.STEPS) + 1)
+        pairs = [m.count() for m in met]
+    # the last run makes all pairs at once, the steps make fewer
+    monkeypatch.setattr(simjoin, "FEW_PAIRS", 0)
+    met.clear()
+    simjoin.best_dice(lefts, rights, 0.5, lambda s: F.floor(s * 100 + 0.5)).count()
+    assert sum(m.count() for m in met) < pairs[0]
+
+
 def test_dice_join_gives_each_pair_once(spark):
     texts = spark.createDataFrame([("a",), ("b",), ("anna acme corp",), ("anne acme corp",)], "text string")
     rows = [(r.left_text, r.right_text) for r in dice_join(texts, texts, 0.5).collect()]
