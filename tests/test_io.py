@@ -5,6 +5,7 @@ import hashlib
 import json
 import math
 import os
+import random
 import re
 
 import pytest
@@ -249,3 +250,27 @@ def test_files_of_records_are_few(spark):
     folder = files._record_files(Views(spark, "/root/testdata/sf0.001"), "visitors", people)
     assert spark.read.text(folder, wholetext=True).count() == 1
     assert sorted(r.provider_id for r in read_visitors(spark, folder).select("provider_id").collect()) == sorted(f"p{i}" for i in range(3000))
+
+
+def test_openings_without_closing_tag_take_no_long_time(spark):
+    import time
+
+    from leadspan.sources.html import ENTITIES, HTML_STEPS, MARK, html_to_markdown
+
+    def plain(c):
+        for pattern, replacement in HTML_STEPS:
+            c = F.regexp_replace(c, pattern, replacement)
+        for entity, char in ENTITIES:
+            c = F.replace(c, F.lit(entity), F.lit(char))
+        return F.btrim(F.regexp_replace(c, r"\n{3,}", "\n\n"))
+
+    random.seed(4)
+    parts = ["<b>", "</b>", "<B x>", "<body>", "<strong>", "</STRONG>", "<i>", "</i>", "<img a>", "<em>", "</em>", "<b", "</b", "x", " y ", "é", ">", "<", MARK, "<" + MARK + "b>"]
+    rows = [("".join(random.choices(parts[: len(parts) - (i % 2) * 2], k=random.randint(0, 14))),) for i in range(400)] + [(None,)]
+    got = spark.createDataFrame(rows, "h string").select(html_to_markdown(F.col("h")).alias("a"), plain(F.col("h")).alias("b")).collect()
+    assert all(r.a == r.b for r in got)
+    text = "<body>" + "<button>word</button><img x>some more words\n" * 12000
+    df = spark.createDataFrame([(text,)], "h string")
+    start = time.time()
+    assert df.select(html_to_markdown(F.col("h")).alias("t")).first().t.startswith("word")
+    assert time.time() - start < 10
