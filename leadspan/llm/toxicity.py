@@ -15,8 +15,11 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
+from operator import add, eq
 from typing import NamedTuple
 
 import numpy as np
@@ -41,11 +44,13 @@ SEPARATORS = " .-_*~'`,"
 SWAP, REPEAT, SEPARATE, KEEP_SPACE, DROP_EDGE, DROP, AS_IS = -1.0, -1.0, -0.5, -3.0, -1.0, -14.0, -15.0
 
 OUTER = ".,;:?\"'()[]{}«»“”‘’…–—"
-TRAIL = re.compile(r"([*%&$#!|<>~=-])\1*$")
+TRAILING = frozenset("*%&$#!|<>~=-")  # a run of one of them at the end
 LONG_RUN = re.compile(r"(.)\1+")
 SPACED = re.compile(r"(?<!\S)\S(?:[ ._-]\S){2,}(?!\S)")
+MAY_BE_SPACED = re.compile(r"\s\S[ ._-]\S[ ._-]\S")  # of which a text with a blank before it has one at least, and that is found faster
 MEANT = set(CODES) | set(LOOKS)
 REMEMBERED = 300_000  # tokens per worker
+HELD_FEATURES = 500_000  # of most evidence, at most about, that tasks hold; the others are met in a join
 
 LEAST = 2  # toxic documents that a feature must occur in, whatever the corpus
 HELD_ROWS = 500_000  # that a task holds before it hands them on
@@ -89,15 +94,45 @@ def character_model(docs: DataFrame, text_column: str = "text") -> np.ndarray:
     return np.log(after_two).astype(np.float32)
 
 
+def _settle(letters: list[str], path: tuple | None) -> None:
+    found = []
+    while path is not None:
+        path, out = path
+        found.append(out)
+    letters += reversed(found)
+
+
 class Restorer:
     def __init__(self, model: np.ndarray) -> None:
         self.model = model.tolist()
 
     def decode(self, token: str) -> str:
-        """The likeliest reading of a lower-case token; a space in it marks where a separator was kept."""
+        """The likeliest reading of a lower-case token; a space in it marks where a separator was kept.
+
+        Where all readings have come down to one state, its letters are settled and the next plain letters just follow.
+        """
+        model, last, i = self.model, len(token) - 1, 0
+        letters: list[str] = []
         states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}  # readings as (rest, last letter)
-        last = len(token) - 1
-        for i, ch in enumerate(token):
+        while i <= last:
+            if len(states) == 1:
+                (((a, b), (score, path)),) = states.items()
+                _settle(letters, path)
+                while i <= last and (code := CODES.get(token[i])):
+                    if not i or token[i] != token[i - 1]:
+                        score += model[a][b][code]
+                        letters.append(token[i])
+                        a, b, i = b, code, i + 1
+                    elif i < last and a != b == code != (following_code := CODES.get(token[i + 1], code)):  # twice the same letter, then another
+                        kept, once = score + model[a][b][b] + model[b][b][following_code], score + REPEAT + model[a][b][following_code]
+                        letters += token[i + 1] if once > kept else token[i : i + 2]
+                        score, a, b, i = max(kept, once), b, following_code, i + 2
+                    else:
+                        break
+                states = {(a, b): (score, None)}
+                if i > last:
+                    break
+            ch = token[i]
             if ch in CODES:
                 options = [(ch, 0.0)]
             else:
@@ -107,27 +142,24 @@ class Restorer:
                 options.append(("", REPEAT))
             following: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (score, path) in states.items():
+                after = model[a][b]
                 for out, cost in options:
                     if out:
                         code = CODES.get(out, 0)
-                        state, value = (b if code else 0, code), score + cost + self.model[a][b][code]
+                        state, value = (b if code else 0, code), score + cost + after[code]
                     else:
                         state, value = (a, b), score + cost
                     if state not in following or value > following[state][0]:
                         following[state] = (value, (path, out) if out else path)
-            states = following
-        path = max(((score + self.model[a][b][0], path) for (a, b), (score, path) in states.items()), key=lambda r: r[0])[1]
-        letters = []
-        while path is not None:
-            path, out = path
-            letters.append(out)
-        return "".join(reversed(letters))
+            states, i = following, i + 1
+        _settle(letters, max(((score + model[a][b][0], path) for (a, b), (score, path) in states.items()), key=lambda r: r[0])[1])
+        return "".join(letters)
 
     def words(self, token: str) -> list[str]:
         """Restored words of one lower-case token."""
         core = token.strip(OUTER)
-        plain = TRAIL.sub("", core)
-        if plain.isalpha() and not LONG_RUN.search(plain):
+        plain = core.rstrip(core[-1]) if core and core[-1] in TRAILING else core
+        if plain.isalpha() and True not in map(eq, plain, plain[1:]):  # no run of a letter
             return [plain] if plain == core or plain + "!" != core else [plain, *self.decode(core).split()]
         if len(core) < 2 or MEANT.isdisjoint(core):
             return [plain] if plain else []
@@ -135,7 +167,7 @@ class Restorer:
 
     def spaced(self, text: str) -> list[str]:
         """Words spelt with a separator after each character."""
-        return [w for m in SPACED.finditer(text) for w in self.decode(m[0]).split()] if SPACED.search(text) else []
+        return [w for m in SPACED.finditer(text) for w in self.decode(m[0]).split()] if MAY_BE_SPACED.search(" " + text) else []
 
 
 def features(word: str) -> list[str]:
@@ -195,47 +227,99 @@ def _hash(feature: str) -> int:
     return xxhash.xxh64_intdigest(feature.encode("utf-8", "surrogatepass"), 42)
 
 
+class Bits:
+    """Features that may be in a bit map."""
+
+    def __init__(self, words: np.ndarray) -> None:
+        self.bits = words.astype("<u8").tobytes()
+
+    def may(self, place: int) -> int:
+        return self.bits[place >> 3] >> (place & 7) & 1
+
+
 class Chooser(Reader):
     """Documents as features, with a bit map only those whose hash may be in it."""
 
     def __init__(self, model: np.ndarray, bits: np.ndarray | None = None) -> None:
         super().__init__(model)
-        self.bits, self.chosen = bits, {}
-
-    def _may(self, feature: str) -> bool:
-        place = _hash(feature) >> (64 - MAP_BITS)
-        return bool(int(self.bits[place >> 6]) >> (place & 63) & 1)
+        self.bits, self.chosen = bits if bits is None else Bits(bits), {}
 
-    def _choose(self, words: list[str]) -> list[tuple[str, str]]:
-        return [(w, f) for w in words for f in features(w) if self.bits is None or self._may(f)]
+    def _choose(self, words: list[str]) -> list[str]:
+        return [f for w in words for f in features(w) if self.bits is None or self.bits.may(_hash(f) >> (64 - MAP_BITS))]
 
-    def pairs(self, text: str | None) -> set[tuple[str, str]]:
-        """(word, feature) of a document."""
+    def features(self, text: str | None) -> set[str]:
         lower, out = (text or "").lower(), set()
         for token in set(lower.split()):
             some = self.chosen.get(token)
             if some is None:
-                some = self._choose(self.restorer.words(token))
+                some = tuple(self._choose(self.restorer.words(token)))  # the garbage collector leaves tuples of texts alone
                 if len(self.chosen) < REMEMBERED:
                     self.chosen[token] = some
-            out.update(some)
+            if some:
+                out.update(some)
         out.update(self._choose(self.restorer.spaced(lower)))
         return out
 
 
+class Valuer(Reader):
+    """Documents as their words with evidence: that of held features, and a bit map of those that are not held."""
+
+    def __init__(self, model: np.ndarray, held: dict[str, float], rest: np.ndarray | None) -> None:
+        super().__init__(model)
+        self.held, self.rest, self.valued = held, rest if rest is None else Bits(rest), {}
+
+    def _value(self, words: list[str]) -> list[tuple[str, float, tuple[str, ...]]]:
+        """(word, its most evidence from held features or 0, features that may be among the others)."""
+        out, get = [], self.held.get
+        for w in words:
+            best, others, size = get(w, 0.0), (), len(w)
+            for n in STEMS:
+                if size > n and (e := get(w[:n] + "*", 0.0)) > best:
+                    best = e
+            if self.rest:
+                others = tuple(f for f in features(w) if f not in self.held and self.rest.may(_hash(f) >> (64 - MAP_BITS)))
+            if best or others:
+                out.append((w, best, others))
+        return out
+
+    def told(self, text: str | None) -> dict[str, tuple[float, tuple[str, ...]]]:
+        lower, out = (text or "").lower(), {}
+        for token in set(lower.split()):
+            some = self.valued.get(token)
+            if some is None:
+                some = tuple(self._value(self.restorer.words(token)))
+                if len(self.valued) < REMEMBERED:
+                    self.valued[token] = some
+            for w, best, others in some:
+                out[w] = best, others
+        for w, best, others in self._value(self.restorer.spaced(lower)):
+            out[w] = best, others
+        return out
+
+
+_LAST: dict[str, tuple[str, Reader]] = {}  # of this worker, so that the next task knows what the last one has restored
+
+
+def _reader(kind: type[Reader], key: str, *parts) -> Reader:
+    if _LAST.get(kind.__name__, ("",))[0] != key:
+        _LAST[kind.__name__] = key, kind(*parts)
+    return _LAST[kind.__name__][1]
+
+
 def _tally(rows: DataFrame, trigrams, bits=None) -> DataFrame:
     """(feature, a, b): toxic and clean documents that have each feature; with ``bits`` only of features that may be in it."""
+    key = uuid.uuid4().hex
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader, total = Chooser(trigrams.value, bits and bits.value), Counter()
+        reader, total = _reader(Chooser, key, trigrams.value, bits and bits.value), {}
 
         def table() -> pd.DataFrame:
-            return pd.DataFrame([(f, n * y, n * (1 - y)) for (f, y), n in total.items()], columns=["feature", "a", "b"])
+            return pd.DataFrame([(f, n * y, n * (1 - y)) for y, counted in total.items() for f, n in counted.items()], columns=["feature", "a", "b"])
 
         for batch in batches:
             for text, toxic in zip(batch["text"], batch["toxic"]):
-                total.update((f, int(toxic)) for f in {f for _, f in reader.pairs(text)})
-                if len(total) > HELD_ROWS:
+                total.setdefault(int(toxic), Counter()).update(reader.features(text))
+                if sum(map(len, total.values())) > HELD_ROWS:
                     yield table()
                     total.clear()
         if total:
@@ -259,41 +343,51 @@ def _stored(table: DataFrame, name: str) -> DataFrame:
     return table.sparkSession.read.parquet(folder)
 
 
-def strengths(rows: DataFrame, model: Model, *kept: str, label: str | None = None) -> DataFrame:
+def strengths(rows: DataFrame, model: Model, *kept: str, own: int | None = None) -> DataFrame:
     """``kept`` and x, the summed evidence of each row's strongest words; rows have _id, _content, text.
 
-    ``label``: of documents whose own counts are left out. A bit map of the features with evidence holds back words that
-    say nothing; what passes meets the counts in a join.
+    ``own``: the label of documents whose own counts are left out. Tasks hold the ``HELD_FEATURES`` of most evidence. That settles
+    documents with enough words of as much evidence as any other feature; for the rest, the features that may be among
+    the others (a bit map tells) meet the counts in a join.
     """
-    spark = rows.sparkSession
-    keys = rows.select(*dict.fromkeys(("_id", "_content", *kept)))
     if model.counts is None:
-        return keys.select(*kept, F.lit(0.0).alias("x"))
-    trigrams, bits = (spark.sparkContext.broadcast(v) for v in (model.trigrams, bit_map(model.counts.table.select(F.xxhash64("feature").alias("hash")), "hash")))
-
-    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = Chooser(trigrams.value, bits.value)
-
-        def table(found: list[tuple]) -> pd.DataFrame:
-            return pd.DataFrame(found, columns=["_id", "_content", "_label", "word", "feature"])
-
+        return rows.select(*kept, F.lit(0.0).alias("x"))
+    spark = rows.sparkSession
+    valued = model.counts.table.select("feature", evidence(model.toxic, model.clean, None if own is None else F.lit(own)).alias("e")).filter("e > 0")
+    known, cut, rest = valued.count(), 0.0, None
+    if known > HELD_FEATURES:
+        cut = valued.approxQuantile("e", [1 - HELD_FEATURES / known], 0.001)[0]
+        rest = bit_map(valued.filter(F.col("e") <= cut).select(F.xxhash64("feature").alias("hash")), "hash")
+    held = valued.filter(F.col("e") > cut).toPandas()
+    shared = spark.sparkContext.broadcast((model.trigrams, dict(zip(held["feature"], held["e"].tolist())), rest))
+    key, keys = uuid.uuid4().hex, list(dict.fromkeys((*kept, "_id", "_content")))
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reader = _reader(Valuer, key, *shared.value)
         for batch in batches:
-            found = []
-            for key, content, own, text in zip(batch["_id"], batch["_content"], batch["_label"], batch["text"]):
-                number: dict[str, int] = {}
-                found += [(key, content, own, number.setdefault(w, len(number)), f) for w, f in sorted(reader.pairs(text))]
-                if len(found) > HELD_ROWS:
-                    yield table(found)
-                    found = []
-            yield table(found)
-
-    texts = rows.select("_id", "_content", (F.col(label).cast("int") if label else F.lit(-1)).alias("_label"), "text")
-    chosen = texts.mapInPandas(choose, "_id bigint, _content bigint, _label int, word int, feature string")
-    value = evidence(model.toxic, model.clean, F.col("_label") if label else None)
-    told = chosen.join(model.counts.table, "feature").select("_id", "_content", "word", value.alias("e")).filter("e > 0").repartition("_id", "_content")
+            sums, strong, unsure = [], [], []
+            for text in batch["text"]:
+                told = reader.told(text)
+                best = sorted(((e, n) for n, (e, _) in enumerate(told.values()) if e), reverse=True)[:STRONGEST]
+                found = [] if len(best) == STRONGEST else [(n, f) for n, (_, some) in enumerate(told.values()) for f in some]
+                sums.append(reduce(add, [e for e, _ in best], 0.0))  # as Spark adds up
+                strong.append([{"word": n, "e": e} for e, n in best] if found else None)
+                unsure.append([{"word": n, "feature": f} for n, f in found] if found else None)
+            yield batch.drop(columns="text").assign(x=sums, strong=strong, unsure=unsure)
+
+    texts = rows.select(*keys, "text")
+    parts = ", ".join(f"`{n}` {t}" for n, t in texts.drop("text").dtypes)
+    looked = texts.mapInPandas(look, f"{parts}, x double, strong array<struct<word: int, e: double>>, unsure array<struct<word: int, feature: string>>")
+    if rest is None:
+        return looked.select(*kept, "x")
+    looked = _stored(looked, "toxicity-looked")
+    more = looked.filter("unsure IS NOT NULL")
+    others = more.select("_id", "_content", F.inline("unsure")).join(valued.filter(F.col("e") <= cut), "feature").select("_id", "_content", "word", "e")
+    told = others.union(more.select("_id", "_content", F.inline("strong"))).repartition("_id", "_content")
     best = told.groupBy("_id", "_content", "word").agg(F.max("e").alias("e")).groupBy("_id", "_content").agg(F.slice(F.sort_array(F.collect_list("e"), False), 1, STRONGEST).alias("e"))
-    total = best.select("_id", "_content", F.aggregate("e", F.lit(0.0), lambda x, y: x + y).alias("x"))
-    return keys.join(total, ["_id", "_content"], "left").select(*kept, F.coalesce("x", F.lit(0.0)).alias("x"))
+    total = best.select("_id", "_content", F.aggregate("e", F.lit(0.0), lambda x, y: x + y).alias("_x"))
+    late = more.join(total, ["_id", "_content"], "left").select(*kept, F.coalesce("_x", F.lit(0.0)).alias("x"))
+    return looked.filter("unsure IS NULL").select(*kept, "x").union(late)
 
 
 def held_out(id_column: str = "doc_id"):
@@ -325,13 +419,14 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     bits = spark.sparkContext.broadcast(bit_map(frequent.select(F.xxhash64("feature").alias("hash")), "hash"))
     counts = _tally(rows, shared, bits).join(frequent, "feature", "left_semi").filter(evidence(toxic, clean) > 0)
     model = Model(trigrams, Counts(_stored(counts, "toxicity-counts")), toxic, clean, 0.0, 0.0)
-    slope, offset = _fit(rows, model)
+    slope, offset = _fit(rows, model, sorted(sizes))
     return model._replace(slope=slope, offset=offset)
 
 
-def _fit(rows: DataFrame, model: Model) -> tuple[float, float]:
+def _fit(rows: DataFrame, model: Model, labels: list[int]) -> tuple[float, float]:
     every = max(1, (model.toxic + model.clean) // FIT_ROWS)
-    sample = strengths(rows.filter(F.pmod(F.xxhash64("_id"), F.lit(every)) == 0), model, "toxic", label="toxic").withColumnRenamed("toxic", "y")
+    some = rows.filter(F.pmod(F.xxhash64("_id"), F.lit(every)) == 0)
+    sample = reduce(DataFrame.union, [strengths(some.filter(F.col("toxic") == y), model, "toxic", own=y) for y in labels]).withColumnRenamed("toxic", "y")
     binned = sample.groupBy(F.round("x", 2).alias("x"), "y").count().toPandas()  # a few thousand rows at most
     x, y, n = binned["x"].to_numpy(float), binned["y"].to_numpy(float), binned["count"].to_numpy(float)
     design, beta = np.stack([x, np.ones(len(x))], axis=1), np.zeros(2)

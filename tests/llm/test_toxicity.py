@@ -108,3 +108,25 @@ def test_a_rare_toxic_word_counts_in_a_large_corpus(spark):
 def test_whole_runs_and_tokens_are_decoded(model, written, word):
     found = t.Reader(model.trigrams).words(f"and {written} was")
     assert any(w.endswith(word) for w in found - {written})
+
+
+def test_no_words_move_where_tasks_hold_all_features(spark, model):
+    """Rows of (document, word, feature) were many times the texts on disk."""
+    docs = spark.read.parquet(f"{SF01}/documents.parquet")
+    assert "Exchange" not in t.score(docs, model)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("held", [0, 50, 100_000])
+def test_features_that_are_not_held_meet_the_counts_in_a_join(spark, model, odd, monkeypatch, held):
+    docs = spark.read.parquet(f"{SF01}/documents.parquet").limit(300).select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
+    want = sorted(map(tuple, t.score(docs, model).collect()), key=repr)
+    known = {r.feature: r.e for r in model.counts.table.select("feature", t.evidence(model.toxic, model.clean).alias("e")).collect() if r.e > 0}
+    reader, strongest = t.Chooser(model.trigrams), {}
+    for r in docs.collect():
+        words = reader.words(r.text)
+        strongest[r.doc_id, r.text] = sum(sorted((max(known.get(f, 0) for f in t.features(w)) for w in words), reverse=True)[: t.STRONGEST])
+    rows = docs.select(*t.identity(), "text")
+    monkeypatch.setattr(t, "HELD_FEATURES", held)
+    assert sorted(map(tuple, t.score(docs, model).collect()), key=repr) == want
+    got = sorted(r.x for r in t.strengths(rows, model).collect())
+    assert got == pytest.approx(sorted(strongest[r.doc_id, r.text] for r in docs.collect()))
