@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -274,3 +275,14 @@ def test_few_pairs_are_compared(spark):
         compared = simjoin.candidate_pairs(side, side, 0.8, []).count()
         similar = dice_join(df, df, 0.8).count()
         assert similar <= compared <= 1.5 * similar + n
+
+
+def test_a_checkpoint_leaves_no_shuffle_files(spark):
+    """A run of many steps had the shuffle files of all of them on disk."""
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {f for f in files.getAllFiles().mkString(" ").split() if "/shuffle_" in f}
+    before = shuffled()
+    kept = cut_lineage(spark.range(5000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count())
+    time.sleep(1)
+    assert shuffled() <= before
+    assert kept.count() == 7
