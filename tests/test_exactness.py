@@ -3,6 +3,7 @@
 import math
 import random
 import time
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
@@ -286,3 +287,17 @@ def test_a_checkpoint_leaves_no_shuffle_files(spark):
     time.sleep(1)
     assert shuffled() <= before
     assert kept.count() == 7
+
+
+def test_memory_of_a_comparison_is_bounded_where_all_rows_are_similar():
+    rng = np.random.default_rng(3)
+    m = np.eye(1, 16) + rng.normal(size=(9000, 16)) * 0.08
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    side = lambda rows, first: (np.arange(len(rows)) + first, np.ones(len(rows), dtype=int), rows, rows.astype(np.float32))
+    left, right = side(m[:1000], 0), side(m[1000:], 1000)
+    tracemalloc.start()
+    found = sum(len(x) for x, _ in vectors_module._similar(left, right, False, 0.85, lambda a, b: np.ones((len(a), len(b)), dtype=bool)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == int((m[:1000] @ m[1000:].T >= 0.85).sum()) > 7_000_000
+    assert peak < 120e6  # 512 rows at a time took more than 200 MB
