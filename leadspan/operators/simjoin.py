@@ -81,19 +81,17 @@ def _small(threshold: float) -> int:
 
 def _signatures(side: DataFrame, threshold: float, keys: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
     """One row per join key of a text: pairs of prefix pieces, and single pieces where small sets are involved; ``rest`` pieces
-    come after those of the key."""
+    come after those of the key, ``before`` are the other ones that come before its last."""
     n = F.col("n")
     need = F.ceil(n * F.lit(threshold / (2 - threshold)) - F.lit(1e-9)).cast("int")
     reach = math.floor(_small(threshold) * (2 - threshold) / threshold + 1e-9)
     alone = F.lit(ALONE).cast("bigint").alias("k2")
-    single = F.transform(F.slice("pieces", F.lit(1), n - need + 1), lambda a, i: F.struct(a.alias("k1"), alone, (n - i - 1).alias("rest")))
+    single = F.transform(F.slice("pieces", F.lit(1), n - need + 1), lambda a, i: F.struct(a.alias("k1"), alone, (n - i - 1).alias("rest"), F.slice("pieces", F.lit(1), i).alias("before")))
     double = F.slice("pieces", F.lit(1), F.least(n, n - need + 2))
-    pairs = F.flatten(
-        F.transform(
-            double, lambda a, i: F.transform(F.slice(double, i + 2, F.size(double)), lambda b, j: F.struct(a.alias("k1"), b.alias("k2"), (n - i - j - 2).alias("rest")))
-        )
-    )
-    none = F.array().cast("array<struct<k1:bigint,k2:bigint,rest:int>>")
+    before = lambda i, j: F.concat(F.slice("pieces", F.lit(1), i), F.slice("pieces", i + 2, j))
+    key = lambda a, b, i, j: F.struct(a.alias("k1"), b.alias("k2"), (n - i - j - 2).alias("rest"), before(i, j).alias("before"))
+    pairs = F.flatten(F.transform(double, lambda a, i: F.transform(F.slice(double, i + 2, F.size(double)), lambda b, j: key(a, b, i, j))))
+    none = F.array().cast("array<struct<k1:bigint,k2:bigint,rest:int,before:array<bigint>>>")
     keyed = F.concat(F.when(n <= reach, single).otherwise(none), F.when(n >= _small(threshold), pairs).otherwise(none))
     return side.select(*keys, "text", *carry, "n", *WORDS, F.inline(keyed))
 
@@ -153,13 +151,14 @@ def best_dice(left: DataFrame, right: DataFrame, threshold: float, confidence: C
 def candidate_pairs(a: DataFrame, b: DataFrame, threshold: float, keys: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
     """(keys, left_text, right_text), once each: pairs that share a key and pass the bounds; all similar pairs are among them.
 
-    ``carry``: columns of the right side that go along.
+    ``carry``: columns of the right side that go along. A pair is taken where it meets at its two rarest common pieces, so pairs
+    need no shuffle to be told apart: both sides order their pieces alike, and no other common piece comes before those.
     """
     # the rows are few but many pairs may meet: fix the number of tasks, so they are not merged by their bytes
     tasks = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sides = []
     for side, df, more in (("l", a, ()), ("r", b, carry)):
-        named = [F.col(c).alias(f"{side}_{c}") for c in ("text", "n", "rest", *WORDS)]
+        named = [F.col(c).alias(f"{side}_{c}") for c in ("text", "n", "rest", "before", *WORDS)]
         sides.append(_signatures(df, threshold, keys, more).select(*keys, "k1", "k2", *named, *more).repartition(tasks, *keys, "k1", "k2"))
     joined = sides[0].join(sides[1], [*keys, "k1", "k2"])
     both = F.col("l_n") + F.col("r_n")
@@ -167,7 +166,10 @@ def candidate_pairs(a: DataFrame, b: DataFrame, threshold: float, keys: Sequence
     enough = 2 * (in_key + F.least("l_rest", "r_rest")) >= both * threshold - 1e-9
     differ = sum((F.bit_count(F.col(f"l_{w}").bitwiseXOR(F.col(f"r_{w}"))) for w in WORDS[1:]), F.bit_count(F.col(f"l_{WORDS[0]}").bitwiseXOR(F.col(f"r_{WORDS[0]}"))))
     near = differ <= both * (1 - threshold) + 1e-9
-    return joined.filter(enough & near).select(*keys, F.col("l_text").alias("left_text"), F.col("r_text").alias("right_text"), *carry).distinct()
+    # where both sets are large enough for two common pieces, pairs of pieces find them
+    due = (F.col("k2") != ALONE) | (F.least("l_n", "r_n") < _small(threshold))
+    rarest = ~F.arrays_overlap("l_before", "r_before")
+    return joined.filter(enough & near & due).filter(rarest).select(*keys, F.col("l_text").alias("left_text"), F.col("r_text").alias("right_text"), *carry)
 
 
 def as_text(c: Column) -> Column:

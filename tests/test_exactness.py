@@ -7,6 +7,7 @@ import tracemalloc
 from collections import defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from leadspan.operators.admission import DAILY_LIMITS, DEFAULT_LIMIT, admit
@@ -89,6 +90,21 @@ def test_best_matches_by_falling_thresholds(spark, monkeypatch):
     assert sum(m.count() for m in met) < pairs[0]
 
 
+@pytest.mark.parametrize("threshold", [0.5, 0.65, 0.9])
+def test_pairs_meet_once_without_a_shuffle_of_pairs(spark, threshold, capsys):
+    random.seed(11)
+    words = ["acme", "globex", "ada", "gr", "hopper", "x", "ab", "99", "aba"]
+    texts = sorted({" ".join(random.choices(words, k=random.randint(1, 4))) + random.choice(["", "s", " 1"]) for _ in range(150)} | {"a", "b", "ab", "abab"})
+    pieces = simjoin._pieces(spark.createDataFrame([(x,) for x in texts], "text string"))
+    side = cut_lineage(simjoin._rarest_first(pieces, simjoin._frequency(pieces, pieces), []))
+    pairs = candidate_pairs(side, side, threshold, [])
+    met = [(r.left_text, r.right_text) for r in pairs.collect()]
+    assert len(met) == len(set(met))
+    assert {(a, b) for a in texts for b in texts if dice(a, b) >= threshold} <= set(met)
+    pairs.explain()
+    assert "Aggregate" not in capsys.readouterr().out
+
+
 def test_dice_join_gives_each_pair_once(spark):
     texts = spark.createDataFrame([("a",), ("b",), ("anna acme corp",), ("anne acme corp",)], "text string")
     rows = [(r.left_text, r.right_text) for r in dice_join(texts, texts, 0.5).collect()]
