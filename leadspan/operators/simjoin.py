@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadspan.operators.ranking import computed
+from leadspan.operators.simtiles import best_by_tiles
 from leadspan.session import cut_lineage, ensure_checkpoint_dir
 
 # Stands for a text too short to have a piece; such texts match each other with 1.
@@ -31,6 +32,8 @@ WORDS = ("s0", "s1", "s2", "s3")  # of a text's bit map
 # Best matches are looked for by falling thresholds, unless this many pairs of texts or fewer are left.
 STEPS = (0.97, 0.94, 0.91, 0.87, 0.82, 0.75)
 FEW_PAIRS = 300_000_000
+# Groups with more pairs of texts are looked through tile by tile.
+TILED_PAIRS = 2_000_000
 
 
 def _codes(text: Column) -> Column:
@@ -120,7 +123,25 @@ def best_dice(left: DataFrame, right: DataFrame, threshold: float, confidence: C
     """Of all pairs of ``dice_join`` the best for each left text: keys, ``text``, ``confidence``, ``ord``.
 
     ``right`` has an ``ord`` per text besides, the smaller one wins among equal confidence, which must not fall as the score
-    rises. Thresholds fall step by step: a text with a match of more confidence than the threshold itself has its best match
+    rises. Groups of equal ``keys`` with more than ``TILED_PAIRS`` pairs of texts are looked through tile by tile (``simtiles``), the others joined.
+    """
+    lefts = cut_lineage(left.select(*keys, "text").distinct().dropna(subset=list(keys)) if keys else left.select("text").distinct())
+    rights = cut_lineage(right.groupBy(*keys, "text").agg(F.min("ord").alias("ord")).dropna(subset=list(keys)) if keys else right.groupBy("text").agg(F.min("ord").alias("ord")))
+    count = lambda df, name: df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+    a, b = count(lefts, "l"), count(rights, "r")
+    sizes = (a.join(b, list(keys)) if keys else a.crossJoin(b)).withColumn("tiled", F.col("l").cast("double") * F.col("r") > TILED_PAIRS)
+    sizes = cut_lineage(sizes)
+    tiled = {r.tiled for r in sizes.select("tiled").distinct().collect()}
+    of = lambda df, kind: df.join(sizes.filter(F.col("tiled") == kind), list(keys), "left_semi") if keys and len(tiled) > 1 else df
+    tiles = best_by_tiles(of(lefts, True), of(rights, True), threshold, confidence, _codes, keys) if True in tiled else None
+    if tiled == {True}:
+        return tiles
+    joined = _best_joined(of(lefts, False), of(rights, False), threshold, confidence, keys)
+    return joined if tiles is None else tiles.union(joined)
+
+
+def _best_joined(left: DataFrame, right: DataFrame, threshold: float, confidence: Callable[[Column], Column], keys: Sequence[str]) -> DataFrame:
+    """``best_dice`` by falling thresholds: a text with a match of more confidence than the threshold itself has its best match
     among what was found and does not go on. So pairs far below a text's best match are never made, and long prefixes are
     made only for texts without a near match.
     """
