@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from leadspan.functions.normalize import email_domain, norm_email, norm_linkedin, text
 from leadspan.functions.stats import js_round
 from leadspan.operators.simjoin import as_text, best_dice
+from leadspan.session import spread
 
 # Order in which matchers win ties on the same suppression row.
 MATCHERS = ["email", "linkedin", "fuzzy_name_company", "domain_title"]
@@ -53,8 +54,8 @@ def match_candidates(leads: DataFrame, suppression: DataFrame, lead_id: str, con
     Both sides are reduced to distinct key values before any join, so equal values (a hot domain, a hot title)
     meet once, and each lead picks up its result through an equi-join on its own value.
     """
-    left = _keys(leads, F.coalesce("headline", "title") if "title" in leads.columns else F.col("headline"))
-    right = _keys(suppression, F.col("headline"))
+    left = _keys(spread(leads), F.coalesce("headline", "title") if "title" in leads.columns else F.col("headline"))
+    right = _keys(spread(suppression), F.col("headline"))
     found: list[DataFrame] = []
 
     def exact(matcher: str, key: str, confidence: int) -> None:

@@ -33,7 +33,7 @@ WORDS = ("s0", "s1", "s2", "s3")  # of a text's bit map
 STEPS = (0.97, 0.94, 0.91, 0.87, 0.82, 0.75)
 FEW_PAIRS = 300_000_000
 # Groups with more pairs of texts are looked through tile by tile.
-TILED_PAIRS = 2_000_000
+TILED_PAIRS = 100_000
 
 
 def _codes(text: Column) -> Column:
